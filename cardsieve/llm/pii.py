@@ -126,13 +126,12 @@ def _plain(c: str) -> str | None:
     return to if to != c and len(to) == 1 and to.isascii() and to.isprintable() and to != " " else None
 
 
-_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s-]{{1,3}})?(?:{_WORDS}|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:dot|point)[\s,.-]{{1,3}})?(?:{_WORDS}|[0-9]+))+(?![A-Za-z])", re.I)
+_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]{{1,3}})?(?:{_WORDS}|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:dot|point)[\s,.-]{{1,3}})?(?:{_WORDS}|[0-9]+))+(?![A-Za-z])", re.I)
 _UNIT = re.compile(rf"plus|dot|point|{_WORDS}|[0-9]+", re.I)
 _BRACKET_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}", re.I)
 _BRACKET_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3}", re.I)
-_LABEL = r"[A-Za-z0-9%+_.-]+"
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>{_LABEL}(?:[\s_-]dot[\s_-]{_LABEL}){{0,4}})(?P<at>[\s_-]at[\s_-]|@)(?P<domain>[A-Za-z0-9-]+(?:(?:[\s_-]dot[\s_-]|\.)[A-Za-z0-9-]+)+)(?![A-Za-z0-9])", re.I)
-_SPOKEN_DOT = re.compile(r"[\s_-]dot[\s_-]", re.I)
+_SPOKEN = re.compile(r"[\s_-](at|dot)[\s_-]|@", re.I)
+_LABEL, _HOST = re.compile(r"[A-Za-z0-9%+_.-]{1,64}"), re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}")
 
 
 def _look_alikes(m: Mapped) -> None:
@@ -159,15 +158,32 @@ def _at_and_dot(m: Mapped) -> None:
     for pattern, to in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         found = [(x.start(), x.end(), to) for x in pattern.finditer(m.text) if 0 < x.start() and x.end() < len(m.text) and m.text[x.start() - 1] in _LOCAL and m.text[x.end()].isalnum()]
         m.replace(found)
-    found = []
-    if _SPOKEN_DOT.search(m.text):
-        for x in _SPOKEN.finditer(m.text):
-            if not _SPOKEN_DOT.search(x.group()):
-                continue  # "at" alone is a word; with a spoken dot it's an address
-            found += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(m.text, x.start("local"), x.end("local"))]
-            found.append((x.start("at"), x.end("at"), "@"))
-            found += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(m.text, x.start("domain"), x.end("domain"))]
-    m.replace(found)
+    m.replace(_spoken(m.text))
+
+
+def _spoken(text: str) -> list[tuple[int, int, str]]:
+    """Rewrites of addresses with a spoken dot ("at" alone is a word): at most four labels before the at and eight after it."""
+    marks: list[tuple[int, int, str]] = [(x.start(), x.end(), (x.group(1) or "@").lower()) for x in _SPOKEN.finditer(text)]
+    found: list[tuple[int, int, str]] = []
+    done = 0
+    for k, (start, end, kind) in enumerate(marks):
+        if kind == "dot":
+            continue
+        left = k
+        while left > 0 and k - left < 4 and marks[left - 1][2] == "dot" and _LABEL.fullmatch(text, marks[left - 1][1], marks[left][0]):
+            left -= 1
+        first = marks[left][0]
+        while first > max(done, marks[left][0] - 64) and text[first - 1] in _LOCAL:
+            first -= 1
+        right = k
+        while right + 1 < len(marks) and right - k < 8 and marks[right + 1][2] == "dot" and _HOST.fullmatch(text, marks[right][1], marks[right + 1][0]):
+            right += 1
+        last = _HOST.match(text, marks[right][1])
+        if left == right or first == marks[left][0] or not last or (right == k and "." not in last.group()):
+            continue
+        found += [(a, b, "@" if n == k else ".") for n, (a, b, _) in enumerate(marks[left : right + 1], left)]
+        done = last.end()
+    return found
 
 
 def normalised(text: str) -> Mapped:
