@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -16,18 +16,75 @@ from ._text import ragged
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-@functools.lru_cache(2)
-def _load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Pieces that a worker remembers with their ids, and the longest of them.
+REMEMBERED, LONGEST = 250_000, 40
+#: Marks that can end a piece without changing how its word is read.
+_MARKS = ".,;:!?)|*%#"
 
-    return Tokenizer.from_file(path)
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet, by its rule: printable bytes stand for themselves, the others for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, extra = {b: b for b in plain}, 256
+    for b in range(256):
+        if b not in out:
+            out[b], extra = extra, extra + 1
+    return out
+
+
+class _Encoder:
+    """Ids of pieces. Words of Latin letters are one pre-token of either vocabulary and go straight to the library's model."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.known = self.tokenizer.model, _byte_letters(), {}
+        self.marks: dict[str, bytes] = {}
+        self.lower = "Lowercase" in (repr(self.tokenizer.normalizer) if self.tokenizer.normalizer else "")
+
+    def _model_ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a Latin word, one space before it and marks after it at most: two pre-tokens. None for any other piece."""
+        word = piece.rstrip(_MARKS)
+        bare = word[1:] if word[:1] == " " and not self.lower else word
+        if not bare.isalpha() or (not bare.isascii() and (max(bare) >= "\u0250" or "\u0130" in bare)):
+            return None
+        ids = self.known.get(word) or self._model_ids(word.lower() if self.lower else word)
+        if len(word) == len(piece):
+            return ids
+        marks = piece[len(word) :]
+        if marks not in self.marks:
+            self.marks[marks] = self._model_ids(marks)
+        return ids + self.marks[marks]
+
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        known = self.known
+        out = [known.get(p) for p in pieces]
+        new = [k for k, x in enumerate(out) if x is None]
+        slow = []
+        for k in new:
+            out[k] = self._word(pieces[k]) if len(pieces[k]) <= LONGEST else None
+            if out[k] is None:
+                slow.append(k)
+        for at in range(0, len(slow), 50_000):
+            part = slow[at : at + 50_000]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([pieces[k] for k in part], add_special_tokens=False)):
+                out[k] = array("I", e.ids).tobytes()
+        for k in new[: max(0, REMEMBERED - len(known))]:
+            if len(pieces[k]) <= LONGEST:
+                known[pieces[k]] = out[k]
+        return np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+
+_load = functools.lru_cache(2)(_Encoder)
 
 
 def _ids(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    found = [e.ids for e in _load(path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+    return _load(path)(texts)
 
 
 def encode(texts: pa.Array, path: str, spaces: bool, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,37 +96,33 @@ def encode(texts: pa.Array, path: str, spaces: bool, end: int) -> tuple[np.ndarr
     """
     texts = pc.fill_null(pc.cast(texts, pa.string()), "")
     n = len(texts)
-    if spaces:
-        whole = pc.match_substring_regex(texts, rf"^ | $|{_SPACE} | {_SPACE}").to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+    if not n:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    whole = np.flatnonzero(pc.match_substring_regex(texts, rf"^ | $|{_SPACE} | {_SPACE}").to_numpy(zero_copy_only=False)) if spaces else np.zeros(0, np.int64)
+    if len(whole):
+        keep = np.ones(n, bool)
+        keep[whole] = False
+        cut = pc.if_else(pa.array(keep), texts, "")
     else:
-        whole = np.zeros(n, bool)
-        lists = pc.ascii_split_whitespace(texts)
-    rows = pc.list_parent_indices(lists).to_numpy()
-    pieces = lists.flatten()
-    full = pc.not_equal(pc.binary_length(pieces), 0).to_numpy(zero_copy_only=False)
-    pieces, rows = pieces.filter(pa.array(full)), rows[full]
-    coded = pieces.dictionary_encode()
-    distinct = coded.dictionary
-    codes = coded.indices.to_numpy().astype(np.int64)
-    if spaces and len(codes):
-        first = np.concatenate([[True], rows[1:] != rows[:-1]])
+        cut = texts
+    lists = pc.split_pattern(cut, " ") if spaces else pc.ascii_split_whitespace(cut)  # each text has a piece at least, if an empty one
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values[int(offsets[0]) : int(offsets[-1])].dictionary_encode()
+    offsets -= offsets[0]
+    codes, strings = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    if spaces:
+        first = offsets[:-1]
         opening, own = np.unique(codes[first], return_inverse=True)
-        strings = pc.binary_join_element_wise(pa.scalar(" "), distinct, "").to_pylist() + distinct.take(pa.array(opening)).to_pylist()
-        codes = codes.copy()
-        codes[first] = len(distinct) + own
-    else:
-        strings = distinct.to_pylist()
-    # then the texts that are encoded whole, and the end id
-    at = np.flatnonzero(whole)
-    base = len(strings)
-    strings += texts.take(pa.array(at)).to_pylist()
+        codes[first] = len(strings) + own
+        strings = pc.binary_join_element_wise(pa.scalar(" "), coded.dictionary, "").to_pylist() + [strings[k] for k in opening]
+    codes[offsets[whole]] = len(strings) + np.arange(len(whole))
+    strings += texts.take(pa.array(whole)).to_pylist()
     flat, lengths = _ids(path, strings)
     flat, lengths = np.append(flat, np.uint32(end)), np.append(lengths, 1)
-    row = np.concatenate([rows, at, np.arange(n)])
-    code = np.concatenate([codes, base + np.arange(len(at)), np.full(n, len(lengths) - 1)])
-    order = np.argsort(row, kind="stable")
-    row, code = row[order], code[order]
-    starts = np.cumsum(lengths) - lengths
-    ids = flat[ragged(starts[code], lengths[code])]
-    return ids, np.bincount(row, weights=lengths[code], minlength=n).astype(np.int64)
+    # the pieces of a text, then the end id
+    row = np.arange(n)
+    code = np.full(len(codes) + n, len(lengths) - 1, np.int64)
+    code[np.arange(len(codes)) + np.repeat(row, np.diff(offsets))] = codes
+    each = lengths[code]
+    ids = flat[ragged((np.cumsum(lengths) - lengths)[code], each)]
+    return ids, np.add.reduceat(each, offsets[:-1] + row)

@@ -26,7 +26,7 @@ from . import _store, _tokens
 from ._text import LOWER, gathered, split_words
 
 FEATURES, DIMS, BITS = 1024, 4, 12
-_STEP = 24 << 20
+_STEP = 12 << 20
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
