@@ -168,7 +168,10 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
 
 
 def hamming_links(fps: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints of a column fp, enough to join all that are within ``limit`` bits."""
+    """Links (a, b) among the distinct fingerprints of a column fp, enough to join all that are within ``limit`` bits.
+
+    A link stands for a path of pairs within the limit, not always for such a pair itself.
+    """
     if not 0 <= limit <= 3:
         raise ValueError("the key of 24 bits finds all pairs up to 3 differing bits")
     fp = F.col("fp")
