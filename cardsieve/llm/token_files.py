@@ -139,7 +139,7 @@ def decode_file(raw: bytes, table: Table) -> tuple[list, np.ndarray, np.ndarray]
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, spaces: bool, end: int) -> DataFrame:
-    """Runs of documents in ascending doc_id order, as rows: part, number, doc_ids, lengths, planes (low bytes, high bytes)."""
+    """Runs of documents in ascending doc_id order, as rows: part, number, doc_ids, lengths, counts (of each id), planes (low bytes, high bytes)."""
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +154,10 @@ def _tokenized(docs: DataFrame, tokenizer: str, spaces: bool, end: int) -> DataF
                 if b > a:
                     own = small[ends[a] - lengths[a] : ends[b - 1]]
                     planes = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 2).T).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([names[a:b]], pa.list_(pa.int64())), pa.array([lengths[a:b].tobytes()], pa.binary()), pa.array([planes], pa.binary())], ["part", "number", "doc_ids", "lengths", "planes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([names[a:b]], pa.list_(pa.int64())), pa.array([lengths[a:b].tobytes()], pa.binary()), pa.array([np.bincount(own).astype("<u4").tobytes()], pa.binary()), pa.array([planes], pa.binary())], ["part", "number", "doc_ids", "lengths", "counts", "planes"])
                     number += 1
 
-    return ordered.mapInArrow(run, "part bigint, number bigint, doc_ids array<bigint>, lengths binary, planes binary")
+    return ordered.mapInArrow(run, "part bigint, number bigint, doc_ids array<bigint>, lengths binary, counts binary, planes binary")
 
 
 def _joined(planes: bytes) -> np.ndarray:
@@ -175,13 +175,14 @@ def write_files(docs: DataFrame, tokenizer: str, vocabulary: int, end: int = 0,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for planes in batch.column("planes"):
-                total += np.bincount(_joined(planes.as_py()), minlength=vocabulary)
+            for raw in batch.column("counts"):
+                own = np.frombuffer(raw.as_py(), "<u4")
+                total[: len(own)] += own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for r in rows.select("planes").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
+    for r in rows.select("counts").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
         counts[r.id] = r.n
     table = Table.fit(counts)
     sent, folder = spark.sparkContext.broadcast(table.freq), _store.new_path(spark, "token-files")
