@@ -27,6 +27,8 @@ from . import _store
 
 #: Vectors of the sample that codebooks are fitted to: those with the smallest hash of their id.
 SAMPLE = 8192
+#: Sweeps over the codebooks in a refit.
+SWEEPS = 4
 QUERY_BLOCK, CODE_BLOCK = 2048, 65536
 
 
@@ -72,8 +74,7 @@ def _k_means(x: np.ndarray, size: int, rng: np.random.Generator, rounds: int = 8
     for _ in range(rounds):
         near = np.argmin((centre**2).sum(axis=1) - 2 * x @ centre.T, axis=1)
         count = np.bincount(near, minlength=size)
-        sums = np.zeros_like(centre)
-        np.add.at(sums, near, x)
+        sums = np.stack([np.bincount(near, weights=x[:, d], minlength=size) for d in range(x.shape[1])], axis=1)
         centre = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], x[rng.integers(len(x), size=size)])
     return centre.astype(np.float32)
 
@@ -86,17 +87,18 @@ def fit(sample: np.ndarray, books: int = 24, size: int = 256, rounds: int = 1, s
         words.append(_k_means(rest, size, rng))
         rest = rest - words[-1][np.argmin((words[-1] ** 2).sum(axis=1) - 2 * rest @ words[-1].T, axis=1)]
     model = Codebooks(np.stack(words))
-    for _ in range(rounds):  # all codebooks at once: ridge regression on the codes' indicators
+    for _ in range(rounds):
         codes, _ = model.encode(x, 4)
-        flat = codes.astype(np.int64) + np.arange(books) * size
-        gram, right = np.zeros((books * size, books * size)), np.zeros((books * size, x.shape[1]))
-        for a in range(books):
-            np.add.at(right, flat[:, a], x)
+        words = model.words.copy()
+        rest = x - model.decode(codes)
+        for _ in range(SWEEPS):  # least squares over all codebooks, one after another: a word moves by the mean of what its vectors lack
             for b in range(books):
-                np.add.at(gram, (flat[:, a], flat[:, b]), 1.0)
-        gram[np.diag_indices_from(gram)] += 0.1
-        prior = model.words.reshape(-1, x.shape[1]).astype(float)
-        model = Codebooks(np.linalg.solve(gram, right + 0.1 * prior).reshape(books, size, -1).astype(np.float32))
+                count = np.bincount(codes[:, b], minlength=size)
+                sums = np.stack([np.bincount(codes[:, b], weights=rest[:, d], minlength=size) for d in range(x.shape[1])], axis=1)
+                step = (sums / np.maximum(count, 1)[:, None]).astype(np.float32)
+                words[b] += step
+                rest -= step[codes[:, b]]
+        model = Codebooks(words)
     return model
 
 
