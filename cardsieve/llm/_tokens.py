@@ -17,7 +17,7 @@ _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}
 
 
 #: Pieces that a worker remembers with their ids, and the longest of them.
-REMEMBERED, LONGEST = 250_000, 40
+REMEMBERED, LONGEST = 400_000, 40
 #: Marks that can end a piece without changing how its word is read.
 _MARKS = ".,;:!?)|*%#"
 

@@ -207,9 +207,9 @@ def read_files(manifest: DataFrame, table: Table, folder: str, with_ids: bool =
     spark = manifest.sparkSession
     sent = spark.sparkContext.broadcast(table.freq)
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")
-    totals = sorted(manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each range of doc_id
+    totals = sorted(manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("files")).collect())  # a row for each range of doc_id
     before, at = [], 0
-    for part, n in totals:
+    for part, n, _ in totals:
         before.append((part, at))
         at += n
     bases = spark.createDataFrame(before, "part bigint, base bigint")
@@ -227,5 +227,5 @@ def read_files(manifest: DataFrame, table: Table, folder: str, with_ids: bool =
                 arrays = [pa.array(doc_ids, pa.int64()), pa.array(r["start"] + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(raw, pa.binary())] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    spread = files.repartition("name").sortWithinPartitions("name")
+    spread = files.repartition(max(1, sum(t.files for t in totals)), "name")  # the rows are small, the files aren't: a number keeps tasks from being joined
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
