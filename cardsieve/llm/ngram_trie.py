@@ -15,7 +15,7 @@ next words; the runs, stored as ranks in the list of next words made monotone by
 quantised to 8 bits. Levels are memory-mapped while a shard answers. A next word is looked up by successor search within
 its context's run.
 
-Words are told apart by 64-bit hashes (next words in a trie by 40 bits of them).
+Words are told apart by 64-bit hashes; in a trie contexts by 56 bits and the words after a context by 32.
 
 Defined cases: a null or empty text is the end token alone. Repeated rows train and score as often as they occur; a null mark
 means no training row; with no training rows every probability is the bottom one; an empty table gives no rows; extra
@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ DISCOUNT = 0.75
 BLOCK_BYTES = 12 << 20
 #: Key of the end token; no word of a text has it but by chance.
 END_KEY = np.uint64(0x5851F42D4C957F2D)
+#: Bits of a context's hash, and of a word's hash among the words of a trie.
+KEY_BITS, WORD_BITS = 56, 32
 _DECADES, _ABSENT = 8.0, 255
 _ANSWER = "block bigint, level int, shard bigint, codes binary, totals binary, types binary, n bigint, v bigint"
 _REQUEST = "block bigint, shard bigint, contexts binary, runs binary, words binary, counts binary"
@@ -114,18 +117,14 @@ class Block:
         """Contexts (rows of codes), then of each distinct n-gram its context and word, of each token its n-gram, and training counts."""
         context, rows = np.zeros(len(self.codes), np.int64), np.zeros((1, 0), np.int64)
         for k in range(order - 1, 0, -1):
-            found, context = np.unique(context * len(self.keys) + self.before(k), return_inverse=True)
+            context, found = pd.factorize(context * len(self.keys) + self.before(k))
             rows = np.column_stack([rows[found // len(self.keys)], found % len(self.keys)])
-        found, token = np.unique(context * len(self.keys) + self.codes, return_inverse=True)
+        token, found = pd.factorize(context * len(self.keys) + self.codes)
         counts = np.bincount(token[self.train], minlength=len(found))
         return rows, found // len(self.keys), found % len(self.keys), token, counts
 
-    def places(self, order: int, shards: int, count: np.ndarray, hot: float) -> tuple:
-        """Where the block's n-grams lie: (parts, entries). The same input gives the same answer in every pass.
-
-        parts: shard, places of its entries, places of its n-grams. entries: context number, key. An entry is a context, or one
-        of the parts of a frequent one.
-        """
+    def places(self, order: int, shards: int, count: np.ndarray, hot: float) -> Places:
+        """Where the block's n-grams lie. The same documents give the same lists in every pass, in whatever order they come."""
         rows, context, word, token, counts = self.ngrams(order)
         key = np.zeros(len(rows), np.uint64)
         for k in range(order - 1):
@@ -133,17 +132,45 @@ class Block:
         bound = count[rows].min(axis=1)
         parts = np.maximum(1, -(-bound // max(1, int(hot)))).astype(np.int64)
         base = np.cumsum(parts) - parts
-        entry_context = np.repeat(np.arange(len(rows)), parts)
-        sub = (np.arange(len(entry_context)) - base[entry_context]).astype(np.uint64)
-        entry_key = _mix(key[entry_context], sub + np.uint64(1)) >> np.uint64(4)
+        owner = np.repeat(np.arange(len(rows)), parts)
+        part = (np.arange(len(owner)) - base[owner]).astype(np.uint64)
+        entry_key = _mix(key[owner], part + np.uint64(1)) >> np.uint64(64 - KEY_BITS)
         entry = base[context] + (_mix(self.keys[word], np.full(1, 77, np.uint64)) % parts[context].astype(np.uint64)).astype(np.int64)
-        shard = (_mix(entry_key, np.full(1, 5, np.uint64)) % np.uint64(shards)).astype(np.int64)
-        by = np.lexsort((entry_key, shard))  # entries by shard, then key
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        low = self.keys[word] & np.uint64((1 << 40) - 1)
-        grams = np.lexsort((low, rank[entry]))
-        return by, shard, entry_context, entry_key, entry, grams, low, token, context, word, counts, len(rows)
+        by = np.argsort(entry_key)
+        rank = np.empty(len(by), np.uint64)
+        rank[by] = np.arange(len(by), dtype=np.uint64)
+        low = self.keys[word] & np.uint64((1 << WORD_BITS) - 1)
+        grams = np.argsort((rank[entry] << np.uint64(WORD_BITS)) | low)
+        # a shard is a range of keys
+        bounds = np.array([-(-(k << KEY_BITS) // shards) for k in range(1, shards)], np.uint64)
+        entry_cuts = np.concatenate([[0], np.searchsorted(entry_key[by], bounds), [len(by)]])
+        gram_cuts = np.searchsorted(rank[entry[grams]], entry_cuts.astype(np.uint64))
+        return Places(by, grams, entry_cuts, gram_cuts, owner, entry_key, entry, low, token, context, counts, len(rows))
+
+
+@dataclass
+class Places:
+    """Entries (a context, or one of the parts of a frequent one) and n-grams of a block, sorted by key and cut into shards."""
+
+    by: np.ndarray
+    grams: np.ndarray
+    entry_cuts: np.ndarray
+    gram_cuts: np.ndarray
+    #: context of an entry; its key; entry of an n-gram; its word's hash; n-gram of a token; context of an n-gram; its training count
+    owner: np.ndarray
+    entry_key: np.ndarray
+    entry: np.ndarray
+    low: np.ndarray
+    token: np.ndarray
+    context: np.ndarray
+    counts: np.ndarray
+    contexts: int
+
+    def shards(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Shard, its entries in order, its n-grams in order."""
+        for k, (a, b, c, d) in enumerate(zip(self.entry_cuts, self.entry_cuts[1:], self.gram_cuts, self.gram_cuts[1:])):
+            if b > a:
+                yield k, self.by[a:b], self.grams[c:d]
 
 
 def _arrow(names: list[str], rows: list[tuple], types: list) -> pa.Table:
@@ -188,33 +215,40 @@ def _by_shard(answers: pa.Table) -> dict:
     return {(r["level"], r["shard"]): r for r in answers.to_pylist()}
 
 
-def _split(by: np.ndarray, shard: np.ndarray, entry: np.ndarray, grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Shard, its entries in order, its n-grams in order."""
-    s, g = shard[by], shard[entry[grams]]
-    cuts = np.flatnonzero(np.diff(s)) + 1
-    for part in np.split(by, cuts):
-        if len(part):
-            k = shard[part[0]]
-            yield int(k), part, grams[np.searchsorted(g, k) : np.searchsorted(g, k, side="right")]
-
-
 def _ask(docs: pa.Table, answers: pa.Table, order: int, shards: int, hot: float) -> pa.Table:
     if not docs.num_rows:
         return _arrow(_REQUEST_NAMES, [], _REQUEST_TYPES)
     block, number = Block(docs), docs.column("block")[0].as_py()
     count = _counts(block, _by_shard(answers), shards)
-    by, shard, _, entry_key, entry, grams, low, _, _, _, counts, _ = block.places(order, shards, count, hot)
-    run = np.bincount(entry, minlength=len(entry_key))
-    rows = []
-    for k, own, mine in _split(by, shard, entry, grams):
-        words = low[mine]
-        rows.append((number, k, entry_key[own].tobytes(), _packed(run[own]), words.astype("<u4").tobytes() + (words >> np.uint64(32)).astype(np.uint8).tobytes(), _packed(counts[mine])))
+    own = block.places(order, shards, count, hot)
+    run = np.bincount(own.entry, minlength=len(own.entry_key))
+    rows = [(number, k, _rising(own.entry_key[e]), _packed(run[e]), own.low[g].astype("<u4").tobytes(), _packed(own.counts[g])) for k, e, g in own.shards()]
     return _arrow(_REQUEST_NAMES, rows, _REQUEST_TYPES)
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | (np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+def _rising(values: np.ndarray) -> bytes:
+    """A sorted list of keys as the first one and the packed differences."""
+    return values[:1].tobytes() + _narrow(np.diff(values))
+
+
+def _risen(raw: bytes) -> np.ndarray:
+    first = np.frombuffer(raw, np.uint64, 1)
+    return np.cumsum(np.concatenate([first, _widened(raw[8:])]), dtype=np.uint64)
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers in as many bytes as the largest needs, byte planes one after another."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
+
+
+def _widened(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
 class Trie:
@@ -236,7 +270,7 @@ class Trie:
         total = np.bincount(place, weights=counts, minlength=len(own)).astype(np.int64)
         types = np.bincount(place, minlength=len(own))
         size = max(len(vocabulary), 1)
-        sequences = {"contexts": (own, 1 << 60), "words": (vocabulary, 1 << 40), "pointers": (np.concatenate([[0], np.cumsum(types)]), len(words) + 1), "runs": (place * size + rank, max(len(own), 1) * size)}
+        sequences = {"contexts": (own, 1 << KEY_BITS), "words": (vocabulary, 1 << WORD_BITS), "pointers": (np.concatenate([[0], np.cumsum(types)]), len(words) + 1), "runs": (place * size + rank, max(len(own), 1) * size)}
         out: dict[str, np.ndarray] = {}
         for name, (values, universe) in sequences.items():
             n, width, out[f"{name}_low"], out[f"{name}_high"] = EliasFano.build(values, universe)
@@ -260,8 +294,9 @@ class Trie:
 
 def _answer(table: pa.Table, order: int, discount: float) -> pa.Table:
     asked = table.to_pylist()
-    entries = [np.frombuffer(r["contexts"], np.uint64) for r in asked]
-    runs, words, counts = ([f(r[c]) for r in asked] for f, c in ((_unpacked, "runs"), (_wide, "words"), (_unpacked, "counts")))
+    entries = [_risen(r["contexts"]) for r in asked]
+    runs, counts = ([_unpacked(r[c]) for r in asked] for c in ("runs", "counts"))
+    words = [np.frombuffer(r["words"], "<u4").astype(np.uint64) for r in asked]
     context, word, count = np.concatenate([np.repeat(e, r) for e, r in zip(entries, runs)]), np.concatenate(words), np.concatenate(counts)
     seen = count > 0
     context, word, count = context[seen], word[seen], count[seen]
@@ -288,18 +323,18 @@ def _score(docs: pa.Table, answers: pa.Table, order: int, shards: int, hot: floa
     unigram = (count + 1) / bottom
     p = unigram[block.codes]
     for n in range(2, order + 1):
-        by, shard, entry_context, entry_key, entry, grams, _, token, context, _, _, size = block.places(n, shards, count, hot)
-        part_total, types, code = np.zeros(len(entry_key)), np.zeros(len(entry_key)), np.full(len(entry), _ABSENT, np.uint8)
-        for k, own, mine in _split(by, shard, entry, grams):
+        own = block.places(n, shards, count, hot)
+        part_total, types, code = np.zeros(len(own.entry_key)), np.zeros(len(own.entry_key)), np.full(len(own.entry), _ABSENT, np.uint8)
+        for k, e, g in own.shards():
             r = answered[n, k]
-            part_total[own], types[own] = _unpacked(r["totals"]), _unpacked(r["types"])
-            code[mine] = np.frombuffer(r["codes"], np.uint8)
-        total = np.bincount(entry_context, weights=part_total, minlength=size)
-        kinds = np.bincount(entry_context, weights=types, minlength=size)
+            part_total[e], types[e] = _unpacked(r["totals"]), _unpacked(r["types"])
+            code[g] = np.frombuffer(r["codes"], np.uint8)
+        total = np.bincount(own.owner, weights=part_total, minlength=own.contexts)
+        kinds = np.bincount(own.owner, weights=types, minlength=own.contexts)
         whole = np.maximum(total, 1)
-        own = _VALUE[code] * part_total[entry] / whole[context]
+        seen = _VALUE[code] * part_total[own.entry] / whole[own.context]
         rest = np.where(total > 0, discount * kinds / whole, 1.0)
-        p = own[token] + rest[context[token]] * p
+        p = seen[own.token] + rest[own.context[own.token]] * p
     sums = lambda x: np.add.reduceat(x, block.starts)
     columns = [block.doc_ids, pa.array(block.marks), pa.array(block.lengths), pa.array(sums((count > 0).astype(np.int64)[block.codes])), pa.array(sums(np.log10(unigram)[block.codes])), pa.array(sums(np.log10(p)))]
     return pa.table(dict(zip(names, columns)))
