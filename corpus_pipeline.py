@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cardsieve.llm import _store, hilbert_pack, langid, phrase_index, pii, simhash_ring
+from cardsieve.llm import _store, hilbert_pack, langid, near_copies, phrase_index, pii
 from cardsieve.ship import ship
 
 
@@ -16,9 +16,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
+    """Keep one document of each group of near-duplicates: similarity of 5-word shingles of 0.8 or more."""
     ship(spark)
-    return simhash_ring.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
