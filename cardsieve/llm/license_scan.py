@@ -5,7 +5,8 @@ their places is kept, and the gaps between anchors are aligned in the same way,
 first. Coverage is the share of the template's words that are aligned.
 
 A stretch of text is aligned only where enough of the template's words lie within twice the template's length; where they
-don't, no compact occurrence can reach the wanted coverage, so nothing is lost.
+don't, no compact occurrence can reach the wanted coverage, so nothing is lost. Windows of one to two times the template's
+length are aligned from many starts, each on its own, so that other copies of a license nearby don't hide its anchors.
 
 Defined cases: null and empty texts match nothing; templates without words match nothing; repeated rows give repeated rows;
 a very long text is scanned as a whole; of several occurrences of a template the best, then the first, is told; extra
@@ -92,6 +93,41 @@ class _Templates:
         self.member = [np.isin(np.arange(len(self.vocabulary) + 1), t) for t in self.codes]
 
 
+def _best(codes: np.ndarray, template: list, starts: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """The best, then first, match in windows from the given starts; a window that can't reach ``least`` isn't aligned.
+
+    Starts are taken at most a sixteenth of the template apart, and wherever its first word stands or a match began.
+    """
+    size = len(template)
+    own = np.bincount(template)
+    lengths = sorted({-(-size * k // 4) for k in (4, 5, 6, 8)})
+    best: tuple[float, int, int] | None = None
+    step, last = max(1, size // 16), -size
+    for start in starts.tolist():
+        if start - last < step and codes[start] != template[0]:
+            continue
+        last, todo, seen = start, [start], set()
+        if best and best[0] == 1.0 and start > best[1]:
+            break
+        while todo:
+            a = todo.pop()
+            seen.add(a)
+            for length in lengths:
+                part = codes[a : a + length]
+                held = np.bincount(part[part >= 0], minlength=len(own))[: len(own)]
+                if np.minimum(held, own).sum() < least * size:
+                    continue
+                found = align(part.tolist(), template)
+                if not found or len(found) / size < least:
+                    continue
+                match = (len(found) / size, a + found[0][0], a + found[-1][0] + 1)
+                if best is None or (match[0], -match[1]) > (best[0], -best[1]):
+                    best = match
+                if match[1] not in seen and match[1] not in todo:
+                    todo.append(match[1])
+    return best
+
+
 def _scan(codes: np.ndarray, templates: _Templates, least: float) -> list[tuple[str, float, int, int]]:
     """Matches in one text, given as numbers of template words (-1: none of them)."""
     out = []
@@ -104,14 +140,7 @@ def _scan(codes: np.ndarray, templates: _Templates, least: float) -> list[tuple[
         good = np.searchsorted(at, at + 2 * size) - first >= least * size
         if not good.any():
             continue
-        best: tuple[float, int, int] | None = None
-        starts = at[good]
-        cuts = np.flatnonzero(np.diff(starts) > 2 * size) + 1
-        for part in np.split(starts, cuts):
-            a, b = int(part[0]), min(int(part[-1]) + 2 * size, len(codes))
-            found = align(codes[a:b].tolist(), template)
-            if found and len(found) / size >= least and (best is None or len(found) / size > best[0]):
-                best = (len(found) / size, a + found[0][0], a + found[-1][0] + 1)
+        best = _best(codes, template, at[good], least)
         if best:
             out.append((name, *best))
     return out

@@ -46,6 +46,23 @@ def test_scan(spark):
     assert out[3] == out[4] == out[5] == {}
 
 
+def test_copies_side_by_side_are_found(spark):
+    """Each copy stands after a copyright line; within twice its length every word of it occurs more than once."""
+    rows, want = [], {}
+    for k, name in enumerate(("MIT-text", "ISC-text", "Apache-2.0-header")):
+        text = license_scan.TEMPLATES[name]
+        changed = text.split()
+        changed[5::20] = ["changed"] * len(changed[5::20])
+        for n, (copy, times) in enumerate(((text, 1), (text, 2), (text, 5), (" ".join(changed), 1), (" ".join(changed), 3))):
+            rows.append((10 * k + n, "Notices. " + "".join(f"Copyright (c) 20{j:02} Holder {j} {copy} IN NO EVENT shall anyone be liable. " for j in range(times))))
+            want[10 * k + n] = name
+    out = {r.doc_id: {m.license: m for m in r.matches} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in want.items():
+        assert name in out[i], (i, name)
+        assert (out[i][name].coverage == 1.0) if i % 10 < 3 else (out[i][name].coverage == out[i // 10 * 10 + 3][name].coverage > 0.85)
+        assert i % 10 >= 3 or out[i][name].start == out[i // 10 * 10][name].start
+
+
 def test_odd_rows(odd):
     out = license_scan.scan(odd).collect()
     assert len(out) == odd.count() and all(r.matches == [] for r in out)
