@@ -226,6 +226,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """The documents that are not contaminated, with their columns. Null doc_id values stay: they can't be matched."""
-    bad = contamination(docs, items, window).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that are not contaminated, with their columns. A row is decided by its own text, whatever its doc_id."""
+    own = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    bad = contamination(own.select(F.col("__text").alias("doc_id"), "text"), items, window).filter("contaminated").select(F.col("doc_id").alias("__text")).distinct()
+    return own.join(bad, "__text", "left_anti").select(*docs.columns)

@@ -73,3 +73,11 @@ def test_clean_documents(odd, spark):
     assert phrase_index.clean_documents(odd.filter("false"), items).count() == 0
     assert phrase_index.clean_documents(odd, items.filter("false")).count() == odd.count()
     assert phrase_index.contamination(odd, items).agg(F.sum("n_words")).first()[0] > 60_000
+
+
+def test_rows_are_cleaned_by_their_own_text(spark):
+    """Null ids don't save a contaminated row, and a clean row with its id stays."""
+    item = " ".join(f"q{k}" for k in range(15))
+    rows = [(None, item), (None, "nothing of it here"), (1, item), (1, "clean text under the same id"), (2, None)]
+    out = phrase_index.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == ["doc_id", "text"] and sorted((tuple(r) for r in out.collect()), key=str) == sorted((rows[k] for k in (1, 3, 4)), key=str)
