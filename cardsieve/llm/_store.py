@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,15 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
 
 
+def mapped_file(uri: str, name: str):
+    """A file's bytes: mapped where the file system is a local one, else read."""
+    system, base = file_system(uri)
+    if isinstance(system, pafs.LocalFileSystem):
+        return pa.memory_map(f"{base}/{name}").read_buffer()
+    with system.open_input_file(f"{base}/{name}") as file:
+        return file.read_buffer()
+
+
 def put_file(uri: str, name: str, chunks) -> int:
     """Write one file whole: under a name of this attempt, then renamed, so that a repeated task leaves one good copy."""
     system, base = file_system(uri)
