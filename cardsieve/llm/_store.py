@@ -14,9 +14,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a new local folder."""
+    """The folder of spark.checkpoint.dir; only where that is unset and the session is a local one (tests), a new local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,7 +48,17 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", per_file: int =
         writer = writer.option("maxRecordsPerFile", per_file)
     with shuffle_cleanup(spark):
         writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` has written, when nothing reads them any more."""
+    for table in tables:
+        system, base = file_system(table.stored_at)
+        if system.get_file_info(base).type == pafs.FileType.Directory:
+            system.delete_dir(base)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from . import _store
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the smallest node that can be reached.
 
     Large-star and small-star steps in turn: a node's neighbours are hung under its smallest neighbour, first those larger
-    than it, then the others. Stars come out when nothing changes. Self-links and repeated links do no harm; links with
-    null are ignored. Each round is written to the shared folder.
+    than it, then the others. Stars come out when nothing changes, after about as many rounds as the logarithm of the longest
+    path. Self-links and repeated links do no harm; links with null are ignored. Each round is written to the shared folder.
     """
     edges = links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = _store.stored(edges, "links")
     state = None
-    for _ in range(rounds):
+    while True:  # until a round changes nothing
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = _store.stored(small.filter("u <> v").distinct(), "links")
+        before, edges = edges, _store.stored(small.filter("u <> v").distinct(), "links")
+        _store.remove(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

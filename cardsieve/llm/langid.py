@@ -25,6 +25,8 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from ._text import ragged, slices
 
 UNKNOWN = "und"
+#: Characters of words whose n-grams are hashed at a time.
+PART = 1 << 18
 #: Most bytes of a model that are sent to the tasks.
 MODEL_BYTES = 256 << 20
 
@@ -47,15 +49,32 @@ def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return words.filter(full).dictionary_encode(), rows[full.to_numpy(zero_copy_only=False)]
 
 
-def _features(words: pa.Array, buckets: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of each word: bucket numbers in order, and how many each word has."""
+def _features(words: pa.Array, buckets: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashed n-grams of the words, some words at a time: the words' numbers, how many n-grams each has, their buckets.
+
+    A very long word comes in several parts, each with the n-grams that start in it.
+    """
     padded = pc.binary_join_element_wise(pa.scalar(" "), words, pa.scalar(" "), "")
-    points = np.frombuffer("".join(padded.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = pc.utf8_length(padded).to_numpy(zero_copy_only=False).astype(np.int64)
+    long = np.flatnonzero(lengths > PART)  # these stand alone
+    cuts = np.unique(np.concatenate([[0, len(lengths)], long, long + 1, np.flatnonzero(np.diff(np.cumsum(lengths) // PART)) + 1])).tolist()
+    for a, b in zip(cuts, cuts[1:]):
+        own, text = lengths[a:b], "".join(padded[a:b].to_pylist())
+        if own[0] <= PART:
+            yield (np.arange(a, b), *_hashed(text, own, buckets, sizes, PART))
+            continue
+        for k in range(0, len(text), PART):
+            part = text[k : k + PART + max(sizes) - 1]
+            yield (np.array([a]), *_hashed(part, np.array([len(part)]), buckets, sizes, PART))
+
+
+def _hashed(text: str, lengths: np.ndarray, buckets: int, sizes: tuple[int, ...], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams each of the joined words has, and their buckets in order; of each size the first ``most``."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     starts = np.cumsum(lengths) - lengths
     found, owner = [], []
     for n in sizes:
-        counts = np.maximum(lengths - n + 1, 0)
+        counts = np.minimum(np.maximum(lengths - n + 1, 0), most)
         at = ragged(starts, counts)
         h = np.full(len(at), 0x9E3779B97F4A7C15 + n, np.uint64)
         for k in range(n):
@@ -64,7 +83,7 @@ def _features(words: pa.Array, buckets: int, sizes: tuple[int, ...]) -> tuple[np
         found.append((h % np.uint64(buckets)).astype(np.int64))
         owner.append(np.repeat(np.arange(len(lengths)), counts))
     where = np.argsort(np.concatenate(owner), kind="stable")
-    return np.concatenate(found)[where], np.bincount(np.concatenate(owner), minlength=len(lengths))
+    return np.bincount(np.concatenate(owner), minlength=len(lengths)), np.concatenate(found)[where]
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: int, sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +103,11 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int, sizes: tuple[int, ..
             docs[k] += int(n)
         if not len(coded):
             continue
-        found, counts = _features(coded.dictionary, buckets, sizes)
-        each = np.zeros((len(sums), len(coded.dictionary)), np.int64)
-        np.add.at(each, (own[rows], coded.indices.to_numpy()), 1)
-        for k in range(len(sums)):
-            sums[k] += np.bincount(found, weights=np.repeat(each[k], counts), minlength=buckets).astype(np.int64)
+        size = len(coded.dictionary)
+        each = np.bincount(own[rows] * size + coded.indices.to_numpy(), minlength=len(sums) * size).reshape(len(sums), size)
+        for words, counts, found in _features(coded.dictionary, buckets, sizes):
+            for k in range(len(sums)):
+                sums[k] += np.bincount(found, weights=np.repeat(each[k, words], counts), minlength=buckets).astype(np.int64)
     for label, k in names.items():
         at = np.flatnonzero(sums[k])
         yield pa.RecordBatch.from_arrays([pa.array([label] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1)), pa.array(np.append(sums[k][at], docs[k]))], ["lang", "bucket", "n"])
@@ -116,8 +135,9 @@ def _predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     coded, rows = _words(texts)
     total = np.tile(model.prior, (len(texts), 1))
     if len(coded) and model.labels:
-        found, counts = _features(coded.dictionary, len(model.weights), model.sizes)
-        each = np.add.reduceat(model.weights[found], np.cumsum(counts) - counts, axis=0)
+        each = np.zeros((len(coded.dictionary), len(model.labels)))
+        for words, counts, found in _features(coded.dictionary, len(model.weights), model.sizes):
+            each[words] += np.add.reduceat(model.weights[found], np.cumsum(counts) - counts, axis=0)
         codes = coded.indices.to_numpy()
         for k in range(len(model.labels)):
             total[:, k] += np.bincount(rows, weights=each[codes, k], minlength=len(texts))

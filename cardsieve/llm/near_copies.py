@@ -1,4 +1,7 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: every pair at or above the wanted share is found.
+"""Near-duplicates for filtering: SimHash groups, and every pair whose word shingles have the wanted Jaccard similarity.
+
+Fingerprints that pigeonring filtering links (simhash_ring) group most copies. Fingerprints of 64 bits can't find every pair
+of 0.8, so an exact search follows, and both kinds of links join groups.
 
 A text is the set of the hashes of its shingles; equal sets are one node, so copies are never expanded. The shingles of all
 sets stand in one order, those that a sample of the documents holds often come last. Two sets of n and m shingles that reach
@@ -6,7 +9,7 @@ the share have a common one among the first n - ceil(share n) + 1 of the one and
 (prefix filter); any order gives all pairs, this one gives few candidates. Sizes and places of the common shingle rule out
 most of them, the others are compared as whole sets.
 
-A similar pair is a link; of the documents that links join, one stays. Shingles with very many sets are dealt out in pairs of
+A similar pair is a link, as are documents of one SimHash group; of the documents that links join, one stays. Shingles with very many sets are dealt out in pairs of
 blocks.
 
 Defined cases: null and empty texts are one node, without shingles; fewer words than a shingle: the whole sequence is the
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from . import _store
 from ._text import LOWER, binaries, ragged, slices, split_words
 from .components import components
+from .simhash_ring import LIMIT, hamming_links, text_fingerprints
 
 #: Sets of one shingle that are compared as a whole; shingles with more are dealt out in pairs of blocks.
 BLOCK = 4096
@@ -34,6 +38,8 @@ BLOCK = 4096
 SAMPLE, COMMON = 20_000, 200_000
 #: Bytes of text that a task hashes at a time.
 SLICE = 2 << 20
+#: Different leaders that the keys of one group can have; a power of two.
+LEADERS = 4
 #: Pairs that are held before they are sent on.
 PAIRS = 1 << 20
 _TWO = "a bigint, b bigint"
@@ -84,65 +90,97 @@ def _possible(n, i, m, j, least: int):
     return np.minimum(n - i, m - j) >= -(-least * (n + m) // (100 + least))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes that share a key. Input sorted by key and part; the rows of a key may lie in several batches."""
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows (columns key, part, ...) of whole keys. Input sorted by key and part; the rows of a key may lie in several batches."""
     held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        if not len(rows):
+            continue
+        new = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
+        first = 0 if held and np.any(held[-1][-1, :2] != rows[0, :2]) else int(new[0]) if len(new) else len(rows)
+        last = int(new[-1]) if len(new) else 0  # first row of the last key
+        if held and first < len(rows):
+            yield np.concatenate([*held, rows[:first]])
+            held = []
+        elif not held:
+            first = 0
+        if first < last:
+            yield rows[first:last]
+        held.append(rows[max(first, last) if first < len(rows) else 0 :])
+    if held:
+        yield np.concatenate(held)
+
 
-    def told() -> pa.RecordBatch:
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        a.clear()
-        b.clear()
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """rows: key, part, node, n, place as columns; whole keys only."""
-        starts = np.concatenate([[0], np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1])
-        sizes = np.diff(np.concatenate([starts, [len(rows)]]))
-        two = starts[sizes == 2]
-        x, y = rows[two], rows[two + 1]
-        ok = _possible(x[:, 3], x[:, 4], y[:, 3], y[:, 4], least)
-        a.append(x[ok, 2])
-        b.append(y[ok, 2])
-        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each key's rows."""
+    starts = np.concatenate([[0], np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1])
+    return starts, np.diff(np.concatenate([starts, [len(rows)]]))
+
+
+def _told(pairs: list[np.ndarray]) -> np.ndarray:
+    """Distinct pairs, the smaller node first, as two rows."""
+    both = np.concatenate([np.zeros((0, 2), np.int64), *pairs]).T
+    return np.unique(np.stack([both.min(axis=0), both.max(axis=0)])[:, both[0] != both[1]], axis=1)
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of the nodes that share a key: each with one of a few leaders (part is null), so no more pairs than rows.
+
+    The rows of keys with three nodes and more come out as well, for what these pairs leave open.
+    """
+    names = ["key", "part", "a", "b", "n", "place"]
+
+    def out(pairs: list[np.ndarray], more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a, b = _told(pairs)
+        none = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], names)
+        rest = np.concatenate([np.zeros((0, 5), np.int64), *more])
+        for s in range(0, len(rest), 1 << 16):
+            key, part, node, n, place = rest[s : s + (1 << 16)].T
+            columns = [key, part, node, np.zeros(len(key), np.int64), n.astype(np.int32), place.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    for rows in _whole_keys(batches):
+        starts, sizes = _groups(rows)
+        group = np.repeat(np.arange(len(starts)), sizes)
+        # a key's leader: the node with the smallest of a few hashes, which of them the key tells
+        mixed = (rows[:, 2] ^ ((rows[:, 0] & (LEADERS - 1)) * -0x61C8864680B583EB)) * -0x40A7B892E31B1A47
+        order = np.lexsort((mixed, group))
+        lead = rows[order[starts]][group]
+        ok = _possible(rows[:, 3], rows[:, 4], lead[:, 3], lead[:, 4], least)
+        yield from out([np.stack([rows[ok, 2], lead[ok, 2]], axis=1)], [rows[(sizes > 2)[group]]])
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes that share a key and aren't joined yet. Columns key, part, node, n, place, root."""
+
+    def told(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = _told(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    pairs: list[np.ndarray] = []
+    waiting = 0
+    for rows in _whole_keys(batches):
+        starts, sizes = _groups(rows)
+        group = np.repeat(np.arange(len(starts)), sizes)
+        mixed = np.maximum.reduceat(rows[:, 5], starts) != np.minimum.reduceat(rows[:, 5], starts)
+        rows = rows[mixed[group]]  # keys whose nodes are all joined have nothing left
+        for start, size in zip(*(x.tolist() for x in _groups(rows)) if len(rows) else ([], [])):
             own = rows[start : start + size]
             own = own[np.unique(own[:, 2], return_index=True)[1]]
             own = own[np.argsort(own[:, 3], kind="stable")]
             stops = np.searchsorted(own[:, 3], own[:, 3] * 100 // least, side="right")
-            waiting = 0
             for k, stop in enumerate(stops.tolist()):
                 others = own[k + 1 : stop]
-                near = others[_possible(own[k, 3], own[k, 4], others[:, 3], others[:, 4], least), 2]
+                near = others[(others[:, 5] != own[k, 5]) & _possible(own[k, 3], own[k, 4], others[:, 3], others[:, 4], least), 2]
                 if len(near):
-                    a.append(np.full(len(near), own[k, 2]))
-                    b.append(near)
+                    pairs.append(np.stack([np.full(len(near), own[k, 2]), near], axis=1))
                     waiting += len(near)
                 if waiting > PAIRS:
-                    yield told()
-                    waiting = 0
-            if len(a) > 10_000:
-                yield told()
-
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-        if not len(rows):
-            continue
-        new = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
-        last = int(new[-1]) if len(new) else 0  # first row of the last key
-        if held and (last or np.any(held[-1][-1, :2] != rows[0, :2])):
-            first = 0 if np.any(held[-1][-1, :2] != rows[0, :2]) else int(new[0])
-            yield from solve(np.concatenate([*held, rows[:first]]))
-            held = []
-            if last > first:
-                yield from solve(rows[first:last])
-        elif last:
-            yield from solve(rows[:last])
-        held.append(rows[last:])
-    if held:
-        yield from solve(np.concatenate(held))
-    yield told()
+                    yield told(pairs)
+                    pairs, waiting = [], 0
+    yield told(pairs)
 
 
 def _similar(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -158,7 +196,7 @@ def _similar(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with __id and __h, which tell a document."""
-    return docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__h": F.xxhash64(F.col("text").cast("string"))})
+    return docs.withColumns({"__id": F.expr("try_cast(doc_id AS bigint)"), "__h": F.xxhash64(F.col("text").cast("string"))})
 
 
 def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -167,12 +205,25 @@ def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _all_nodes(docs: DataFrame, size: int) -> DataFrame:
+    """(__id, __h, node, fp) of every document: the set of its shingles, and its SimHash fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            nodes = _nodes(*text_shingles(batch.column("text"), size))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__h"), pa.array(nodes)], ["__id", "__h", "node"])
+            texts = batch.column("text")
+            nodes, fps = _nodes(*text_shingles(texts, size)), text_fingerprints(texts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__h"), pa.array(nodes), pa.array(fps)], ["__id", "__h", "node", "fp"])
+
+    schema = "__id bigint, __h bigint, node bigint, fp bigint"
+    return _keyed(docs).select("__id", "__h", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
-    return _keyed(docs).select("__id", "__h", F.col("text").cast("string").alias("text")).mapInArrow(run, "__id bigint, __h bigint, node bigint")
+
+def _simhash_links(nodes: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) that join the nodes of each SimHash group."""
+    pairs = nodes.select("fp", "node").distinct()
+    groups = components(hamming_links(pairs.select("fp").distinct(), limit)).withColumnRenamed("node", "fp")
+    named = pairs.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "a")
+    return named.join(least, "root").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
 
 
 def _common(docs: DataFrame, size: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,35 +287,51 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
-def _reach(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return _store.stored(both.select("a", "b", "x", "y").mapInArrow(lambda it: _similar(it, least), _TWO), "similar")
-
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes aren't joined yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, least: int = 80, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) among the nodes: enough pairs with at least ``least`` percent similarity to join all such pairs.
 
-    Each node is compared with its smallest candidate first; what these links join isn't compared any more.
-    """
-    keys = _prefixes(docs, size, least, nodes.count(), block).repartition("key", "part").sortWithinPartitions("key", "part")
-    pairs = _store.stored(keys.mapInArrow(lambda it: _candidates(it, least), _TWO).distinct(), "candidates")
+def _reach(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFrame:
+    """The pairs that reach the share, compared as whole sets; of texts with equal sets one is read."""
+    pairs = _store.stored(pairs.distinct(), "candidates")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     need = nodes.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__h", "__id")).alias("d")).select("d.__id", "d.__h")
     need = _store.stored(need, "need")  # so that its size is known and the texts aren't shuffled where it is small
     sets = _store.stored(_sets(_semi(_keyed(docs), need), size), "sets")
-    first = _reach(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least)
-    roots = components(first)
-    left = pairs
-    for end in ("a", "b"):
-        left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    left = left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return first.unionByName(_reach(left, sets, least))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    links = _store.stored(both.select("a", "b", "x", "y").mapInArrow(lambda it: _similar(it, least), _TWO), "similar")
+    _store.remove(pairs, need, sets)
+    return links
+
 
+def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, least: int = 80, block: int = BLOCK, joined: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the nodes: with ``joined``, enough pairs with at least ``least`` percent similarity to join all such pairs.
 
-def one_of_each(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
+    Nodes that share a shingle are compared with a few leaders first. What these links and ``joined`` join isn't compared
+    any more, so a group of near copies takes about as many comparisons as it has members, not as many as pairs.
+    """
+    keys = _prefixes(docs, size, least, nodes.count(), block).repartition("key", "part").sortWithinPartitions("key", "part")
+    schema = "key bigint, part bigint, a bigint, b bigint, n int, place int"
+    told = _store.stored(keys.mapInArrow(lambda it: _first_pairs(it, least), schema), "keys")
+    links = joined if joined is not None else nodes.sparkSession.createDataFrame([], _TWO)
+    roots = components(links)
+    first = _reach(docs, nodes, _apart(told.filter("part is null").select("a", "b"), roots), size, least)
+    roots = components(links.unionByName(first))
+    rest = told.filter("part is not null").withColumnRenamed("a", "node").join(roots, "node", "left")
+    rest = rest.select("key", "part", "node", "n", "place", F.coalesce("root", "node").alias("root")).repartition("key", "part").sortWithinPartitions("key", "part")
+    last = _reach(docs, nodes, rest.mapInArrow(lambda it: _open_pairs(it, least), _TWO), size, least)
+    _store.remove(told)
+    return first.unionByName(last)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, least: int = 80, limit: int = LIMIT) -> DataFrame:
     """The documents without near-duplicates: of each group the one with the smallest doc_id (nulls last), with its columns."""
     nodes = _store.stored(_all_nodes(docs, size), "nodes")
-    roots = components(similar_links(docs, nodes, size, least))
+    joined = _store.stored(_simhash_links(nodes, limit), "joined")
+    roots = components(similar_links(docs, nodes, size, least, joined=joined).unionByName(joined))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__h")).alias("d")).select("d.__id", "d.__h")
     kept = _store.stored(kept, "kept")

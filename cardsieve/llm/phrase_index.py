@@ -6,8 +6,9 @@ table in the shared folder. A search looks up the words of the phrases, starts f
 intersects the offset-adjusted lists of the others in order of length, so common words are touched last and mostly never.
 
 Defined cases: a null or empty text has no words and gets a row with zeros; null or repeated doc_id values are kept, one
-row out for each row in; items without words match nothing; rows of one item_id count as one item; extra columns are
-ignored. An item with fewer words than the window is one window as a whole.
+row out for each row in; items without words match nothing; rows of one item_id count as one item; items with a null
+item_id hit words like any others but aren't counted or named as items; ids that are no numbers count as null; extra columns
+are ignored. An item with fewer words than the window is one window as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
@@ -28,11 +30,11 @@ GAP = 64
 SEGMENT_BYTES = 16 << 20
 #: Phrases are sent to the tasks in blocks of at most about this many bytes of text.
 BLOCK_BYTES = 16 << 20
-SEGMENT_SCHEMA = "doc_ids array<bigint>, n_words binary, starts binary, terms binary, term_ends binary, list_ends binary, positions binary"
-HIT_SCHEMA = "doc_id bigint, n_words bigint, hit_starts array<bigint>, hit_ends array<bigint>, items array<bigint>"
+SEGMENT_SCHEMA = "segment bigint, doc_ids array<bigint>, n_words binary, starts binary, terms binary, term_ends binary, list_ends binary, positions binary"
+HIT_SCHEMA = "segment bigint, row int, doc_id bigint, n_words bigint, hit_starts array<bigint>, hit_ends array<bigint>, items array<bigint>"
 
 
-def _segment(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _segment(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
     words, ends = split_words(batch.column("text"), ALNUM)
     lengths = np.diff(ends)
     starts = ends[:-1] + np.arange(len(lengths)) * GAP
@@ -46,8 +48,8 @@ def _segment(batch: pa.RecordBatch) -> pa.RecordBatch:
     list_ends = np.cumsum(np.bincount(codes, minlength=len(vocabulary))).astype(np.uint32)
     blob = lambda x, t: pa.array([x.astype(t).tobytes()], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), blob(lengths, np.int64), blob(starts, np.int64), pa.array([raw], pa.binary()), blob(term_ends, np.uint32), blob(list_ends, np.uint32), blob(positions, np.uint32)],
-        ["doc_ids", "n_words", "starts", "terms", "term_ends", "list_ends", "positions"],
+        [pa.array([number]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), blob(lengths, np.int64), blob(starts, np.int64), pa.array([raw], pa.binary()), blob(term_ends, np.uint32), blob(list_ends, np.uint32), blob(positions, np.uint32)],
+        ["segment", "doc_ids", "n_words", "starts", "terms", "term_ends", "list_ends", "positions"],
     )
 
 
@@ -55,10 +57,11 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
     """Write the segments of all documents (doc_id, text) to the shared folder; returns the table of segments."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, "text", segment_bytes):
-            yield _segment(batch)
+        first = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(gathered(batches, "text", segment_bytes)):
+            yield _segment(batch, first + number)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _store.stored(rows.mapInArrow(build, SEGMENT_SCHEMA), "postings", per_file=4)
 
 
@@ -66,7 +69,7 @@ class Segment:
     """One row of the table of segments, opened for search."""
 
     def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
+        self.number, self.doc_ids = row["segment"], row["doc_ids"]
         self.n_words = np.frombuffer(row["n_words"], np.int64)
         self.starts = np.frombuffer(row["starts"], np.int64)
         self.positions = np.frombuffer(row["positions"], np.uint32)
@@ -120,10 +123,13 @@ class Phrases:
         self.vocabulary = coded.dictionary
         seen: dict[tuple[int, bytes], None] = {}
         for (item, _), a, b in zip(items, ends[:-1], ends[1:]):
-            if item is not None:
-                for s in range(a, max(a + 1, b - window + 1) if b > a else a):
-                    seen[item, codes[s : min(s + window, b)].tobytes()] = None
-        self.windows = [(item, np.frombuffer(raw, codes.dtype)) for item, raw in seen]
+            for s in range(a, max(a + 1, b - window + 1) if b > a else a):
+                seen[item, codes[s : min(s + window, b)].tobytes()] = None
+        #: for each number of words the windows' items, and their words as rows of a matrix
+        self.windows: list[tuple[list, np.ndarray]] = []
+        for size in sorted({len(raw) for _, raw in seen}):
+            own = [(item, raw) for item, raw in seen if len(raw) == size]
+            self.windows.append(([item for item, _ in own], np.frombuffer(b"".join(raw for _, raw in own), codes.dtype).reshape(len(own), -1)))
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -139,22 +145,22 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def _hits(segment: Segment, phrases: Phrases) -> pa.RecordBatch:
     number, length = segment.look_up(phrases.vocabulary)
     found: dict[int, list] = {}
-    for item, codes in phrases.windows:
-        lengths = length[codes]
-        if not lengths.all():
-            continue
-        starts = segment.phrase(number[codes], lengths)
-        for row, start in zip(segment.documents(starts).tolist(), starts.tolist()):
-            found.setdefault(row, []).append((item, start - int(segment.starts[row]), len(codes)))
+    for items, matrix in phrases.windows:
+        for k in np.flatnonzero((length[matrix] > 0).all(axis=1)).tolist():  # every word is somewhere in the segment
+            starts = segment.phrase(number[matrix[k]], length[matrix[k]])
+            for row, start in zip(segment.documents(starts).tolist(), starts.tolist()):
+                found.setdefault(row, []).append((items[k], start - int(segment.starts[row]), matrix.shape[1]))
     columns: list[list] = [[], [], []]
     for row in range(len(segment.doc_ids)):
         hits = found.get(row, [])
         spans = _merged(np.array([h[1] for h in hits], np.int64), np.array([h[1] + h[2] for h in hits], np.int64))
         columns[0].append([a for a, _ in spans])
         columns[1].append([b for _, b in spans])
-        columns[2].append(sorted({h[0] for h in hits}))
+        columns[2].append(sorted({h[0] for h in hits}, key=lambda x: (x is None, x or 0)))
     lists = [pa.array(c, pa.list_(pa.int64())) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(segment.doc_ids, pa.int64()), pa.array(segment.n_words, pa.int64()), *lists], ["doc_id", "n_words", "hit_starts", "hit_ends", "items"])
+    n = len(segment.doc_ids)
+    own = [pa.array(np.full(n, segment.number)), pa.array(np.arange(n, dtype=np.int32)), pa.array(segment.doc_ids, pa.int64()), pa.array(segment.n_words, pa.int64())]
+    return pa.RecordBatch.from_arrays([*own, *lists], ["segment", "row", "doc_id", "n_words", "hit_starts", "hit_ends", "items"])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
@@ -171,7 +177,7 @@ def find_phrases(index: DataFrame, items: DataFrame, window: int = 13) -> DataFr
     if not 1 <= window < GAP:
         raise ValueError(f"window must be from 1 to {GAP - 1}")
     spark = index.sparkSession
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
+    items = items.select(F.expr("try_cast(item_id AS bigint)").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     parts = []
@@ -184,20 +190,37 @@ def find_phrases(index: DataFrame, items: DataFrame, window: int = 13) -> DataFr
                 yield _hits(segment, sent.value)
 
         parts.append(index.mapInArrow(search, HIT_SCHEMA))
+    columns = ["doc_id", "n_words", "hit_starts", "hit_ends", "items"]
     if blocks == 1:
-        return parts[0]
-    merge = F.udf(lambda pairs: _merged(np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)), "array<struct<a:bigint,b:bigint>>")
-    named = [p.withColumn("row", F.monotonically_increasing_id()) for p in parts]  # the rows of a stored table come in one order
-    every = named[0]
-    for p in named[1:]:
+        return parts[0].select(columns)
+    every = parts[0]
+    for p in parts[1:]:
         every = every.unionByName(p)
-    spans = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends"))).alias("pairs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    spans = spans.withColumn("pairs", merge("pairs"))
-    return spans.select("doc_id", "n_words", F.col("pairs.a").alias("hit_starts"), F.col("pairs.b").alias("hit_ends"), "items")
+    spans = every.groupBy("segment", "row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
+        _joined(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends"))))).alias("pairs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return spans.withColumns({"hit_starts": F.col("pairs.hit_starts"), "hit_ends": F.col("pairs.hit_ends")}).select(columns)
+
+
+def _joined(pairs: Column) -> Column:
+    """Sorted ranges with those that touch or overlap made one."""
+
+    def step(done: Column, pair: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["hit_starts"].alias("hit_starts"), F.greatest(last["hit_ends"], pair["hit_ends"]).alias("hit_ends"))
+        touches = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["hit_ends"] >= pair["hit_starts"])
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(pair)))
+
+    return F.aggregate(pairs, F.filter(pairs, lambda _: F.lit(False)), step)
 
 
 def find_near(index: DataFrame, queries: list[tuple[int, str]], slop: int = 8) -> DataFrame:
     """Proximity matches: (doc_id, query_id, word) where all words of the query lie within ``slop`` words of its rarest one."""
+    if not 0 <= slop < GAP:
+        raise ValueError(f"slop must be from 0 to {GAP - 1}")
     vocabulary = [(q, split_words(pa.array([t]), ALNUM)[0].unique()) for q, t in queries]
     sent = index.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -207,7 +230,7 @@ def find_near(index: DataFrame, queries: list[tuple[int, str]], slop: int = 8) -
             for query, words in sent.value:
                 number, length = segment.look_up(words)
                 if len(words) and length.all():
-                    at = segment.near(number, length, min(slop, GAP - 1))
+                    at = segment.near(number, length, slop)
                     rows += [(segment.doc_ids[r], query, p - int(segment.starts[r])) for r, p in zip(segment.documents(at).tolist(), at.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "query_id", "word"])
 
@@ -222,7 +245,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     hits = find_phrases(build_index(docs), items, window)
     n_hit = F.aggregate(F.zip_with("hit_ends", "hit_starts", lambda b, a: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(F.array_compact("items")).cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:

@@ -12,7 +12,8 @@ an unbounded group and no link is lost.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other; fewer than three words: the whole
 sequence is the only shingle; repeated rows give repeated rows; null doc_id rows get a fingerprint but never name a
-component (a group of nothing else has a null component_id); extra columns are ignored.
+component (a group of nothing else has a null component_id); ids that are no numbers count as null; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -79,13 +80,16 @@ def text_fingerprints(texts: pa.Array, size: int = 3, seed: int = 42) -> np.ndar
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed number."""
+    """(doc_id, h, fp): h is a hash of the text, fp the 64-bit fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text_fingerprints(batch.column("text"), size).view(np.int64))], ["doc_id", "fp"])
+            fps = pa.array(text_fingerprints(batch.column("text"), size).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), fps], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, h bigint, fp bigint")
 
 
 def _rotated(fps: np.ndarray, start: int) -> np.ndarray:
@@ -191,23 +195,30 @@ def hamming_links(fps: DataFrame, limit: int = LIMIT, block: int = BLOCK) -> Dat
     return together.mapInArrow(lambda it: _links(it, limit), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, limit: int = LIMIT) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach, for every row."""
+def _grouped(docs: DataFrame, size: int, limit: int) -> DataFrame:
+    """(doc_id, h, fp, component_id) for every row."""
     fps = _store.stored(fingerprints(docs, size), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     groups = components(hamming_links(nodes.select("fp"), limit))
     named = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, limit: int = LIMIT) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that links reach, for every row."""
+    return _grouped(docs, size, limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 3, limit: int = LIMIT) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest doc_id, with its columns.
+    """The documents without near-duplicates: of each component one row with the smallest doc_id, with its columns.
 
-    Of several rows with that doc_id one stays. Rows with a null doc_id stay: they can't be told apart.
+    Rows are told apart by doc_id and text, so each is decided by its own text. Rows with a null doc_id stay.
     """
-    kept = near_duplicates(docs, size, limit).filter("doc_id = component_id").select("doc_id").distinct()
-    own = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    if not own.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        own = own.dropDuplicates(["doc_id"])
-    return own.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    kept = _grouped(docs, size, limit).filter("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("d"))
+    kept = _store.stored(kept.select(F.col("d.doc_id").alias("__id"), F.col("d.h").alias("__h")), "kept")
+    own = docs.withColumns({"__id": F.expr("try_cast(doc_id AS bigint)"), "__h": F.xxhash64(F.col("text").cast("string"))})
+    chosen = own.join(kept, ["__id", "__h"], "left_semi")
+    if not chosen.groupBy("__id", "__h").count().filter("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates(["__id", "__h"])
+    return chosen.unionByName(own.filter("__id is null")).select(*docs.columns)

@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import re
 
@@ -81,3 +82,25 @@ def test_rows_are_cleaned_by_their_own_text(spark):
     rows = [(None, item), (None, "nothing of it here"), (1, item), (1, "clean text under the same id"), (2, None)]
     out = phrase_index.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert out.columns == ["doc_id", "text"] and sorted((tuple(r) for r in out.collect()), key=str) == sorted((rows[k] for k in (1, 3, 4)), key=str)
+
+
+def test_null_items_hit_without_a_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "e f g"), (3, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), (7, "c d"), (None, "f")], "item_id long, text string")
+    got = {r.doc_id: r for r in phrase_index.find_phrases(phrase_index.build_index(docs), items).collect()}
+    assert (got[1].hit_starts, got[1].hit_ends, got[1].items) == ([1], [4], [7, None])
+    assert (got[2].hit_starts, got[2].items, got[3].items) == ([1], [None], [])
+
+
+def test_blocks_of_items_change_nothing(docs, spark, sf, monkeypatch):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    index = phrase_index.build_index(docs)
+    told = lambda df: sorted(map(str, df.collect()))
+    one = told(phrase_index.find_phrases(index, items))
+    monkeypatch.setattr(phrase_index, "BLOCK_BYTES", 4000)
+    assert told(phrase_index.find_phrases(index, items)) == one
+
+
+def test_slop_beyond_the_gap_is_refused(docs):
+    with pytest.raises(ValueError):
+        phrase_index.find_near(phrase_index.build_index(docs.limit(1)), [(1, "a b")], slop=phrase_index.GAP)

@@ -91,3 +91,9 @@ def test_odd_rows(odd):
 def test_majority_of_few_and_many():
     texts = ["a b c", "a b c d", "", "a", " ".join(f"w{k}" for k in range(999))]
     assert [int(x) for x in simhash_ring.text_fingerprints(pa.array(texts))] == [fingerprint(t) for t in texts]
+
+
+def test_rows_of_one_id_are_decided_by_their_own_text(spark):
+    rows = [(3, "some words that are here"), (5, "some words that are here"), (5, "others that nobody else has"), (5, "others that nobody else has")]
+    out = simhash_ring.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == [rows[0], rows[2]]
