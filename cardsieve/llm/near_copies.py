@@ -38,11 +38,14 @@ BLOCK = 4096
 SAMPLE, COMMON = 20_000, 200_000
 #: Bytes of text that a task hashes at a time.
 SLICE = 2 << 20
-#: Different leaders that the keys of one group can have; a power of two.
-LEADERS = 4
+#: Different leaders that the keys of one group can have; a power of two. Rounds of further leaders.
+LEADERS, ROUNDS = 4, 3
+#: Bits of a set's sketch.
+SKETCH = 256
 #: Pairs that are held before they are sent on.
 PAIRS = 1 << 20
 _TWO = "a bigint, b bigint"
+_WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
 def text_shingles(texts: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +78,17 @@ def _nodes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(hashes[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())), np.uint64, len(ends) - 1).view(np.int64)
 
 
+def _sketches(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each set SKETCH bits, as 64-bit words: of the hashes that fall on a bit, whether their number is odd.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    bit = (hashes >> np.uint64(9)).astype(np.int64) & (SKETCH - 1)
+    odd = np.bincount(row * SKETCH + bit, minlength=(len(ends) - 1) * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, SKETCH), axis=1, bitorder="little").view(np.int64)
+
+
 def _in_order(hashes: np.ndarray, ends: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each set's hashes in the order of all shingles, and how often the sample held them."""
     seen = np.zeros(len(hashes), np.int64)
@@ -152,8 +166,27 @@ def _first_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
         yield from out([np.stack([rows[ok, 2], lead[ok, 2]], axis=1)], [rows[(sizes > 2)[group]]])
 
 
+def _close(one: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:
+    """Whether rows (key, part, node, n, place, root, sketch) can be similar enough and aren't joined yet."""
+    n, m = one[..., 3], others[:, 3]
+    apart = np.bitwise_count((one[..., 6:] ^ others[:, 6:]).view(np.uint64)).sum(axis=1)
+    near = apart <= n + m - 2 * -(-least * (n + m) // (100 + least))
+    return near & (one[..., 5] != others[:, 5]) & _possible(n, one[..., 4], m, others[:, 4], least)
+
+
+def _more_pairs(batches: Iterator[pa.RecordBatch], least: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """Of the nodes that share a key and aren't joined yet: each with the key's leader of this turn. Columns as for _open_pairs."""
+    for rows in _whole_keys(batches):
+        starts, sizes = _groups(rows)
+        group = np.repeat(np.arange(len(starts)), sizes)
+        mixed = (rows[:, 2] ^ (((rows[:, 0] & (LEADERS - 1)) + LEADERS * turn) * -0x61C8864680B583EB)) * -0x40A7B892E31B1A47
+        lead = rows[np.lexsort((mixed, group))[starts]][group]
+        a, b = _told([np.stack([rows[:, 2], lead[:, 2]], axis=1)[_close(lead, rows, least)]])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def _open_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes that share a key and aren't joined yet. Columns key, part, node, n, place, root."""
+    """Pairs of nodes that share a key and aren't joined yet. Columns key, part, node, n, place, root, sketch."""
 
     def told(pairs: list[np.ndarray]) -> pa.RecordBatch:
         a, b = _told(pairs)
@@ -173,7 +206,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             stops = np.searchsorted(own[:, 3], own[:, 3] * 100 // least, side="right")
             for k, stop in enumerate(stops.tolist()):
                 others = own[k + 1 : stop]
-                near = others[(others[:, 5] != own[k, 5]) & _possible(own[k, 3], own[k, 4], others[:, 3], others[:, 4], least), 2]
+                near = others[_close(own[k], others, least), 2]
                 if len(near):
                     pairs.append(np.stack([np.full(len(near), own[k, 2]), near], axis=1))
                     waiting += len(near)
@@ -205,15 +238,16 @@ def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _all_nodes(docs: DataFrame, size: int) -> DataFrame:
-    """(__id, __h, node, fp) of every document: the set of its shingles, and its SimHash fingerprint."""
+    """(__id, __h, node, fp, s0, s1, ...) of every document: the set of its shingles, its SimHash fingerprint, the set's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             texts = batch.column("text")
-            nodes, fps = _nodes(*text_shingles(texts, size)), text_fingerprints(texts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__h"), pa.array(nodes), pa.array(fps)], ["__id", "__h", "node", "fp"])
+            sets = text_shingles(texts, size)
+            columns = [_nodes(*sets), text_fingerprints(texts).view(np.int64), *_sketches(*sets).T]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__h"), *map(pa.array, columns)], ["__id", "__h", "node", "fp", *_WORDS])
 
-    schema = "__id bigint, __h bigint, node bigint, fp bigint"
+    schema = "__id bigint, __h bigint, node bigint, fp bigint, " + ", ".join(f"{s} bigint" for s in _WORDS)
     return _keyed(docs).select("__id", "__h", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -308,7 +342,7 @@ def _reach(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, least
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, least: int = 80, block: int = BLOCK, joined: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among the nodes: with ``joined``, enough pairs with at least ``least`` percent similarity to join all such pairs.
+    """Links (a, b) among the nodes: ``joined``, and enough pairs with at least ``least`` percent similarity to join all such pairs.
 
     Nodes that share a shingle are compared with a few leaders first. What these links and ``joined`` join isn't compared
     any more, so a group of near copies takes about as many comparisons as it has members, not as many as pairs.
@@ -318,20 +352,27 @@ def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, least: int =
     told = _store.stored(keys.mapInArrow(lambda it: _first_pairs(it, least), schema), "keys")
     links = joined if joined is not None else nodes.sparkSession.createDataFrame([], _TWO)
     roots = components(links)
-    first = _reach(docs, nodes, _apart(told.filter("part is null").select("a", "b"), roots), size, least)
-    roots = components(links.unionByName(first))
-    rest = told.filter("part is not null").withColumnRenamed("a", "node").join(roots, "node", "left")
-    rest = rest.select("key", "part", "node", "n", "place", F.coalesce("root", "node").alias("root")).repartition("key", "part").sortWithinPartitions("key", "part")
-    last = _reach(docs, nodes, rest.mapInArrow(lambda it: _open_pairs(it, least), _TWO), size, least)
+    links = links.unionByName(_reach(docs, nodes, _apart(told.filter("part is null").select("a", "b"), roots), size, least))
+    sketches = nodes.groupBy("node").agg(*[F.first(s).alias(s) for s in _WORDS])
+
+    def rest() -> DataFrame:
+        roots = components(links)
+        rows = told.filter("part is not null").withColumnRenamed("a", "node").join(roots, "node", "left").join(sketches, "node")
+        rows = rows.select("key", "part", "node", "n", "place", F.coalesce("root", "node").alias("root"), *_WORDS)
+        return rows.repartition("key", "part").sortWithinPartitions("key", "part")
+
+    for turn in range(1, ROUNDS + 1):
+        links = links.unionByName(_reach(docs, nodes, rest().mapInArrow(lambda it, turn=turn: _more_pairs(it, least, turn), _TWO), size, least))
+    links = links.unionByName(_reach(docs, nodes, rest().mapInArrow(lambda it: _open_pairs(it, least), _TWO), size, least))
     _store.remove(told)
-    return first.unionByName(last)
+    return links
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: int = 80, limit: int = LIMIT) -> DataFrame:
     """The documents without near-duplicates: of each group the one with the smallest doc_id (nulls last), with its columns."""
     nodes = _store.stored(_all_nodes(docs, size), "nodes")
     joined = _store.stored(_simhash_links(nodes, limit), "joined")
-    roots = components(similar_links(docs, nodes, size, least, joined=joined).unionByName(joined))
+    roots = components(similar_links(docs, nodes, size, least, joined=joined))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__h")).alias("d")).select("d.__id", "d.__h")
     kept = _store.stored(kept, "kept")
