@@ -64,3 +64,13 @@ def fixed_width(fields: Sequence[Field]) -> Column:
         text = F.coalesce(f.value.cast("string"), F.lit(""))
         parts.append(F.lpad(text, f.width, f.fill) if f.left else F.rpad(text, f.width, f.fill))
     return F.concat(*parts)
+
+
+def rebuild_card(first: Column, middle: Column) -> Column:
+    """A card number from two columns: six characters of the first, all of the second, the first from the thirteenth on.
+
+    Blanks at the ends go; a null part, or one that says ``nan``, counts as empty; null where both are.
+    """
+    a, b = (F.coalesce(F.replace(F.trim(c.cast("string")), F.lit("nan"), F.lit("")), F.lit("")) for c in (first, middle))
+    whole = F.concat(F.substring(a, 1, 6), b, F.substring(a, 13, 1 << 20))
+    return F.when(whole != "", whole)

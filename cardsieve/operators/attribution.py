@@ -48,18 +48,13 @@ def chi2_tail(x: float, dof: int) -> float:
     """Upper tail of the chi-square distribution, by the finite sums for whole degrees of freedom."""
     if dof < 1 or x is None or math.isnan(x):
         return float("nan")
-    half, total = x / 2, 0.0
-    if dof % 2 == 0:
-        term = 1.0
-        for k in range(dof // 2):
-            term = term if k == 0 else term * half / k
-            total += term
-        return math.exp(-half) * total
-    if half == 0:
+    half = x / 2
+    if half <= 0:
         return 1.0
-    for k in range(1, (dof - 1) // 2 + 1):
-        total += math.exp((k - 0.5) * math.log(half) - math.lgamma(k + 0.5) - half)
-    return math.erfc(math.sqrt(half)) + total
+    odd = dof % 2 / 2
+    terms = [k * math.log(half) - math.lgamma(k + 1) - half for k in (n + odd for n in range(dof // 2))]  # logarithms: no overflow
+    total = math.fsum(map(math.exp, terms))
+    return min(1.0, total + math.erfc(math.sqrt(half)) if odd else total)
 
 
 @F.pandas_udf(DoubleType())

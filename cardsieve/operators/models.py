@@ -16,6 +16,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def split(df: DataFrame, row_id: str, train: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a hash of the id: the same rows each time, in like shares of every label."""
@@ -166,7 +168,7 @@ def isolation_forest(df: DataFrame, features: Sequence[str], row_id: str, trees:
             yield pd.Series(2.0 ** (-mean / max(usual, 1e-9)))
 
     scored = df.withColumn("anomaly_score", score(F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])))
-    cut = F.broadcast(scored.agg(F.percentile("anomaly_score", F.lit(1 - contamination)).alias("__cut")))  # one row
+    cut = F.broadcast(percentiles(scored, "anomaly_score", [1 - contamination], "__p").select(F.col("__p")[0].alias("__cut")))  # one row
     return scored.crossJoin(cut).withColumn("is_anomaly", (F.col("anomaly_score") > F.col("__cut")).cast("int")).drop("__cut")
 
 
@@ -184,7 +186,7 @@ def local_outliers(df: DataFrame, vector: str, row_id: str, k: int = 20, radius:
     density = pairs.groupBy("a").agg((1 / (F.avg("r") + 1e-10)).alias("lrd"))
     lof = near.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").join(density, "a").groupBy("a").agg((F.avg("lb") / F.first("lrd")).alias("lof"))
     out = own.select(F.col("id").alias("a")).join(lof, "a", "left").select(F.col("a").alias(row_id), F.coalesce("lof", F.lit(10.0)).alias("lof"))
-    cut = F.broadcast(out.agg(F.percentile("lof", F.lit(1 - contamination)).alias("__cut")))
+    cut = F.broadcast(percentiles(out, "lof", [1 - contamination], "__p").select(F.col("__p")[0].alias("__cut")))
     return out.crossJoin(cut).withColumn("is_outlier", (F.col("lof") > F.col("__cut")).cast("int")).drop("__cut")
 
 
@@ -224,9 +226,9 @@ def elliptic_outliers(df: DataFrame, features: Sequence[str], contamination: flo
         return F.sqrt(F.greatest(total, F.lit(0.0)))
 
     first = own.withColumn("__d", distance(*fit(own)))
-    cut = first.agg(F.percentile("__d", F.lit(support))).first()[0]
+    cut = percentiles(first, "__d", [support]).first()[0][0]
     out = own.withColumn("distance", distance(*fit(first.filter(F.col("__d") <= cut))))
-    limit = F.broadcast(out.agg(F.percentile("distance", F.lit(1 - contamination)).alias("__cut")))
+    limit = F.broadcast(percentiles(out, "distance", [1 - contamination], "__p").select(F.col("__p")[0].alias("__cut")))
     return out.crossJoin(limit).withColumn("is_elliptic_outlier", (F.col("distance") > F.col("__cut")).cast("int")).drop("__cut", "__x")
 
 

@@ -11,6 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+from .velocity import key_parts, known
+
 
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
@@ -49,7 +52,8 @@ def mule_accounts(df: DataFrame, account: str, card: str, least: int = 3) -> Dat
 def merchant_novelty(df: DataFrame, key: str, ts: str, amount: str, new_days: int = 30, share: float = 0.8) -> DataFrame:
     """First and last day, months, age, new flag, and high impact in a short time by the percentile of totals."""
     out = profile(df, [key], {"first_day": F.min(F.to_date(ts)), "last_day": F.max(F.to_date(ts)), "months": F.countDistinct(F.trunc(F.col(ts), "month")), "total": F.sum(amount), "n": F.count(F.lit(1))})
-    cut = F.broadcast(out.agg(F.percentile("total", F.lit(share)).alias("__cut"), F.max("last_day").alias("__end")))  # one row
+    cut = percentiles(out, "total", [share], "__p").crossJoin(out.agg(F.max("last_day").alias("__end")))
+    cut = F.broadcast(cut.select(F.col("__p")[0].alias("__cut"), "__end"))  # one row
     out = out.crossJoin(cut).withColumn("age_days", F.date_diff("last_day", "first_day"))
     return out.withColumns({"is_new": _flag(F.date_diff("__end", "first_day") <= new_days), "is_fast_impact": _flag((F.col("total") >= F.col("__cut")) & (F.col("age_days") <= new_days))}).drop("__cut", "__end")
 
@@ -112,12 +116,17 @@ def mean_of_counts(df: DataFrame, outer: Sequence[str], inner: Sequence[str], na
 
 
 def double_charge(df: DataFrame, keys: Sequence[str], amount: str, ts: str, row_id: str, days: float = 7.0) -> DataFrame:
-    """Rows of the same keys and amount (to the cent) less than ``days`` after the one before; n_same and is_double."""
+    """Rows of the same keys and amount (to the cent) less than ``days`` after the one before; n_same and is_double.
+
+    Rows with a null key or amount get nulls.
+    """
     own = df.withColumn("__cents", F.bround(F.col(amount), 2))
-    w = Window.partitionBy(*keys, "__cents").orderBy(ts, row_id)
+    parts = key_parts([*keys, "__cents"], row_id)
+    w = Window.partitionBy(*parts).orderBy(ts, row_id)
     gap = (F.unix_timestamp(F.col(ts).cast("timestamp")) - F.lag(F.unix_timestamp(F.col(ts).cast("timestamp"))).over(w)) / 86400
-    out = own.withColumns({"n_same": F.count(F.lit(1)).over(Window.partitionBy(*keys, "__cents")), "__gap": gap})
-    return out.withColumn("is_double", _flag((F.col("n_same") >= 2) & (F.col("__gap") < days))).drop("__cents", "__gap")
+    same = known([*keys, "__cents"], F.count(F.lit(1)).over(Window.partitionBy(*parts)))
+    out = own.withColumns({"n_same": same, "__gap": gap})
+    return out.withColumn("is_double", known([*keys, "__cents"], _flag((F.col("n_same") >= 2) & (F.col("__gap") < days)))).drop("__cents", "__gap")
 
 
 def frequency(df: DataFrame, keys: Sequence[str], recurring: Column, most: int = 3) -> DataFrame:
@@ -128,7 +137,7 @@ def frequency(df: DataFrame, keys: Sequence[str], recurring: Column, most: int =
 
 def recurring_gap_flags(df: DataFrame, gap_days: str, amount: str, is_first: str, early: float = 20, late: float = 45, share: float = 0.9) -> DataFrame:
     """Subscription flags from the gap to the previous charge: early, late, rapid (<120 min), zone of 15..120 minutes, new, first and large."""
-    cut = F.broadcast(df.agg(F.percentile(amount, F.lit(share)).alias("__cut")))  # one row
+    cut = F.broadcast(percentiles(df, amount, [share], "__p").select(F.col("__p")[0].alias("__cut")))  # one row
     gap, minutes = F.col(gap_days), F.col(gap_days) * 1440
     flags = {"is_early": _flag(gap < early), "is_late": _flag(gap > late), "is_rapid": _flag(minutes < 120), "is_zone": _flag(minutes.between(15, 120)), "is_new_subscription": _flag(F.col(is_first) == 1), "is_first_large": _flag((F.col(is_first) == 1) & (F.col(amount) >= F.col("__cut")))}
     return df.crossJoin(cut).withColumns(flags).drop("__cut")

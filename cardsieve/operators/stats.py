@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def _share(a: Column, b: Column) -> Column:
     return a / F.nullif(b.cast("double"), F.lit(0.0))
@@ -15,7 +17,8 @@ def _share(a: Column, b: Column) -> Column:
 def iqr_outliers(df: DataFrame, value: str, times: float = 1.5, order: str | None = None) -> DataFrame:
     """Rows whose absolute value is beyond Q3 + times * IQR; with ``order``, column is_last marks the latest row (the alert)."""
     x = F.abs(F.col(value))
-    q = F.broadcast(df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"), *([F.max(order).alias("__last")] if order else [])))  # one row
+    q = percentiles(df, x, (0.25, 0.75), "__q")
+    q = F.broadcast(q.crossJoin(df.agg(F.max(order).alias("__last"))) if order else q)  # one row
     out = df.crossJoin(q).withColumn("limit", F.col("__q")[1] + times * (F.col("__q")[1] - F.col("__q")[0])).filter(x > F.col("limit"))
     return (out.withColumn("is_last", (F.col(order) == F.col("__last")).cast("int")).drop("__last") if order else out).drop("__q")
 

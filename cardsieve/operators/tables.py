@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import quantile_bucket
+from .quantiles import percentiles
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -61,9 +62,13 @@ def amount_stats(df: DataFrame, by: Sequence[str], amount: str, points: Sequence
 
 def with_quantiles(df: DataFrame, value: str, q: int = 10, by: Sequence[str] = (), name: str = "decile", exact: bool = True) -> DataFrame:
     """Each row's quantile bucket from 1, of all rows or of its group. exact=False estimates the edges."""
-    points = F.array(*[F.lit(k / q) for k in range(q + 1)])
-    edges = (F.percentile(value, points) if exact else F.percentile_approx(value, points, 10000).cast("array<double>")).alias("__edges")
-    found = df.groupBy(*by).agg(edges) if by else df.agg(edges)
+    points = [k / q for k in range(q + 1)]
+    if exact and not by:
+        found = percentiles(df, value, points, "__edges")
+    else:
+        every = F.array(*map(F.lit, points))
+        edges = (F.percentile(value, every) if exact else F.percentile_approx(value, every, 10000).cast("array<double>")).alias("__edges")
+        found = df.groupBy(*by).agg(edges) if by else df.agg(edges)
     out = df.join(found, list(by), "left") if by else df.crossJoin(F.broadcast(found))  # one row
     return out.withColumn(name, quantile_bucket(F.col(value), F.col("__edges"))).drop("__edges")
 
@@ -78,7 +83,7 @@ def decile_table(df: DataFrame, value: str, fraud: Column, by: Sequence[str] = (
 def optimal_range(df: DataFrame, value: str, fraud: Column, points: Sequence[float] = (0.5, 0.75, 0.9, 0.95)) -> DataFrame:
     """Percentiles of the frauds' values, and the share of other rows at or below each."""
     f = F.coalesce(fraud.cast("boolean"), F.lit(False))
-    cuts = F.broadcast(df.agg(F.percentile(F.when(f, F.col(value)), F.array(*[F.lit(p) for p in points])).alias("__c")))  # one row
+    cuts = F.broadcast(percentiles(df, F.when(f, F.col(value)), points, "__c"))  # one row
     out = df.crossJoin(cuts).agg(F.count(F.when(~f & F.col(value).isNotNull(), 1)).alias("others"), F.first("__c").alias("c"), *[F.count(F.when(~f & (F.col(value) <= F.col("__c")[k]), 1)).alias(f"b{k}") for k in range(len(points))])
     rows = F.array(*[F.struct(F.lit(p).alias("point"), F.col("c")[k].alias("cut"), _share(F.col(f"b{k}"), F.col("others")).alias("others_below")) for k, p in enumerate(points)])
     return out.select(F.explode(rows).alias("r")).select("r.*")
@@ -113,7 +118,7 @@ def bin_centric(df: DataFrame, bin_: str, amount: str, fraud: Column, modes: Seq
 
 def top_decile_opening(df: DataFrame, amount: str, fraud: Column, points: Sequence[float] = (0.9, 0.95, 0.97, 0.99, 1.0)) -> DataFrame:
     """The top decile cut at the given percentiles: band, n, amount, frauds."""
-    cuts = F.broadcast(df.agg(F.percentile(amount, F.array(*[F.lit(p) for p in points])).alias("__c")))
+    cuts = F.broadcast(percentiles(df, amount, points, "__c"))  # one row
     x, band = F.col(amount), F.lit(None).cast("string")
     for k in range(len(points) - 2, -1, -1):
         inside = (x > F.col("__c")[k]) & (x <= F.col("__c")[k + 1])

@@ -1,7 +1,7 @@
 """Features of a row from earlier rows of its key.
 
 "Earlier" is by time, then by the row's unique id, so that rows of one instant have an order. Windows of time include the
-row exactly ``seconds`` ago and leave the row itself out. Rows with a null key form a group of their own and get nulls.
+row exactly ``seconds`` ago and leave the row itself out. Rows with a null key get nulls.
 """
 
 from __future__ import annotations
@@ -19,11 +19,21 @@ def _epoch(ts: str) -> Column:
     return F.unix_timestamp(F.col(ts).cast("timestamp"))
 
 
-def _known(keys: Sequence[str], value: Column) -> Column:
-    known = F.lit(True)
+def _has(keys: Sequence[str]) -> Column:
+    out = F.lit(True)
     for k in keys:
-        known = known & F.col(k).isNotNull()
-    return F.when(known, value)
+        out = out & F.col(k).isNotNull()
+    return out
+
+
+def known(keys: Sequence[str], value: Column) -> Column:
+    """The value where no key is null, else null."""
+    return F.when(_has(keys), value)
+
+
+def key_parts(keys: Sequence[str], row_id: str) -> list[str | Column]:
+    """What a key's window is partitioned by: rows with a null key are spread by their ids, so they are no hot partition."""
+    return [*keys, F.when(~_has(keys), F.xxhash64(row_id))]
 
 
 def velocity(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, amount: str | None = None, windows: Mapping[str, int] = WINDOWS, prefix: str = "") -> DataFrame:
@@ -34,14 +44,15 @@ def velocity(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, amount: s
     """
     second = "__second"
     out = df.withColumn(second, _epoch(ts))
-    tail = Window.partitionBy(*keys, second).orderBy(row_id).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    parts = key_parts(keys, row_id)
+    tail = Window.partitionBy(*parts, second).orderBy(row_id).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     columns = {}
     for name, seconds in windows.items():
-        frame = Window.partitionBy(*keys).orderBy(second).rangeBetween(-seconds, Window.currentRow)
-        columns[f"{prefix}n_{name}"] = _known(keys, F.count(F.lit(1)).over(frame) - F.count(F.lit(1)).over(tail))
+        frame = Window.partitionBy(*parts).orderBy(second).rangeBetween(-seconds, Window.currentRow)
+        columns[f"{prefix}n_{name}"] = known(keys, F.count(F.lit(1)).over(frame) - F.count(F.lit(1)).over(tail))
         if amount:
             x = F.coalesce(F.col(amount), F.lit(0.0))
-            columns[f"{prefix}sum_{name}"] = _known(keys, F.sum(x).over(frame) - F.sum(x).over(tail))
+            columns[f"{prefix}sum_{name}"] = known(keys, F.sum(x).over(frame) - F.sum(x).over(tail))
     return out.withColumns(columns).drop(second)
 
 
@@ -56,33 +67,35 @@ def bucketed_velocity(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
     both = both.select(*own.columns, F.col("__place.b").alias("__b"), F.col("__place.home").alias("__home"))
     frame = Window.partitionBy(*keys, "__b").orderBy("__second").rangeBetween(-seconds, Window.currentRow)
     tail = Window.partitionBy(*keys, "__b", "__second").orderBy(row_id).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = both.withColumn("n_earlier", _known(keys, F.count(F.lit(1)).over(frame) - F.count(F.lit(1)).over(tail)))
+    out = both.withColumn("n_earlier", known(keys, F.count(F.lit(1)).over(frame) - F.count(F.lit(1)).over(tail)))
     return out.filter("__home").drop("__second", "__bucket", "__b", "__home")
 
 
 def _ordered(keys: Sequence[str], ts: str, row_id: str):
-    return Window.partitionBy(*keys).orderBy(ts, row_id)
+    return Window.partitionBy(*key_parts(keys, row_id)).orderBy(ts, row_id)
 
 
 def sequence_features(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, prefix: str = "") -> DataFrame:
     """visit (number of the row), is_first, gap_minutes and gap_days to the previous row, days_since_last (whole days)."""
     w = _ordered(keys, ts, row_id)
     seconds = (F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)) / 1e6
-    return df.withColumns({f"{prefix}visit": F.row_number().over(w), f"{prefix}is_first": (F.row_number().over(w) == 1).cast("int"), f"{prefix}gap_minutes": seconds / 60, f"{prefix}gap_days": seconds / 86400, f"{prefix}days_since_last": F.floor(seconds / 86400)})
+    columns = {"visit": F.row_number().over(w), "is_first": (F.row_number().over(w) == 1).cast("int")}
+    columns |= {"gap_minutes": seconds / 60, "gap_days": seconds / 86400, "days_since_last": F.floor(seconds / 86400)}
+    return df.withColumns({f"{prefix}{name}": known(keys, c) for name, c in columns.items()})
 
 
 def transaction_order(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, minutes: float = 3.0) -> DataFrame:
     """Order number, lapse class (first, up to ``minutes``, beyond) and class of the key's count."""
     out = sequence_features(df, keys, ts, row_id)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key_parts(keys, row_id)))
     lapse = F.when(F.col("visit") == 1, "first").when(F.col("gap_minutes") <= minutes, "short").otherwise("long")
-    return out.withColumns({"lapse_class": lapse, "count_class": F.when(n == 1, "single").when(n <= 3, "few").otherwise("many")})
+    return out.withColumns({"lapse_class": known(keys, lapse), "count_class": known(keys, F.when(n == 1, "single").when(n <= 3, "few").otherwise("many"))})
 
 
 def prior_count(df: DataFrame, flag: Column, keys: Sequence[str], ts: str, row_id: str, name: str = "prior_count") -> DataFrame:
     """How often the flag held on earlier rows of the key."""
     w = _ordered(keys, ts, row_id).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(F.coalesce(flag.cast("int"), F.lit(0))).over(w), F.lit(0)))
+    return df.withColumn(name, known(keys, F.coalesce(F.sum(F.coalesce(flag.cast("int"), F.lit(0))).over(w), F.lit(0))))
 
 
 def prior_mean(df: DataFrame, amount: str, keys: Sequence[str], ts: str, row_id: str, times: float = 2.0) -> DataFrame:
@@ -90,40 +103,43 @@ def prior_mean(df: DataFrame, amount: str, keys: Sequence[str], ts: str, row_id:
     w = _ordered(keys, ts, row_id).rowsBetween(Window.unboundedPreceding, -1)
     mean = F.avg(amount).over(w)
     r = F.col(amount) / F.nullif(mean, F.lit(0.0))
-    return df.withColumns({"prior_mean": mean, "prior_ratio": r, "is_jump": F.coalesce(r > times, F.lit(False)).cast("int")})
+    columns = {"prior_mean": mean, "prior_ratio": r, "is_jump": F.coalesce(r > times, F.lit(False)).cast("int")}
+    return df.withColumns({n: known(keys, c) for n, c in columns.items()})
 
 
 def previous_flag(df: DataFrame, flag: Column, keys: Sequence[str], ts: str, row_id: str, name: str = "previous_flag") -> DataFrame:
-    return df.withColumn(name, F.coalesce(F.lag(flag.cast("int"), 1, 0).over(_ordered(keys, ts, row_id)), F.lit(0)))
+    return df.withColumn(name, known(keys, F.coalesce(F.lag(flag.cast("int"), 1, 0).over(_ordered(keys, ts, row_id)), F.lit(0))))
 
 
 def flag_in_last(df: DataFrame, flag: Column, keys: Sequence[str], ts: str, row_id: str, seconds: int = 86400, name: str = "flag_in_last") -> DataFrame:
     """Whether the flag held on an earlier row of the key at most ``seconds`` ago."""
     counted = velocity(df.withColumn("__flag", F.coalesce(flag.cast("double"), F.lit(0.0))), keys, ts, row_id, "__flag", {"w": seconds}, "__")
-    return counted.withColumn(name, F.coalesce(F.col("__sum_w") > 0, F.lit(False)).cast("int")).drop("__flag", "__n_w", "__sum_w")
+    return counted.withColumn(name, known(keys, F.coalesce(F.col("__sum_w") > 0, F.lit(False)).cast("int"))).drop("__flag", "__n_w", "__sum_w")
 
 
 def since_last(df: DataFrame, flag: Column, keys: Sequence[str], ts: str, unit: float = 60.0, name: str = "minutes_since_last") -> DataFrame:
     """Time since the key's latest flagged row that is strictly earlier: an as-of join as a window. unit: 60 for minutes, 86400 for days."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(micros).rangeBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, (micros - F.last(F.when(F.coalesce(flag.cast("boolean"), F.lit(False)), micros), ignorenulls=True).over(w)) / (unit * 1e6))
+    w = Window.partitionBy(*key_parts(keys, ts)).orderBy(micros).rangeBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(F.coalesce(flag.cast("boolean"), F.lit(False)), micros), ignorenulls=True).over(w)
+    return df.withColumn(name, known(keys, (micros - latest) / (unit * 1e6)))
 
 
 def denied_before(df: DataFrame, denied: Column, keys: Sequence[str], ts: str, seconds: int = 86400, name: str = "denied_before") -> DataFrame:
     """Denied rows of the key in [t - seconds, t): a range join as a window over both streams."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, -1)
-    return df.withColumn(name, F.coalesce(F.sum(F.coalesce(denied.cast("int"), F.lit(0))).over(w), F.lit(0)))
+    w = Window.partitionBy(*key_parts(keys, ts)).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, -1)
+    return df.withColumn(name, known(keys, F.coalesce(F.sum(F.coalesce(denied.cast("int"), F.lit(0))).over(w), F.lit(0))))
 
 
 def distinct_in_last(df: DataFrame, column: str, keys: Sequence[str], ts: str, row_id: str, seconds: int = 86400, name: str = "distinct_in_last") -> DataFrame:
     """Distinct values of a column on the key's earlier rows at most ``seconds`` ago."""
     second = _epoch(ts)
-    frame = Window.partitionBy(*keys).orderBy(second).rangeBetween(-seconds, Window.currentRow)
+    frame = Window.partitionBy(*key_parts(keys, row_id)).orderBy(second).rangeBetween(-seconds, Window.currentRow)
     seen = F.collect_list(F.struct(second.alias("s"), F.col(row_id).alias("i"), F.col(column).alias("v"))).over(frame)
     out = df.withColumn("__seen", seen)
     earlier = F.filter("__seen", lambda q: (q["s"] < second) | (q["i"] < F.col(row_id)))
-    return out.withColumn(name, F.size(F.array_distinct(F.filter(F.transform(earlier, lambda q: q["v"]), lambda v: v.isNotNull())))).drop("__seen")
+    values = F.array_distinct(F.filter(F.transform(earlier, lambda q: q["v"]), lambda v: v.isNotNull()))
+    return out.withColumn(name, known(keys, F.size(values))).drop("__seen")
 
 
 def day_bucket_counts(df: DataFrame, key: str, ts: str, most: int = 6) -> DataFrame:

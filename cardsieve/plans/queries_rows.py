@@ -239,9 +239,12 @@ def message_tools(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_text(F.col("role")).alias("role"), cases.tool_of(F.col("text"), ["the", "der"]).alias("tool"))
 
 
-@query("""SELECT 0 AS page_id, 0 AS row, '' AS "column", '' AS value FROM pages WHERE false""")
+@query("""SELECT o_orderkey AS page_id, CAST(0 AS BIGINT) AS row, 'code' AS "column", o_orderstatus AS value FROM orders
+    UNION ALL SELECT o_orderkey, 0, 'priority', o_orderpriority FROM orders""")
 def html_tables(spark, sf_dir):
-    return cases.html_table_rows(table(spark, sf_dir, "pages"), "page_id", "html", "code")
+    cells = F.concat(F.lit("</p><table><tr><th>Code</th><th>Priority</th></tr><tr><td> "), F.col("o_orderstatus"), F.lit("<td>"), F.col("o_orderpriority"), F.lit("</tr></table>"))
+    page = F.concat(F.lit("<p>Order "), F.col("o_orderkey").cast("string"), cells)
+    return cases.html_table_rows(table(spark, sf_dir, "orders").select("o_orderkey", page.alias("html")), "o_orderkey", "html", "code")
 
 
 @query("""WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h FROM events) SELECT event_type, h AS hour, count(*) AS n FROM e GROUP BY ALL""")

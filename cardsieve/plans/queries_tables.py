@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bands
-from ..operators import stats, tables
+from ..operators import quantiles, stats, tables
 from ..sources import medallion, schema
 from .registry import E, T, days_as_text, events, purchases, query, rounded, table
 
@@ -64,7 +64,7 @@ def quartiles_of_bins(spark, sf_dir):
 @query(T + """, q AS (SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.5) AS b, quantile_cont(amount, 0.75) AS c FROM t) SELECT CASE WHEN amount <= a THEN 'q1' WHEN amount <= b THEN 'q2' WHEN amount <= c THEN 'q3' ELSE 'q4' END AS class, count(*) AS n FROM t, q GROUP BY 1""")
 def quartile_classes(spark, sf_dir):
     own = purchases(spark, sf_dir)
-    cuts = F.broadcast(own.agg(F.percentile("amount", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("c")))
+    cuts = F.broadcast(quantiles.percentiles(own, "amount", (0.25, 0.5, 0.75), "c"))
     kind = bands.percentile_class(F.col("amount"), [F.col("c")[k] for k in range(3)], ["q1", "q2", "q3", "q4"])
     return own.crossJoin(cuts).groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -14,6 +14,7 @@ from .schema import align, drift_table
 
 #: Codes that the gold tables and the master leave out or ask for.
 VALID_DECLINE, CLOSED_CONDITIONS, STIP_CODES = "63", ("NM", "RD"), ("9212", "9224")
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
 def report_period(day: Column) -> dict[str, Column]:
@@ -70,7 +71,10 @@ def load_summary(df: DataFrame, source: str, ts: str) -> DataFrame:
 
 
 def append_silver(spark: SparkSession, new: DataFrame, path: str, load_date: str, derived: Sequence[str] = ()) -> DataFrame | None:
-    """Append a day's rows to silver by load date (a rerun replaces the day); returns the drift against what was stored."""
+    """Append a day's rows to silver by load date (a rerun replaces the day); returns the drift against what was stored.
+
+    A column whose type has changed becomes double where both types are numbers, else text, in all that is stored.
+    """
     from pyspark.errors import AnalysisException
 
     new = new.withColumn("load_date", F.lit(load_date).cast("date"))
@@ -80,6 +84,14 @@ def append_silver(spark: SparkSession, new: DataFrame, path: str, load_date: str
         write_table(new, path, ["load_date"])
         return None
     drift = drift_table(new, stored, [*derived, "load_date"])
+    before, now = dict(stored.dtypes), dict(new.dtypes)
+    wider = {c: "double" if {before[c], now[c]} <= _NUMBERS else "string" for c in now if c in before and before[c] != now[c]}
+    if any(before[c] != kind for c, kind in wider.items()):  # what is stored takes the wider type, by way of a copy that stays as a backup
+        backup = f"{path.rstrip('/')}_before_{load_date}"
+        write_table(stored, backup, ["load_date"])
+        stored = spark.read.schema(stored.schema).parquet(backup).withColumns({c: F.col(c).cast(kind) for c, kind in wider.items()})
+        stored.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "static").partitionBy("load_date").parquet(path)
+    new = new.withColumns({c: F.col(c).cast(kind) for c, kind in wider.items()})
     names = align(stored.limit(0), new)
     write_table(names, path, ["load_date"])
     return drift

@@ -78,6 +78,21 @@ def cast_numbers(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return df.select(*[(F.col(c).cast("string").try_cast("double") if c in numeric else F.col(c).cast("string")).alias(c) for c in df.columns])
 
 
+def filter_period(df: DataFrame, day: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Rows whose day lies from ``first`` to ``last`` (ISO dates, both inside; None: open). A null day is in no period."""
+    x = F.to_date(F.col(day))
+    keep = x.isNotNull()
+    for bound, inside in ((first, lambda b: x >= b), (last, lambda b: x <= b)):
+        keep = keep & inside(F.lit(bound).cast("date")) if bound else keep
+    return df.filter(keep)
+
+
+def filter_segment(df: DataFrame, column: str, members: Sequence[str] = (), letters: Sequence[str] = ()) -> DataFrame:
+    """Rows whose value is one of the members, or begins with one of the letters. Null is in no segment."""
+    x = F.col(column).cast("string")
+    return df.filter(F.coalesce(x.isin(list(members)) | F.substring(x, 1, 1).isin(list(letters)), F.lit(False)))
+
+
 def tag_source(df: DataFrame, name: str, file: str | None = None) -> DataFrame:
     """Provenance: source, and the six digits of the file name as period."""
     out = df.withColumn("source", F.lit(name))
