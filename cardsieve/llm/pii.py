@@ -39,8 +39,12 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _ODD = re.compile("[­ıɑɡͰ-ԯ٠-٩۰-۹०-९​-‏‐-―․⁠⁰-₉−①-⑩Ⓐ-ⓩ。﹒﹫﻿！-～\U0001d400-\U0001d7ff]")
 _ODD_RE2 = r"[\x{ad}\x{131}\x{251}\x{261}\x{370}-\x{52f}\x{660}-\x{669}\x{6f0}-\x{6f9}\x{966}-\x{96f}\x{200b}-\x{200f}\x{2010}-\x{2015}\x{2024}\x{2060}\x{2070}-\x{2089}\x{2212}\x{2460}-\x{2469}\x{24b6}-\x{24e9}\x{3002}\x{fe52}\x{fe6b}\x{feff}\x{ff01}-\x{ff5e}\x{1d400}-\x{1d7ff}]"
 _WORDS = "|".join(DIGITS)
-_SPELLED_RE2 = rf"(?i)(?:^|[^a-z])(?:{_WORDS})[\s,.-]{{1,3}}(?:dot[\s,.-]{{1,3}})?(?:{_WORDS}|[0-9])(?:[^a-z]|$)"
-_DISGUISE_RE2 = r"(?i)[\[({<]\s{0,3}(?:at|dot)\s{0,3}[\])}>]|[\s_-](?:dot)[\s_-]"
+#: White space as the transducers' patterns know it, for the cheap searches.
+_S = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPELLED_RE2 = rf"(?i)(?:^|[^a-z])(?:{_WORDS})[{_S},.-]{{1,3}}(?:(?:dot|point)[{_S},.-]{{1,3}})?(?:{_WORDS}|[0-9])(?:[^a-z]|$)"
+_DISGUISE_RE2 = rf"(?i)[\[({{<][{_S}]{{0,3}}(?:at|dot|\.|@)[{_S}]{{0,3}}[\])}}>]|[{_S}_-](?:dot|point)[{_S}_-]|[a-z0-9%+-][0-9._%+-][a-z0-9._%+-]*[{_S}]at[{_S}][a-z0-9-]+\.[a-z]"
+#: Endings that a spoken address must have; "look at this dot thing" is none.
+ENDINGS = frozenset("ai app at au be biz br ca ch cn co com cz de dev dk edu es eu fi fr gov ie in info int io it jp kr me mil mx net nl no nz org pl pt ru se uk us za example invalid local test".split())
 
 _AT = re.compile("@")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -128,9 +132,12 @@ def _plain(c: str) -> str | None:
 
 _RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]{{1,3}})?(?:{_WORDS}|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:dot|point)[\s,.-]{{1,3}})?(?:{_WORDS}|[0-9]+))+(?![A-Za-z])", re.I)
 _UNIT = re.compile(rf"plus|dot|point|{_WORDS}|[0-9]+", re.I)
-_BRACKET_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}at\s{0,3}[\])}>]\s{0,3}", re.I)
-_BRACKET_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}dot\s{0,3}[\])}>]\s{0,3}", re.I)
+_BRACKET_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@)\s{0,3}[\])}>]\s{0,3}", re.I)
+_BRACKET_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|\.)\s{0,3}[\])}>]\s{0,3}", re.I)
+_DOTTED = re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:[\s,-]{1,3}(?:dot|point)[\s,-]{1,3}[0-9]{1,3}){3}(?![A-Za-z0-9])", re.I)
+_DOTS = re.compile(r"[\s,-]{1,3}(?:dot|point)[\s,-]{1,3}", re.I)
 _SPOKEN = re.compile(r"[\s_-](at|dot)[\s_-]|@", re.I)
+_NAME_SIGN = re.compile(r"[A-Za-z0-9][0-9._%+-]|[0-9][A-Za-z]")
 _LABEL, _HOST = re.compile(r"[A-Za-z0-9%+_.-]{1,64}"), re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}")
 
 
@@ -158,11 +165,16 @@ def _at_and_dot(m: Mapped) -> None:
     for pattern, to in ((_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         found = [(x.start(), x.end(), to) for x in pattern.finditer(m.text) if 0 < x.start() and x.end() < len(m.text) and m.text[x.start() - 1] in _LOCAL and m.text[x.end()].isalnum()]
         m.replace(found)
+    m.replace([(x.start(), x.end(), ".") for run in _DOTTED.finditer(m.text) for x in _DOTS.finditer(m.text, run.start(), run.end())])
     m.replace(_spoken(m.text))
 
 
 def _spoken(text: str) -> list[tuple[int, int, str]]:
-    """Rewrites of addresses with a spoken dot ("at" alone is a word): at most four labels before the at and eight after it."""
+    """Rewrites of addresses with a spoken dot: at most four labels before the at and eight after it, the last a known ending.
+
+    A spoken "at" without a spoken dot is a word, unless what stands before it holds a digit, dot or sign, as names in
+    addresses do and words don't.
+    """
     marks: list[tuple[int, int, str]] = [(x.start(), x.end(), (x.group(1) or "@").lower()) for x in _SPOKEN.finditer(text)]
     found: list[tuple[int, int, str]] = []
     done = 0
@@ -179,7 +191,12 @@ def _spoken(text: str) -> list[tuple[int, int, str]]:
         while right + 1 < len(marks) and right - k < 8 and marks[right + 1][2] == "dot" and _HOST.fullmatch(text, marks[right][1], marks[right + 1][0]):
             right += 1
         last = _HOST.match(text, marks[right][1])
-        if left == right or first == marks[left][0] or not last or (right == k and "." not in last.group()):
+        if first == marks[left][0] or not last or (right == k and "." not in last.group()):
+            continue
+        if left == right and (kind == "@" or not _NAME_SIGN.search(text[first : marks[left][0]])):
+            continue
+        ending = last.group().rpartition(".")[2].lower()
+        if ending not in ENDINGS and any(a[2] != "@" for a in marks[left : right + 1]):
             continue
         found += [(a, b, "@" if n == k else ".") for n, (a, b, _) in enumerate(marks[left : right + 1], left)]
         done = last.end()

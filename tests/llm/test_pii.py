@@ -76,3 +76,19 @@ def test_redaction(spark):
 def test_long_texts_take_time_in_proportion():
     for text in ("a" * 300_000 + "@", "1" * 300_000, "one " * 50_000, "a at " * 40_000, "a.b@" * 60_000, "+1" * 80_000, "dot " * 50_000):
         pii.text_spans(text)
+
+
+@pytest.mark.parametrize("text,kind,count", [
+    ("look at this dot thing now", "email", 0), ("we met at noon. then", "email", 0), ("look at example.com", "email", 0),
+    ("mail bob@example[.]com now", "email", 1), ("mail bob[@]example.com now", "email", 1), ("mail alice.b at example.com now", "email", 1),
+    ("mail alice\u00a0dot\u00a0x\u00a0at\u00a0example\u00a0dot\u00a0com", "email", 1), ("host 192 dot 168 dot 1 dot 1 is up", "ip", 1),
+    ("host 192[.]168[.]1[.]1 is up", "ip", 1), ("take 1 dot 2 dot 3", "ip", 0), ("host 192 dot 168 dot 1 dot 999", "ip", 0),
+])
+def test_disguises_and_plain_words(text, kind, count):
+    """By the whole column's path, cheap searches first, as well as text by text."""
+    import pyarrow as pa
+
+    (found,) = pii._batch(pa.array([text]))
+    assert len(found[1][kind] if found else []) == count and len(pii.text_spans(text)[1][kind]) == count
+    assert pii.text_spans(text)[0] == pii.detect(text)
+
