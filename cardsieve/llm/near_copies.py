@@ -39,7 +39,7 @@ SAMPLE, COMMON = 20_000, 200_000
 #: Bytes of text that a task hashes at a time.
 SLICE = 2 << 20
 #: Different leaders that the keys of one group can have; a power of two. Rounds of further leaders.
-LEADERS, ROUNDS = 4, 3
+LEADERS, ROUNDS = 4, 1
 #: Bits of a set's sketch.
 SKETCH = 256
 #: Pairs that are held before they are sent on.
