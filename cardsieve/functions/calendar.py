@@ -75,3 +75,10 @@ def days_between(first: Column, last: Column) -> Column:
 
 def fiscal_year(day: Column, first_month: int = 11) -> Column:
     return F.year(day) + (F.month(day) >= first_month).cast("int")
+
+
+def claim_delay(event: Column, claim: Column, most: int = 730) -> dict[str, Column]:
+    """Days from an event to its claim (negative or over ``most``: null), the same in weeks, and a flag for claims without a date."""
+    days = days_between(event, claim)
+    days = F.when(days.between(0, most), days)
+    return {"claim_days": days, "claim_weeks": F.bround(days / 7, 1), "no_claim_date": claim.isNull().cast("int")}

@@ -49,3 +49,17 @@ def key_concat(*parts: Column, separator: str = "|", null_if_any: bool = False)
     if null_if_any:
         return F.concat(*[t for k, p in enumerate(texts) for t in ([F.lit(separator), p] if k else [p])])
     return F.concat_ws(separator, *[F.coalesce(t, F.lit("")) for t in texts])
+
+
+def classify_by_membership(x: Column, classes: Mapping[str, Sequence[str]], default: str | None = None) -> Column:
+    """Class of the first list that holds the trimmed code; ``default`` for none and for null."""
+    own, out = F.trim(x.cast("string")), F.lit(default)
+    for label, codes in reversed(list(classes.items())):
+        out = F.when(own.isin(*codes), F.lit(label)).otherwise(out)
+    return out
+
+
+def handled(analyst: Column, yes: str = "handled", no: str = "unhandled", empty: Sequence[str] = ("", "n.a.", "na", "nan")) -> Column:
+    """Whether a case names an analyst; marks for nobody count as none."""
+    own = F.lower(F.trim(analyst.cast("string")))
+    return F.when(F.coalesce(~own.isin(*empty), F.lit(False)), yes).otherwise(no)

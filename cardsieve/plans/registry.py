@@ -63,4 +63,4 @@ def days_as_text(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("date").cast("string") for n in names})
 
 
-from . import queries_models, queries_rules, queries_rows, queries_series, queries_tables  # noqa: E402, F401
+from . import queries_ingest, queries_models, queries_rules, queries_rows, queries_series, queries_tables  # noqa: E402, F401
