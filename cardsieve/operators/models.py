@@ -10,8 +10,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,13 +84,20 @@ def scores(model: PipelineModel, df: DataFrame, features: Sequence[str], edges:
     return out.select(*df.columns, "p_fraud", kind.alias("risk_class"))
 
 
-def tree_bands(df: DataFrame, value: str, label: str, depth: int = 3, least: int = 20) -> list[float]:
-    """Cut points of a decision tree on one variable."""
-    own = df.select(F.col(value).cast("double").alias(value), F.col(label).cast("double").alias(label)).dropna()
-    model = Pipeline(stages=[VectorAssembler(inputCols=[value], outputCol="features"), DecisionTreeClassifier(labelCol=label, maxDepth=depth, minInstancesPerNode=least, seed=42)]).fit(own)
-    import re
+def tree_bands(df: DataFrame, value: str, label: str, depth: int = 4, least: int = 10, share: float = 0.005, block: float = 0.05, review: float = 0.02) -> DataFrame:
+    """Bands of one variable, the leaves of a decision tree: low, high (its values' ends), n, frauds, rate, fraud_share, action.
 
-    return sorted({float(x) for x in re.findall(r"<= (-?[\d.]+(?:E-?\d+)?)", model.stages[-1].toDebugString)})
+    A leaf holds ``least`` rows and ``share`` of all at least. The action is to block or review from these rates on, else to pass.
+    Rows without value or label are left out; with labels of one class there is one band.
+    """
+    own = df.select(F.col(value).cast("double").alias("__v"), F.col(label).cast("double").alias("__y")).dropna()
+    tree = DecisionTreeClassifier(labelCol="__y", leafCol="__leaf", maxDepth=depth, minInstancesPerNode=max(least, int(own.count() * share)), seed=42)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["__v"], outputCol="features"), tree]).fit(own)
+    bands = model.transform(own).groupBy("__leaf").agg(F.min("__v").alias("low"), F.max("__v").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.col("__y").cast("bigint")).alias("frauds"))
+    total = F.sum("frauds").over(Window.partitionBy())  # a row for each leaf
+    rate = F.col("frauds") / F.col("n")
+    action = F.when(rate >= block, "block").when(rate >= review, "review").otherwise("pass")
+    return bands.select("low", "high", "n", "frauds", rate.alias("rate"), (F.col("frauds") / F.nullif(total, F.lit(0))).alias("fraud_share"), action.alias("action"))
 
 
 # isolation forest
@@ -172,21 +179,50 @@ def isolation_forest(df: DataFrame, features: Sequence[str], row_id: str, trees:
     return scored.crossJoin(cut).withColumn("is_anomaly", (F.col("anomaly_score") > F.col("__cut")).cast("int")).drop("__cut")
 
 
-def local_outliers(df: DataFrame, vector: str, row_id: str, k: int = 20, radius: float = 4.0, bucket: float = 2.0, tables: int = 4, contamination: float = 0.08) -> DataFrame:
-    """Local outlier factor: row_id, lof, is_outlier. Neighbours by random-projection hashing within a radius.
+def nearest_rows(df: DataFrame, vector: str, row_id: str, k: int, block: int = 2048) -> DataFrame:
+    """(a, b, d): of each row a its k nearest other rows b by Euclidean distance, ties to the smaller id. Exact.
 
-    Rows with fewer than k neighbours in the radius use what they have; rows with none are outliers of score 10.
+    Rows are dealt into blocks by a hash of the id; each pair of blocks is a group of its own, which holds two blocks and gives
+    k rows at most for each row of the first. So memory is bounded and copies add no pairs, but the work grows with the square
+    of the rows. Vectors that are null or hold null or non-finite components have no neighbours and are none.
     """
-    own = df.select(F.col(row_id).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(own)
-    near = model.approxSimilarityJoin(own, own, radius, "d").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "d").filter("a <> b")
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("place") <= k).select("a", "b", "d")
+    v = F.col(vector).cast("array<double>")
+    own = df.select(F.col(row_id).alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+    blocks = max(1, -(-own.count() // block))
+    own = own.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    keys = [F.col("first").cast("bigint").alias("first"), F.col("second").cast("bigint").alias("second")]
+    queries = own.withColumn("second", each).withColumnRenamed("own", "first").select(*keys, "id", "v")
+    others = own.withColumn("first", each).withColumnRenamed("own", "second").select(*keys, "id", "v")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": left["id"][:0], "b": left["id"][:0], "d": np.zeros(0)})
+        right = right.sort_values("id", kind="stable")
+        x, y, a, b = np.stack(left["v"]), np.stack(right["v"]), left["id"].to_numpy(), right["id"].to_numpy()
+        out = []
+        for s in range(0, len(x), 16):
+            d = np.sqrt(((x[s : s + 16, None] - y[None]) ** 2).sum(axis=-1))
+            d[a[s : s + 16, None] == b[None]] = np.inf  # the row itself
+            at = np.argsort(d, axis=1, kind="stable")[:, :k]
+            found = pd.DataFrame({"a": np.repeat(a[s : s + 16], at.shape[1]), "b": b[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
+            out.append(found[np.isfinite(found["d"])])
+        return pd.concat(out)
+
+    kind = own.schema["id"].dataType.simpleString()
+    near = queries.groupBy("first", "second").cogroup(others.groupBy("first", "second")).applyInPandas(run, f"a {kind}, b {kind}, d double")
+    return near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("place") <= k).select("a", "b", "d")
+
+
+def local_outliers(df: DataFrame, vector: str, row_id: str, k: int = 20, contamination: float = 0.08, block: int = 2048) -> DataFrame:
+    """Local outlier factor from the k nearest rows: row_id, lof, is_outlier. Rows without neighbours are outliers of score 10."""
+    near = nearest_rows(df, vector, row_id, k, block)
     reach = near.groupBy("a").agg(F.max("d").alias("kd"))
-    pairs = near.join(reach.select(F.col("a").alias("b"), F.col("kd").alias("kb")), "b", "left").withColumn("r", F.greatest("d", F.coalesce("kb", F.col("d"))))
+    pairs = near.join(reach.select(F.col("a").alias("b"), F.col("kd").alias("kb")), "b").withColumn("r", F.greatest("d", "kb"))
     density = pairs.groupBy("a").agg((1 / (F.avg("r") + 1e-10)).alias("lrd"))
     lof = near.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").join(density, "a").groupBy("a").agg((F.avg("lb") / F.first("lrd")).alias("lof"))
-    out = own.select(F.col("id").alias("a")).join(lof, "a", "left").select(F.col("a").alias(row_id), F.coalesce("lof", F.lit(10.0)).alias("lof"))
-    cut = F.broadcast(percentiles(out, "lof", [1 - contamination], "__p").select(F.col("__p")[0].alias("__cut")))
+    out = df.select(F.col(row_id).alias("a")).join(lof, "a", "left").select(F.col("a").alias(row_id), F.coalesce("lof", F.lit(10.0)).alias("lof"))
+    cut = F.broadcast(percentiles(out, "lof", [1 - contamination], "__p").select(F.col("__p")[0].alias("__cut")))  # one row
     return out.crossJoin(cut).withColumn("is_outlier", (F.col("lof") > F.col("__cut")).cast("int")).drop("__cut")
 
 

@@ -112,3 +112,13 @@ def calendar_dimension(df: DataFrame, day: str) -> DataFrame:
     d = F.col("date")
     dates = ends.filter("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("date"))
     return dates.select("date", F.year(d).alias("year"), F.month(d).alias("month"), F.weekofyear(d).alias("iso_week"), F.when(F.dayofmonth(d) <= 15, "Q1").otherwise("Q2").alias("fortnight"), (F.year(d) + (F.month(d) >= 11).cast("int")).alias("fiscal_year"))
+
+
+def with_events(df: DataFrame, day: str, events: DataFrame, name: str = "event", separator: str = " + ") -> DataFrame:
+    """Rows with the names, in order, of all events (first, last, name) whose days hold theirs; null for none.
+
+    Events are spread over their days, so the join is one on equal days, not a comparison of all rows with all events.
+    """
+    days = events.select(F.explode(F.sequence(F.col("first").cast("date"), F.col("last").cast("date"))).alias("__day"), "name")
+    labels = days.groupBy("__day").agg(F.concat_ws(separator, F.array_sort(F.collect_set("name"))).alias(name))
+    return df.withColumn("__day", F.to_date(day)).join(labels, "__day", "left").drop("__day")

@@ -255,7 +255,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 def steady_sample(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFrame:
     """The same n rows each time: those with the smallest hash of id and seed."""
-    return df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(n)
+    return df.orderBy(F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f"-{seed}"))), row_id).limit(n)
 
 
 def numbered(df: DataFrame, order: Sequence[str], start: int = 0, chunk: int | None = None) -> DataFrame:
@@ -279,3 +279,44 @@ def ordered_by_map(df: DataFrame, column: str, order: Mapping[str, int], then: S
     for value, k in order.items():
         key = F.when(F.col(column) == value, F.lit(k)).otherwise(key)
     return df.orderBy(key, *then)
+
+
+def next_numbers(df: DataFrame, order: Sequence[str], stored: DataFrame, number: str) -> DataFrame:
+    """Running numbers that go on from the largest stored one (from 1 where nothing is stored)."""
+    return numbered(df, order, stored.agg(F.max(number)).first()[0] or 0)
+
+
+def month_to_date(df: DataFrame, ts: str, measure: Column) -> DataFrame:
+    """One row: the measure from the first of the last day's month to that day, the same days of the month before, and the change."""
+    day = F.to_date(ts)
+    last = F.broadcast(df.agg(F.max(day).alias("last_day")))  # one row
+    own = df.crossJoin(last).withColumn("__back", F.add_months("last_day", -1))
+    part = F.when(day >= F.trunc("last_day", "month"), "now").when((day >= F.trunc("__back", "month")) & (day <= F.col("__back")), "before")
+    sums = own.withColumn("__part", part).filter("__part IS NOT NULL").groupBy("last_day", "__part").agg(measure.alias("__m"))
+    pick = lambda k: F.max(F.when(F.col("__part") == k, F.col("__m")))
+    out = sums.groupBy("last_day").agg(pick("now").alias("month_to_date"), pick("before").alias("previous"))
+    return out.withColumn("change", F.col("month_to_date") / F.nullif(F.col("previous").cast("double"), F.lit(0.0)) - 1)
+
+
+def lift_of_flags(df: DataFrame, flags: Sequence[str], fraud: Column) -> DataFrame:
+    """flag, n, frauds, rate and lift (rate by the rate of all rows) of each 0/1 flag: one scan."""
+    f = F.coalesce(fraud.cast("int"), F.lit(0))
+    sums = df.agg(F.avg(f).alias("__all"), *[x for c in flags for x in (F.count(F.when(F.col(c) == 1, 1)).alias(f"n_{c}"), F.coalesce(F.sum(F.when(F.col(c) == 1, f)), F.lit(0)).alias(f"f_{c}"))])
+    out = sums.select("__all", F.inline(F.array(*[F.struct(F.lit(c).alias("flag"), F.col(f"n_{c}").alias("n"), F.col(f"f_{c}").alias("frauds")) for c in flags])))
+    out = out.withColumn("rate", _share(F.col("frauds"), F.col("n")))
+    return out.withColumn("lift", F.col("rate") / F.nullif(F.col("__all"), F.lit(0.0))).drop("__all")
+
+
+def flag_by_group(df: DataFrame, keys: Sequence[str], flag: str, fraud: Column, least: int = 1) -> DataFrame:
+    """Of each group with at least ``least`` flagged rows: rows, flagged rows, their share, frauds among them and their rate."""
+    f, hit = F.coalesce(fraud.cast("int"), F.lit(0)), F.col(flag) == 1
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("flagged"), F.coalesce(F.sum(F.when(hit, f)), F.lit(0)).alias("frauds"))
+    return out.filter(F.col("flagged") >= least).withColumns({"share": _share(F.col("flagged"), F.col("n")), "rate": _share(F.col("frauds"), F.col("flagged"))})
+
+
+def top_decile_cards(df: DataFrame, card: str, amount: str, fraud: Column, top: int = 20, point: float = 0.9) -> DataFrame:
+    """The cards with the most above the percentile: rows, amount and frauds there."""
+    cut = F.broadcast(percentiles(df, amount, [point], "__c"))  # one row
+    own = df.crossJoin(cut).filter(F.col(amount) > F.col("__c")[0])
+    out = own.groupBy(card).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount"), F.sum(F.coalesce(fraud.cast("int"), F.lit(0))).alias("frauds"))
+    return out.orderBy(F.desc("amount"), card).limit(top)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import amounts, calendar, labels, parsing, text, transfers
-from ..operators import cases, profiles, stats, tables
+from ..operators import cases, models, profiles, series, stats, tables
 from ..sources import medallion, readers, schema
 from ..sources.scratch import new_folder
 from ..streaming import windows
@@ -212,10 +212,10 @@ def claim_delays(spark, sf_dir):
     return _orders(spark, sf_dir, "o_orderkey", *[c.alias(n) for n, c in calendar.claim_delay(F.col("o_orderdate"), claim).items()])
 
 
-@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'error' AND value > 100)")
+@query("SELECT event_id FROM events WHERE CAST(ts AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events WHERE event_type = 'error' AND user_id % 50 = 7)")
 def days_not_logged(spark, sf_dir):
     own = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    return windows.since_last(own, own.filter("event_type = 'error' AND value > 100"), "day").select("event_id")
+    return windows.since_last(own, own.filter("event_type = 'error' AND user_id % 50 = 7"), "day").select("event_id")
 
 
 @query("SELECT c_custkey AS key, 'stored' AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
@@ -268,3 +268,55 @@ def hour_distribution(spark, sf_dir):
 def priorities_in_order(spark, sf_dir):
     counts = _orders(spark, sf_dir, F.col("o_orderpriority").alias("priority")).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
     return tables.ordered_by_map(counts, "priority", {"3-MEDIUM": 0, "1-URGENT": 1}, [F.desc("n"), F.asc("priority")]).limit(3)
+
+
+@query("""WITH b AS (SELECT max(o_orderkey) AS m FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + m AS number FROM orders, b WHERE o_orderstatus <> 'F'""")
+def numbers_that_go_on(spark, sf_dir):
+    own = _orders(spark, sf_dir, "o_orderkey", "o_orderdate", "o_orderstatus")
+    out = tables.next_numbers(own.filter("o_orderstatus <> 'F'").drop("o_orderstatus"), ["o_orderdate", "o_orderkey"], own.filter("o_orderstatus = 'F'"), "o_orderkey")
+    return out.select("o_orderkey", "number")
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(upper(text), 'THE') THEN '2 days' WHEN contains(upper(text), 'DER') THEN '1 week' ELSE 'ND' END AS estimate FROM conversations")
+def tool_estimates(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cases.estimate_of(F.col("text"), {"the": "2 days", "der": "1 week"}).alias("estimate"))
+
+
+@query("""WITH d AS (SELECT CAST(max(ts) AS DATE) AS l FROM events), x AS (SELECT sum(value) FILTER (CAST(ts AS DATE) >= date_trunc('month', l)) AS a, sum(value) FILTER (CAST(ts AS DATE) >= date_trunc('month', l - INTERVAL 1 MONTH) AND CAST(ts AS DATE) <= l - INTERVAL 1 MONTH) AS b FROM events, d)
+    SELECT CAST(l AS VARCHAR) AS last_day, round(a, 2) AS month_to_date, round(b, 2) AS previous, round(a / b - 1, 6) AS change FROM x, d""")
+def month_to_date(spark, sf_dir):
+    out = tables.month_to_date(events(spark, sf_dir), "ts", F.sum("value"))
+    return out.select(F.col("last_day").cast("string").alias("last_day"), F.round("month_to_date", 2).alias("month_to_date"), F.round("previous", 2).alias("previous"), F.round("change", 6).alias("change"))
+
+
+@query("""WITH x AS (SELECT event_type = 'error' AS f, value > 100 AS large, hour(ts) < 6 AS night FROM events), y AS (SELECT 'large' AS flag, f FROM x WHERE large UNION ALL SELECT 'night', f FROM x WHERE night)
+    SELECT flag, count(*) AS n, sum(CAST(f AS INT)) AS frauds, round(avg(CAST(f AS INT)), 6) AS rate, round(avg(CAST(f AS INT)) / (SELECT avg(CAST(f AS INT)) FROM x), 6) AS lift FROM y GROUP BY flag""")
+def flag_lifts(spark, sf_dir):
+    own = events(spark, sf_dir).withColumns({"large": (F.col("value") > 100).cast("int"), "night": (F.hour("ts") < 6).cast("int")})
+    return tables.lift_of_flags(own, ["large", "night"], F.col("err")).withColumns({c: F.round(c, 6) for c in ("rate", "lift")})
+
+
+@query("""WITH x AS (SELECT user_id % 97 AS bin, event_type = 'error' AS f, value = floor(value / 5) * 5 OR value > 150 AS r FROM events) SELECT bin, count(*) AS n, count(*) FILTER (r) AS flagged, count(*) FILTER (r AND f) AS frauds, round(count(*) FILTER (r) / count(*), 6) AS share,
+    round(count(*) FILTER (r AND f) / count(*) FILTER (r), 6) AS rate FROM x GROUP BY bin HAVING count(*) FILTER (r) >= 2""")
+def flagged_by_bin(spark, sf_dir):
+    own = events(spark, sf_dir).withColumns({"bin": F.col("user_id") % 97, "flag": ((F.col("value") == F.floor(F.col("value") / 5) * 5) | (F.col("value") > 150)).cast("int")})
+    return tables.flag_by_group(own, ["bin"], "flag", F.col("err"), 2).withColumns({c: F.round(c, 6) for c in ("share", "rate")})
+
+
+@query("""WITH q AS (SELECT quantile_cont(value, 0.9) AS c FROM events) SELECT user_id, count(*) AS n, round(sum(value), 2) AS amount, count(*) FILTER (event_type = 'error') AS frauds FROM events, q WHERE value > c GROUP BY user_id ORDER BY sum(value) DESC, user_id LIMIT 20""")
+def cards_of_top_decile(spark, sf_dir):
+    return tables.top_decile_cards(events(spark, sf_dir), "user_id", "value", F.col("err")).withColumn("amount", F.round("amount", 2))
+
+
+@query("""WITH v AS (SELECT user_id, CAST(min(ts) AS DATE) AS a, CAST(min(ts) AS DATE) + CAST(user_id % 3 AS INT) AS b FROM events WHERE user_id < 5 GROUP BY user_id)
+    SELECT event_id, string_agg(DISTINCT 'event ' || CAST(v.user_id AS VARCHAR), ' + ' ORDER BY 'event ' || CAST(v.user_id AS VARCHAR)) AS event FROM events LEFT JOIN v ON CAST(ts AS DATE) BETWEEN a AND b GROUP BY event_id""")
+def events_of_days(spark, sf_dir):
+    own = events(spark, sf_dir)
+    first = own.filter("user_id < 5").groupBy("user_id").agg(F.to_date(F.min("ts")).alias("first"))
+    calendar_table = first.select("first", F.date_add("first", (F.col("user_id") % 3).cast("int")).alias("last"), F.concat(F.lit("event "), F.col("user_id").cast("string")).alias("name"))
+    return series.with_events(own, "ts", calendar_table).select("event_id", "event")
+
+
+@query()
+def tree_bands(spark, sf_dir):
+    return models.tree_bands(events(spark, sf_dir).withColumn("label", (F.col("value") > 100).cast("int")), "value", "label")

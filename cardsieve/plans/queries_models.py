@@ -44,7 +44,7 @@ def isolation_scores(spark, sf_dir):
 
 @query()
 def local_outliers(spark, sf_dir):
-    return models.local_outliers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", "vec_id", k=10, radius=1.2, bucket=0.6)
+    return models.local_outliers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", "vec_id")
 
 
 @query()

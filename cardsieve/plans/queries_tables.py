@@ -216,7 +216,7 @@ def numbered_orders(spark, sf_dir):
     return tables.numbered(own, ["o_orderdate", "o_orderkey"], 1000, 800).select("o_orderkey", "number", "chunk")
 
 
-@query()
+@query("SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey LIMIT 100")
 def review_sample(spark, sf_dir):
     return tables.steady_sample(table(spark, sf_dir, "orders"), "o_orderkey", 100)
 
