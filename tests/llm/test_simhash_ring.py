@@ -68,11 +68,21 @@ def test_no_link_is_lost(spark, seed, block):
     assert {f: got.get(f, f) for f in fps} == want
 
 
-def test_long_chain_components(spark):
+@pytest.mark.parametrize("task", [1 << 20, 50, 1])
+def test_long_chain_components(spark, task):
     links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1000), (None, 4), (500, 400), (400, 500)], "a long, b long")
-    got = {r.node: r.root for r in components(links).collect()}
-    assert all(got[k] == 0 for k in range(301)) and got[500] == 400
-    assert components(links.filter("false")).count() == 0
+    got = {r.node: r.root for r in components(links, task).collect()}
+    assert all(got[k] == 0 for k in range(301)) and got[500] == 400 and len(got) == 303
+    assert components(links.filter("false"), task).count() == 0
+
+
+@pytest.mark.parametrize("task", [1 << 20, 64])
+def test_components_of_random_links(spark, task):
+    rng = random.Random(task)
+    links = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(500)]
+    nodes = sorted({x for a, b in links if a != b for x in (a, b)})
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(7), task).collect()}
+    assert got == groups(links, nodes)
 
 
 def test_odd_rows(odd):
