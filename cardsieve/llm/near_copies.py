@@ -104,6 +104,23 @@ def _possible(n, i, m, j, least: int):
     return np.minimum(n - i, m - j) >= -(-least * (n + m) // (100 + least))
 
 
+def _with_partner(rows: np.ndarray, group: np.ndarray, least: int) -> np.ndarray:
+    """Rows (key, part, node, n, place) without those for which no other row of their key is possible in the sense of _possible.
+
+    A row's partner may have up to ``most`` shingles, and the row must itself be within the partner's ``most``.
+    """
+    order = np.lexsort((rows[:, 3], group))
+    rows, base = rows[order], group[order] << 32
+    n = rows[:, 3]
+    most = np.maximum((n - rows[:, 4]) * (100 + least) // least - n, 0)
+    up_to = np.searchsorted(base + n, base + most, side="right")
+    largest = np.maximum.accumulate(base + most)
+    before = np.minimum(np.arange(len(rows)), up_to) - 1  # the last row that may be a smaller partner
+    smaller = (before >= 0) & (largest[before] >= base + n)
+    larger = up_to > np.arange(len(rows)) + 1
+    return rows[smaller | larger]
+
+
 def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Rows (columns key, part, ...) of whole keys. Input sorted by key and part; the rows of a key may lie in several batches."""
     held: list[np.ndarray] = []
@@ -141,7 +158,7 @@ def _told(pairs: list[np.ndarray]) -> np.ndarray:
 def _first_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Of the nodes that share a key: each with one of a few leaders (part is null), so no more pairs than rows.
 
-    The rows of keys with three nodes and more come out as well, for what these pairs leave open.
+    Of keys with three nodes and more, the rows that have a possible partner come out as well, for what these pairs leave open.
     """
     names = ["key", "part", "a", "b", "n", "place"]
 
@@ -163,7 +180,8 @@ def _first_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
         order = np.lexsort((mixed, group))
         lead = rows[order[starts]][group]
         ok = _possible(rows[:, 3], rows[:, 4], lead[:, 3], lead[:, 4], least)
-        yield from out([np.stack([rows[ok, 2], lead[ok, 2]], axis=1)], [rows[(sizes > 2)[group]]])
+        open_ = (sizes > 2)[group]
+        yield from out([np.stack([rows[ok, 2], lead[ok, 2]], axis=1)], [_with_partner(rows[open_], group[open_], least)])
 
 
 def _close(one: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -36,6 +37,19 @@ def kept(docs, **settings):
     return {r.doc_id for r in near_copies.one_of_each(docs, **settings).collect()}
 
 
+def test_rows_without_a_possible_partner_go():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        n = rng.integers(1, 60, 40)
+        rows = np.stack([np.zeros(40, int), np.zeros(40, int), np.arange(40), n, rng.integers(0, n // 5 + 1)], axis=1)
+        group = np.sort(rng.integers(0, 9, 40))
+        got = set(near_copies._with_partner(rows, group, 80)[:, 2].tolist())
+        for a, b in combinations(range(40), 2):
+            if group[a] == group[b] and min(n[a] - rows[a, 4], n[b] - rows[b, 4]) * 180 >= 80 * (n[a] + n[b]):
+                assert {a, b} <= got
+        assert len(got) < 40
+
+
 def test_the_stage_finds_all_pairs_of_the_tables(spark, docs, sf):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
