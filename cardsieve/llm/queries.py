@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quant, hilbert_pack, langid, license_scan, ngram_trie, phrase_index, pii, simhash_ring, token_files, warc_index
+from . import additive_quant, hilbert_pack, langid, license_scan, ngram_trie, phrase_counts, phrase_index, pii, simhash_ring, token_files, url_trees, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,15 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ring.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_trie, op2_additive_quantisation, op3_language_id, op4_pii, op5_capture_index, op6_license_alignment, op7_token_files, op8_phrase_index, op9_hilbert_packing, op10_simhash_pigeonring)}
+def op11_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(_table(spark, sf_dir, "pages"))
+
+
+def op12_hat_trie_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_counts.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_trie, op2_additive_quantisation, op3_language_id, op4_pii, op5_capture_index, op6_license_alignment, op7_token_files, op8_phrase_index, op9_hilbert_packing, op10_simhash_pigeonring, op11_url_trees, op12_hat_trie_phrases)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -87,4 +95,23 @@ ORACLE_SQL = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_hat_trie_phrases": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+        f AS (SELECT lang, size, phrase, count(*) AS f FROM (
+                SELECT lang, size, array_to_string(w[s : s + size - 1], ' ') AS phrase
+                FROM p, unnest(range(1, 5)) AS k(size), unnest(range(1, len(w) - size + 2)) AS t(s) WHERE len(w) >= size)
+              GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : size], ' ') AS rp FROM c, unnest(range(1, size)) AS t(k)),
+        scored AS (SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+                   FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+        cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, phrase, max(a) AS around FROM (
+                     SELECT lang, a, array_to_string(w[s : s + z - 1], ' ') AS phrase FROM c, unnest(range(2, size)) AS t(z), unnest(range(1, size - z + 2)) AS u(s))
+                   GROUP BY lang, phrase),
+        kept AS (SELECT cut.* FROM cut LEFT JOIN inside USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000""",
 }
