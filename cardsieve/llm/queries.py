@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_quant, hilbert_pack, langid, license_scan, ngram_trie, phrase_counts, phrase_index, pii, simhash_ring, token_files, url_trees, warc_index
+from . import additive_quant, hilbert_pack, langid, license_scan, multi_index, ngram_trie, phrase_counts, phrase_index, pii, simhash_ring, token_files, url_trees, warc_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,11 @@ def op12_hat_trie_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_counts.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_trie, op2_additive_quantisation, op3_language_id, op4_pii, op5_capture_index, op6_license_alignment, op7_token_files, op8_phrase_index, op9_hilbert_packing, op10_simhash_pigeonring, op11_url_trees, op12_hat_trie_phrases)}
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.mine(_table(spark, sf_dir, "embeddings")).drop("positive_rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_trie, op2_additive_quantisation, op3_language_id, op4_pii, op5_capture_index, op6_license_alignment, op7_token_files, op8_phrase_index, op9_hilbert_packing, op10_simhash_pigeonring, op11_url_trees, op12_hat_trie_phrases, op13_multi_index)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -114,4 +118,17 @@ ORACLE_SQL = {
         kept AS (SELECT cut.* FROM cut LEFT JOIN inside USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a)
         SELECT lang, rank, phrase, a, l, r, n, score
         FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_multi_index": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+                   FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+              FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+              FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        WHERE rank <= 3""",
 }
