@@ -38,8 +38,8 @@ BITS = 24
 #: Buckets that are added up at a time.
 RANGE = 1 << 20
 BURST = 2048
-#: Entries of a task's trie beyond which subtrees are written out.
-ENTRIES = 1 << 19
+#: Entries of a task's trie beyond which subtrees are written out; bytes of text in a block.
+ENTRIES, BLOCK = 1 << 18, 4 << 20
 #: Parts that the best phrases of a language are picked from first.
 SALT = 64
 
@@ -106,7 +106,7 @@ def _tables(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     """(range, counts) for the ranges of the tables of all lengths; counts are zstd-compressed bytes."""
     tables = np.zeros((LONGEST, 1 << BITS), np.uint8)
     seen = False
-    for batch in gathered(batches, "text"):
+    for batch in gathered(batches, "text", BLOCK):
         block, seen = Block(batch), True
         for size in range(1, LONGEST + 1):
             found = block.buckets(size)
@@ -256,11 +256,8 @@ def _runs(batches: Iterator[pa.RecordBatch], hot: Sequence[np.ndarray], burst: i
         for at in range(0, len(rows), 1 << 16):
             part = list(zip(*rows[at : at + (1 << 16)]))
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[2], pa.int32()), pa.array(part[1], pa.string()), pa.array(part[3], pa.int64())], ["lang", "words", "phrase", "count"])
-        ids.clear()
-        # what stays in the trie keeps its numbers
-        ids.update((w, k) for k, w in enumerate(name))
 
-    for batch in gathered(batches, "text"):
+    for batch in gathered(batches, "text", BLOCK):
         block = Block(batch)
         for lang, n in zip(block.langs, np.bincount(block.lang, minlength=len(block.langs)).tolist()):
             totals[lang] = totals.get(lang, 0) + n
