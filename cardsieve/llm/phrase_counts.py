@@ -2,9 +2,10 @@
 
 Two passes over the texts, both in blocks of a task's own rows:
 
-1. Every sequence of 1 to ``LONGEST`` words is hashed into a table of 2**``BITS`` buckets for its length; a task's tables are
-   sent in ranges and added up. A sequence can reach ``least`` only if its bucket does. A task's count stops at ``least``,
-   which changes no answer, so a cell is one byte. What is left is one bit a bucket: a broadcast of fixed size.
+1. Every sequence of 1 to ``LONGEST`` words is hashed into one of 2**``BITS`` buckets for its length. A task sorts its buckets,
+   ``HELD`` at a time, and sends them in ranges with their counts; a range is added up in one table. A sequence can reach
+   ``least`` only if its bucket does. Counts stop at ``least``, which changes no answer, so a cell is one byte. What is left
+   is one bit a bucket: a broadcast of fixed size (32 MB).
 2. A sequence whose bucket and whose shorter parts' buckets reach ``least`` is counted exactly. Equal ones of a block are
    added up first, then go to the task's HAT-trie: under a shallow trie of word ids (language, first word, ...) hang hash
    containers of the rest of the words; a container beyond ``BURST`` entries bursts into a node with a container for each
@@ -33,10 +34,10 @@ from . import _store
 from ._text import LOWER, gathered, remap
 
 LONGEST = 4
-#: Each length has 2**BITS buckets of one byte in a task and of one bit in the broadcast.
-BITS = 24
-#: Buckets that are added up at a time.
-RANGE = 1 << 20
+#: Each length has 2**BITS buckets, of one bit in the broadcast.
+BITS = 26
+#: Buckets that are added up in one table; buckets that a task holds and sorts.
+RANGE, HELD = 1 << 22, 1 << 23
 BURST = 2048
 #: Entries of a task's trie beyond which subtrees are written out; bytes of text in a block.
 ENTRIES, BLOCK = 1 << 18, 4 << 20
@@ -102,42 +103,53 @@ class Block:
         return np.where(self.piece[:n] == self.piece[size - 1 : size - 1 + n], found, -1)
 
 
+def _coded(values: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """(range, n, cells) of the buckets: steps between the n distinct ones of a range as three planes of bytes, then their counts."""
+    values, codec = np.sort(values), pa.Codec("zstd", 1)
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    values, counts = values[at], np.minimum(np.diff(np.append(at, len(values))), least).astype(np.uint8)
+    part = values // RANGE
+    ends = np.flatnonzero(np.concatenate([part[1:] != part[:-1], [True]])) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        low = values[a:b] % RANGE
+        steps = np.diff(low, prepend=np.uint32(0))
+        planes = [(steps >> np.uint32(shift)).astype(np.uint8).tobytes() for shift in (0, 8, 16)]
+        cells = codec.compress(b"".join([*planes, counts[a:b].tobytes()]), asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([b - a], pa.int32()), pa.array([cells], pa.binary())], ["range", "n", "cells"])
+
+
 def _tables(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(range, counts) for the ranges of the tables of all lengths; counts are zstd-compressed bytes."""
-    tables = np.zeros((LONGEST, 1 << BITS), np.uint8)
-    seen = False
+    """Coded buckets of all sequences; those of length k lie from (k - 1) * 2**BITS."""
+    held, n = [], 0
     for batch in gathered(batches, "text", BLOCK):
-        block, seen = Block(batch), True
+        block = Block(batch)
         for size in range(1, LONGEST + 1):
             found = block.buckets(size)
-            found = np.sort(found[found >= 0].astype(np.int32))
-            if len(found):
-                at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                bucket, count = found[at], np.diff(np.append(at, len(found)))
-                row = tables[size - 1]
-                row[bucket] = np.minimum(row[bucket] + np.minimum(count, least), least)
-    if seen:
-        codec = pa.Codec("zstd", 1)
-        for k, part in enumerate(tables.reshape(-1, RANGE)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([codec.compress(part.tobytes(), asbytes=True)], pa.binary())], ["range", "counts"])
+            held.append((found[found >= 0] + ((size - 1) << BITS)).astype(np.uint32))
+            n += len(held[-1])
+        if n >= HELD:
+            yield from _coded(np.concatenate(held), least)
+            held, n = [], 0
+    if n:
+        yield from _coded(np.concatenate(held), least)
 
 
 def _bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(range, bits): rows come sorted by range, and a range's tables are added one by one."""
+    """(range, bits): rows come sorted by range, and a range's cells are added one row after another."""
     codec, now, total = pa.Codec("zstd"), None, np.zeros(RANGE, np.uint8)
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["range", "bits"])
 
     for batch in batches:
-        for k, counts in zip(batch.column("range").to_pylist(), batch.column("counts")):
+        for k, n, cells in zip(batch.column("range").to_pylist(), batch.column("n").to_pylist(), batch.column("cells")):
             if k != now:
                 if now is not None:
                     yield out()
                 now, total = k, np.zeros(RANGE, np.uint8)
-            own = np.frombuffer(codec.decompress(counts.as_buffer(), RANGE), np.uint8)
-            total = np.minimum(total + own, least)  # both are at most ``least``, so a byte holds the sum
+            *planes, counts = np.frombuffer(codec.decompress(cells.as_buffer(), 4 * n), np.uint8).reshape(4, n)
+            at = np.cumsum(sum(plane.astype(np.int64) << shift for plane, shift in zip(planes, (0, 8, 16))))
+            total[at] = np.minimum(total[at] + counts, least)  # both are at most ``least`` <= 127, so a byte holds the sum
     if now is not None:
         yield out()
 
@@ -313,7 +325,7 @@ def frequent(documents: DataFrame, least: int = 30, burst: int = BURST, entries:
         raise ValueError("least is 1 to 127")
     spark = documents.sparkSession
     texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tables = texts.mapInArrow(lambda it: _tables(it, least), "range int, counts binary")
+    tables = texts.mapInArrow(lambda it: _tables(it, least), "range int, n int, cells binary")
     ranges = LONGEST * (1 << BITS) // RANGE
     with _store.shuffle_cleanup(spark):
         found = tables.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(lambda it: _bits(it, least), "range int, bits binary").toArrow()
