@@ -1,4 +1,4 @@
-"""Exact percentiles of all rows, without all distinct values in one task."""
+"""Exact percentiles of all rows and of groups, without all distinct values of anything in one task."""
 
 from __future__ import annotations
 
@@ -7,31 +7,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values that are ordered apart from one another.
-RANGES = 64
+from .ranges import with_range
 
 
-def percentiles(df: DataFrame, value: Column | str, points: Sequence[float], name: str = "percentiles") -> DataFrame:
-    """One row with an array: the value at each point from 0 to 1, between two values in proportion. Nulls don't count.
-
-    Distinct values are counted with partial sums, dealt into ranges, and given their places by running totals: of the ranges
-    (a row each), then inside each range. The values at the two places around each point are picked out. A value that a third of
-    all rows hold is one row here. Without any value the array holds nulls.
-    """
-    x = F.col(value) if isinstance(value, str) else value
-    counts = df.select(x.cast("double").alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    bounds = counts.agg(F.percentile_approx("x", [k / RANGES for k in range(1, RANGES)], 1000).alias("bounds"))  # one row
-    dealt = counts.crossJoin(F.broadcast(bounds)).select("x", "n", F.size(F.filter("bounds", lambda b: b < F.col("x"))).alias("range"))
-    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    base = dealt.groupBy("range").agg(F.sum("n").alias("m"))
-    base = base.select("range", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("total"))
-    within = Window.partitionBy("range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.join(F.broadcast(base), "range").withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str, *more: Column, x: str = "x", n: str = "n") -> DataFrame:
+    """Keys, x (the value as a double), n and further aggregates for each distinct value of each group: added up before any
+    shuffle, so a value that a third of all rows hold is one row. Nulls of the value have n 0."""
+    own = F.col(value) if isinstance(value, str) else value
+    return df.withColumn("__x", own.cast("double")).groupBy(*keys, F.col("__x").alias(x)).agg(F.count("__x").alias(n), *more)
+
+
+def placed(counts: DataFrame, keys: Sequence[str], x: str = "x", n: str = "n") -> DataFrame:
+    """Columns before (rows of the group with a smaller value) and total (of the group), for a table with one row for each group
+    and value.
+
+    The table is dealt into ranges of (keys, value): running totals over a group's ranges (a row for each), then inside each
+    range. A group of any size is spread over ranges."""
+    dealt = with_range(counts.select(*[c for c in counts.columns if c not in ("before", "total")]), [*keys, x])
+    base = dealt.groupBy(*keys, "__range").agg(F.sum(n).alias("__m"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.select(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(keys)], F.col("__range").alias("__r"), F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__base"), F.sum("__m").over(group).alias("total"))
+    same = F.col("__range") == F.col("__r")
+    for k, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    within = Window.partitionBy(*keys, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("before", F.coalesce(F.sum(n).over(within), F.lit(0))).join(base, same)
+    return out.withColumn("before", F.col("before") + F.col("__base")).drop("__range", "__r", "__base", *[f"__g{k}" for k in range(len(keys))])
+
+
+def group_percentiles(counts: DataFrame, keys: Sequence[str], points: Sequence[float], name: str = "percentiles", x: str = "x", n: str = "n") -> DataFrame:
+    """Keys and an array: each group's value at each point from 0 to 1, between two values in proportion.
+
+    ``counts`` has a row for each group and value (several rows of one value do no harm). Groups without a value have no row;
+    without keys there is always one row, of nulls where no value is."""
+    own = placed(counts.filter(F.col(x).isNotNull() & (F.col(n) > 0)).groupBy(*keys, x).agg(F.sum(n).alias(n)), keys, x, n)
     places = [F.lit(float(p)) * (F.col("total") - 1) for p in points]
-    pick = lambda at: F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col("n")), F.col("x")))
-    found = placed.agg(F.max("total").alias("total"), *[pick(f(at)).alias(f"{side}{k}") for k, at in enumerate(places) for side, f in (("a", F.floor), ("b", F.ceil))])
+    pick = lambda at: F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col(n)), F.col(x)))
+    found = own.groupBy(*keys).agg(F.max("total").alias("total"), *[pick(f(at)).alias(f"__{side}{k}") for k, at in enumerate(places) for side, f in (("a", F.floor), ("b", F.ceil))])
     values = []
     for k, at in enumerate(places):
-        a, b = F.col(f"a{k}"), F.col(f"b{k}")
+        a, b = F.col(f"__a{k}"), F.col(f"__b{k}")
         values.append(F.when(F.floor(at) == F.ceil(at), a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b))
-    return found.select(F.array(*values).alias(name))
+    return found.select(*keys, F.array(*values).alias(name))
+
+
+def percentiles(df: DataFrame, value: Column | str, points: Sequence[float], name: str = "percentiles") -> DataFrame:
+    """One row with an array: the value of all rows at each point. Nulls don't count; without any value the array holds nulls."""
+    return group_percentiles(value_counts(df, [], value), [], points, name)

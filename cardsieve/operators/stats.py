@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import percentiles
+from .quantiles import group_percentiles, percentiles, placed, value_counts
+from .ranges import numbered, with_range
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -30,18 +31,18 @@ def mann_whitney(df: DataFrame, variables: Sequence[str], group: Column) -> Data
     """
     long = df.select(F.coalesce(group.cast("int"), F.lit(0)).alias("__g"), *[F.col(v).cast("double").alias(v) for v in variables]).unpivot(["__g"], list(variables), "variable", "x").filter("x is not null")
     value = long.groupBy("variable", "x").agg(F.sum("__g").alias("a"), F.count(F.lit(1)).alias("t"))
-    below = F.sum("t").over(Window.partitionBy("variable").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = value.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("t") + 1) / 2)
+    ranked = placed(value, ["variable"], "x", "t").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     t = F.col("t").cast("double")
     sums = ranked.groupBy("variable").agg(F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum("a").cast("double").alias("n1"), F.sum("t").cast("double").alias("n"), F.sum(t * t * t - t).alias("ties"))
     n1, n2, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n")
     u = F.col("r") - n1 * (n1 + 1) / 2
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
     z = (u - n1 * n2 / 2) / F.nullif(sigma, F.lit(0.0))
-    medians = long.groupBy("variable").agg(F.percentile(F.when(F.col("__g") == 1, F.col("x")), F.lit(0.5)).alias("median_group"), F.percentile(F.when(F.col("__g") == 0, F.col("x")), F.lit(0.5)).alias("median_other"))
+    sides = value.select("variable", "x", F.inline(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("n")), F.struct(F.lit(0).alias("side"), (F.col("t") - F.col("a")).alias("n")))))
+    medians = group_percentiles(sides, ["variable", "side"], [0.5], "m").groupBy("variable").agg(*[F.max(F.when(F.col("side") == k, F.col("m")[0])).alias(name) for k, name in ((1, "median_group"), (0, "median_other"))])
     out = sums.select("variable", u.alias("u"), z.alias("z")).withColumn("p", normal_two_sided(F.col("z")))
     p = F.col("p")
-    return out.withColumn("stars", F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")).join(medians, "variable")
+    return out.withColumn("stars", F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")).join(medians, "variable", "left")
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -69,9 +70,8 @@ def correlation_matrix(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 def psi(train: DataFrame, test: DataFrame, variables: Sequence[str], bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Population stability of each variable: bins by the training quantiles, sum of (q - p) ln(q / p), class."""
-    points = F.array(*[F.lit(k / bins) for k in range(1, bins)])
     long = lambda df: df.select(*[F.col(v).cast("double").alias(v) for v in variables]).unpivot([], list(variables), "variable", "x").filter("x is not null")
-    edges = F.broadcast(long(train).groupBy("variable").agg(F.array_distinct(F.percentile("x", points)).alias("edges")))  # a row for each variable
+    edges = F.broadcast(group_percentiles(value_counts(long(train), ["variable"], "x"), ["variable"], [k / bins for k in range(1, bins)], "edges").withColumn("edges", F.array_distinct("edges")))  # a row for each variable
     both = long(train).withColumn("side", F.lit("p")).unionByName(long(test).withColumn("side", F.lit("q")))
     binned = both.join(edges, "variable").select("variable", "side", F.size("edges").alias("last"), F.size(F.filter("edges", lambda e: e < F.col("x"))).alias("bin"))
     counts = binned.groupBy("variable", "bin").agg(F.count(F.when(F.col("side") == "p", 1)).alias("p"), F.count(F.when(F.col("side") == "q", 1)).alias("q"))
@@ -84,14 +84,12 @@ def psi(train: DataFrame, test: DataFrame, variables: Sequence[str], bins: int =
 def decile_lift(df: DataFrame, score: str, row_id: str, fraud: Column, q: int = 10) -> DataFrame:
     """Deciles by rank, 1 = highest score: n, frauds, rate, capture so far, lift.
 
-    A row's rank is the count of rows with a higher score, plus its place among equal scores; the counts come from one
-    aggregate by distinct score, range-sorted, not from a window over all rows.
+    A row's rank is its running number by score, then id, over fixed ranges: equal scores are dealt by their ids, so one score
+    that half of all rows share is no hot group.
     """
     own = df.select(F.col(score).alias("__s"), F.col(row_id).alias("__id"), F.coalesce(fraud.cast("int"), F.lit(0)).alias("__f")).filter("__s is not null")
-    by_score = _running(own.groupBy("__s").agg(F.count(F.lit(1)).alias("t")), "__s", "t")
     total = F.broadcast(own.agg(F.count(F.lit(1)).alias("__n")))
-    place = F.row_number().over(Window.partitionBy("__s").orderBy("__id"))
-    ranked = own.join(by_score.select("__s", "above"), "__s").withColumn("rank", F.col("above") + place).crossJoin(total)
+    ranked = numbered(own.withColumn("__down", -F.col("__s")), ["__down", "__id"]).withColumnRenamed("number", "rank").crossJoin(total)
     decile = F.floor((F.col("rank") - 1) * q / F.col("__n")) + 1
     out = ranked.groupBy(decile.alias("decile")).agg(F.count(F.lit(1)).alias("n"), F.sum("__f").alias("frauds"), F.min("__s").alias("min_score"), F.max("__s").alias("max_score"))
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)  # q rows
@@ -102,14 +100,14 @@ def decile_lift(df: DataFrame, score: str, row_id: str, fraud: Column, q: int =
 
 def _running(counts: DataFrame, score: str, *sums: str) -> DataFrame:
     """Rows of distinct scores with above (sum of sums[0] over higher scores) and above_<c> for the others; ranges first, then within."""
-    placed = counts.repartitionByRange(F.desc(score)).withColumn("__part", F.spark_partition_id())
-    parts = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    parts = parts.select("__part", *[F.coalesce(F.sum(f"__t_{c}").over(w), F.lit(0)).alias(f"__b_{c}") for c in sums])
-    within = Window.partitionBy("__part").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(parts), "__part")
+    dealt = with_range(counts, [score])
+    parts = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    w = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = parts.select("__range", *[F.coalesce(F.sum(f"__t_{c}").over(w), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    within = Window.partitionBy("__range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(parts), "__range")
     names = {("above" if k == 0 else f"above_{c}"): F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__b_{c}") for k, c in enumerate(sums)}
-    return out.withColumns(names).drop("__part", *[f"__b_{c}" for c in sums])
+    return out.withColumns(names).drop("__range", *[f"__b_{c}" for c in sums])
 
 
 def roc_points(df: DataFrame, score: str, fraud: Column) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import quantile_bucket
-from .quantiles import percentiles
+from ..sources.scratch import written
+from .quantiles import group_percentiles, percentiles, value_counts
+from .ranges import numbered
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -31,10 +33,21 @@ def pivot_clients_amounts(df: DataFrame, dim: str, indicator: str, values: Seque
     return df.groupBy(dim).agg(*columns, F.sum(amount).alias("amount")).withColumn("severity", _share(F.col(f"amount_{fraud}"), F.col("amount")))
 
 
+def _with_points(df: DataFrame, points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A group's percentiles beside its other measures; null keys are groups too."""
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__p{k}"))
+    return df.join(points.withColumnsRenamed({c: f"__p{k}" for k, c in enumerate(by)}), same, "left").drop(*[f"__p{k}" for k in range(len(by))])
+
+
 def stats_by_indicator(df: DataFrame, indicator: str, variables: Sequence[str]) -> DataFrame:
     """Mean, median and 90th percentile of each variable by indicator: one unpivot."""
     long = df.select(indicator, *[F.col(v).cast("double").alias(v) for v in variables]).unpivot([indicator], list(variables), "variable", "value")
-    return long.groupBy("variable", indicator).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.9))).alias("p")).select("variable", indicator, "n", "mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"))
+    counts = value_counts(long, ["variable", indicator], "value")
+    means = counts.groupBy("variable", indicator).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), _share(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("mean"))
+    points = group_percentiles(counts, ["variable", indicator], (0.5, 0.9), "p")
+    return _with_points(means, points, ["variable", indicator]).select("variable", indicator, "n", "mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"))
 
 
 def summary_by_period(df: DataFrame, period: Column, amount: str, fraud: Column) -> DataFrame:
@@ -55,29 +68,34 @@ POINTS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 def amount_stats(df: DataFrame, by: Sequence[str], amount: str, points: Sequence[float] = POINTS) -> DataFrame:
     """n, sum, mean, deviation, min, max and exact percentiles of each group."""
-    p = F.percentile(amount, F.array(*[F.lit(x) for x in points]))
-    out = df.groupBy(*by).agg(F.count(amount).alias("n"), F.sum(amount).alias("sum"), F.avg(amount).alias("mean"), F.stddev_samp(amount).alias("std"), F.min(amount).alias("min"), F.max(amount).alias("max"), p.alias("p"))
+    out = df.groupBy(*by).agg(F.count(amount).alias("n"), F.sum(amount).alias("sum"), F.avg(amount).alias("mean"), F.stddev_samp(amount).alias("std"), F.min(amount).alias("min"), F.max(amount).alias("max"))
+    out = _with_points(out, group_percentiles(value_counts(df, by, amount), by, points, "p"), by)
     return out.select(*by, "n", "sum", "mean", "std", "min", "max", *[F.col("p")[k].alias(f"p{round(x * 100)}") for k, x in enumerate(points)])
 
 
 def with_quantiles(df: DataFrame, value: str, q: int = 10, by: Sequence[str] = (), name: str = "decile", exact: bool = True) -> DataFrame:
     """Each row's quantile bucket from 1, of all rows or of its group. exact=False estimates the edges."""
     points = [k / q for k in range(q + 1)]
-    if exact and not by:
-        found = percentiles(df, value, points, "__edges")
+    if exact:
+        found = group_percentiles(value_counts(df, by, value), by, points, "__edges") if by else percentiles(df, value, points, "__edges")
     else:
-        every = F.array(*map(F.lit, points))
-        edges = (F.percentile(value, every) if exact else F.percentile_approx(value, every, 10000).cast("array<double>")).alias("__edges")
+        edges = F.percentile_approx(value, F.array(*map(F.lit, points)), 10000).cast("array<double>").alias("__edges")
         found = df.groupBy(*by).agg(edges) if by else df.agg(edges)
-    out = df.join(found, list(by), "left") if by else df.crossJoin(F.broadcast(found))  # one row
+    out = _with_points(df, found, by) if by else df.crossJoin(F.broadcast(found))  # one row
     return out.withColumn(name, quantile_bucket(F.col(value), F.col("__edges"))).drop("__edges")
 
 
 def decile_table(df: DataFrame, value: str, fraud: Column, by: Sequence[str] = (), q: int = 10) -> DataFrame:
-    """n, sum, min, max, median, frauds and rate of each quantile bucket."""
-    own = with_quantiles(df.withColumn("__f", F.coalesce(fraud.cast("int"), F.lit(0))), value, q, by).filter("decile is not null")
-    out = own.groupBy(*by, "decile").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, F.lit(0.5)).alias("median"), F.sum("__f").alias("frauds"))
-    return out.withColumn("rate", _share(F.col("frauds"), F.col("n")))
+    """n, sum, min, max, median, frauds and rate of each quantile bucket: all from one written table of distinct values and counts."""
+    counts = value_counts(df.withColumn("__f", F.coalesce(fraud.cast("int"), F.lit(0))), by, value, F.sum("__f").alias("f")).filter("x is not null")
+    counts = written(counts, "counts")  # read for edges and for buckets
+    edges = group_percentiles(counts, by, [k / q for k in range(q + 1)], "__edges")
+    own = (_with_points(counts, edges, by) if by else counts.crossJoin(F.broadcast(edges))).withColumn("decile", quantile_bucket(F.col("x"), F.col("__edges"))).drop("__edges")
+    own = written(own, "buckets")  # read for sums and for medians
+    keys = [*by, "decile"]
+    out = own.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("sum"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("f").alias("frauds"))
+    out = _with_points(out, group_percentiles(own, keys, [0.5], "__m"), keys)
+    return out.withColumns({"median": F.col("__m")[0], "rate": _share(F.col("frauds"), F.col("n"))}).select(*keys, "n", "sum", "min", "max", "median", "frauds", "rate")
 
 
 def optimal_range(df: DataFrame, value: str, fraud: Column, points: Sequence[float] = (0.5, 0.75, 0.9, 0.95)) -> DataFrame:
@@ -102,8 +120,10 @@ def band_table(df: DataFrame, value: str, bands: Sequence[tuple[float, float, st
 def amount_interaction(df: DataFrame, dim: str, amount: str, fraud: Column, least: int = 2) -> DataFrame:
     """Median and 90th percentile of frauds and of others in each category with enough frauds, and their ratio."""
     f = F.coalesce(fraud.cast("boolean"), F.lit(False))
-    two = F.array(F.lit(0.5), F.lit(0.9))
-    out = df.groupBy(dim).agg(F.count(F.when(f, 1)).alias("frauds"), F.percentile(F.when(f, F.col(amount)), two).alias("a"), F.percentile(F.when(~f, F.col(amount)), two).alias("b")).filter(F.col("frauds") >= least)
+    own = df.select(dim, f.alias("__f"), F.col(amount).cast("double").alias("__x"))
+    points = group_percentiles(value_counts(own, [dim, "__f"], "__x"), [dim, "__f"], (0.5, 0.9), "p").groupBy(dim).agg(F.max(F.when(F.col("__f"), F.col("p"))).alias("a"), F.max(F.when(~F.col("__f"), F.col("p"))).alias("b"))
+    frauds = own.groupBy(dim).agg(F.count(F.when(F.col("__f"), 1)).alias("frauds")).filter(F.col("frauds") >= least)
+    out = _with_points(frauds, points, [dim])
     out = out.select(dim, "frauds", F.col("a")[0].alias("median_fraud"), F.col("a")[1].alias("p90_fraud"), F.col("b")[0].alias("median_other"), F.col("b")[1].alias("p90_other"))
     r = _share(F.col("median_fraud"), F.col("median_other"))
     return out.withColumns({"ratio": r, "reading": F.when(r >= 1.5, "frauds larger").when(r <= 0.67, "frauds smaller").otherwise("alike")})
@@ -258,21 +278,6 @@ def steady_sample(df: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFra
     return df.orderBy(F.md5(F.concat(F.col(row_id).cast("string"), F.lit(f"-{seed}"))), row_id).limit(n)
 
 
-def numbered(df: DataFrame, order: Sequence[str], start: int = 0, chunk: int | None = None) -> DataFrame:
-    """Running number from start + 1 over all rows, and the chunk it falls in.
-
-    Rows are range-sorted; numbers come from counts of the ranges and the place within, not from one window over all.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    within = F.row_number().over(Window.partitionBy("__part").orderBy("__at"))
-    placed = ranged.withColumn("__k", within)
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
-    out = placed.join(F.broadcast(before), "__part").withColumn("number", F.col("__k") + F.col("__before") + start)  # a row for each range
-    out = out.drop("__part", "__at", "__k", "__before")
-    return out.withColumn("chunk", F.ceil((F.col("number") - start) / chunk)) if chunk else out
-
-
 def ordered_by_map(df: DataFrame, column: str, order: Mapping[str, int], then: Sequence[Column] = ()) -> DataFrame:
     """Sorted by a custom order of a column's values; unknown values last."""
     key = F.lit(len(order))
