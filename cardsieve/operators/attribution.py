@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.calendar import Calendar, event_label
+from ..sources.scratch import written
 
 
 def with_baseline(alerts: DataFrame, detail: DataFrame, keys: Sequence[str], ts: str, day: str = "day", window: int = 21) -> DataFrame:
@@ -102,7 +103,7 @@ def priority(event: Column, p_value: Column, jump: Column, alpha: float = 0.01)
 
 def report(alerts: DataFrame, detail: DataFrame, keys: Sequence[str], ts: str, dims: Sequence[str], approved: Column, calendar: Calendar = Calendar(), window: int = 21, top: int = 10) -> dict[str, DataFrame]:
     """alerts (with event, smallest p-value, decline rates, priority), contributions (first ``top`` categories), series of the alerted keys, summary."""
-    rows = with_baseline(alerts, detail, keys, ts, window=window).persist()
+    rows = written(with_baseline(alerts, detail, keys, ts, window=window), "baseline")  # read for shares, mix and declines
     shares = share_of_excess(rows, keys, dims, window)
     shift = mix_shift(rows, keys, dims).groupBy(*keys, "alert_day").agg(F.min("p_value").alias("p_value"))
     named = alerts.withColumnRenamed("day", "alert_day").join(shift, [*keys, "alert_day"], "left").join(decline_jump(rows, keys, approved), [*keys, "alert_day"], "left")

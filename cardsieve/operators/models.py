@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, PCA, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +33,13 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def impute_scale(features: Sequence[str], fill: float | None = None, scale: bool = True) -> list:
-    """Stages that fill nulls by the median, or by ``fill`` beforehand, and scale to ``features``."""
-    names = [f"{c}__filled" for c in features] if fill is None else list(features)
-    stages = [Imputer(strategy="median", inputCols=list(features), outputCols=names)] if fill is None else []
+    """Stages that fill nulls by the median, or by the value ``fill``, and scale to ``features``."""
+    names = [f"{c}__filled" for c in features]
+    if fill is None:
+        stages = [Imputer(strategy="median", inputCols=list(features), outputCols=names)]
+    else:
+        filled = ", ".join(f"coalesce(nanvl(cast(`{c}` as double), {float(fill)}), {float(fill)}) AS `{n}`" for c, n in zip(features, names))
+        stages = [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")]
     stages.append(VectorAssembler(inputCols=names, outputCol="raw_features" if scale else "features", handleInvalid="keep"))
     return stages + ([StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)] if scale else [])
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import percentiles
+from .ranges import numbered
 from .velocity import key_parts, known
 
 
@@ -41,7 +42,8 @@ def merchant_profile(df: DataFrame, keys: Sequence[str], ts: str, amount: str, c
     bad = F.coalesce(fraud.cast("int"), F.lit(0))
     out = profile(df, keys, {"n": F.count(F.lit(1)), "total": F.sum(amount), "mean": F.avg(amount), "clients": F.countDistinct(client), "days": F.countDistinct(F.to_date(ts)), "frauds": F.sum(bad)})
     out = out.withColumns({"fraud_rate": F.col("frauds") / F.col("n"), "per_day": F.col("n") / F.nullif(F.col("days"), F.lit(0))})
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), *keys)))  # a row for each merchant, not for each transaction
+    ranked = numbered(out.withColumn("__down", -F.col("n")), ["__down", *keys])  # by ranges, no window over all merchants
+    return ranked.withColumn("rank", F.col("number").cast("int")).drop("__down", "number")
 
 
 def mule_accounts(df: DataFrame, account: str, card: str, least: int = 3) -> DataFrame:

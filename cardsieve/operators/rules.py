@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +48,79 @@ def evaluate(df: DataFrame, rules: Mapping[str, Column], fraud: Column, client:
     return out.drop("frauds", "others")
 
 
+def _pair_counts(df: DataFrame, conditions: Sequence[Column], fraud: Column, amount: Column, wanted: Sequence[tuple[int, int]]) -> DataFrame:
+    """i, j, impacted, captured, fraud_amount for each wanted pair of conditions that meet: rows where both hold.
+
+    A task packs each condition's rows into a bitmap, batch by batch, and counts the bits of two bitmaps' AND; it sends one row
+    for each pair at its end. So the work of a row doesn't grow with the number of its active conditions squared."""
+    own = df.select(F.array(*[_on(c) for c in conditions]).alias("on"), _on(fraud).alias("f"), F.coalesce(amount.cast("double"), F.lit(0.0)).alias("x"))
+    width, first, second = len(conditions), *(np.array(side, np.int64) for side in zip(*wanted))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, captured, total = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.zeros(len(first))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            on = batch.column("on").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            f, x = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("f", "x"))
+            bits = np.packbits(on, axis=0).T  # conditions x bytes
+            frauds = bits & np.packbits(f)
+            hit = on[f]
+            sums = (hit * x[f][:, None]).T @ hit
+            for k, (i, j) in enumerate(zip(first, second)):
+                n[k] += int(np.bitwise_count(bits[i] & bits[j]).sum())
+                captured[k] += int(np.bitwise_count(frauds[i] & bits[j]).sum())
+            total += sums[first, second]
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(first[met]), pa.array(second[met]), pa.array(n[met]), pa.array(captured[met]), pa.array(total[met])], ["i", "j", "n", "f", "x"])
+
+    counted = own.mapInArrow(count, "i bigint, j bigint, n bigint, f bigint, x double")
+    return counted.groupBy("i", "j").agg(F.sum("n").alias("impacted"), F.sum("f").alias("captured"), F.sum("x").alias("fraud_amount"))
+
+
 def rule_pairs(df: DataFrame, rules: Mapping[str, Column], fraud: Column, least: int = 2, strong: float = 1.0, fair: float = 0.2) -> DataFrame:
-    """All pairs of rules: rows where both hold, by fraud; ratio, action class. A row lists its active rules and emits their pairs."""
+    """All pairs of rules, however many: rows where both hold, by fraud; ratio, action class."""
     names = sorted(rules)
-    if len(names) > 15:
-        raise ValueError("at most 15 rules: a row can emit a pair for each two of them")
-    active = F.array_compact(F.array(*[F.when(_on(rules[n]), F.lit(n)) for n in names]))
-    own = df.select(active.alias("a"), _on(fraud).cast("int").alias("f")).filter(F.size("a") >= 2)
-    own = own.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("f"))  # each set of rules once
-    pairs = own.select("n", "f", F.explode(F.flatten(F.transform("a", lambda x: F.transform(F.filter("a", lambda y: y > x), lambda y: F.struct(x.alias("first"), y.alias("second")))))).alias("p"))
-    out = pairs.groupBy("p.first", "p.second").agg(F.sum("n").alias("impacted"), F.sum("f").alias("captured")).filter(F.col("captured") >= least)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    out = _pair_counts(df, [rules[n] for n in names], fraud, F.lit(0.0), pairs).filter(F.col("captured") >= least)
+    listed = F.array(*map(F.lit, names))
+    out = out.select(F.get(listed, F.col("i").cast("int")).alias("first"), F.get(listed, F.col("j").cast("int")).alias("second"), "impacted", "captured")
     other = F.col("impacted") - F.col("captured")
     r = F.when(other == 0, 999.0).otherwise(F.col("captured") / F.nullif(other, F.lit(0)))
     return out.withColumns({"other": other, "ratio": r, "action": F.when(r >= strong, "block").when(r >= fair, "challenge").otherwise("watch")})
 
 
+def combinations(df: DataFrame, rules: Mapping[str, Column], fraud: Column, amount: str, segments: Mapping[str, Column] = {}, score: str | None = None, cuts: Sequence[float] = (2, 3, 4, 5, 6), profile: str | None = None, levels: Sequence[str] = (), least: int = 2) -> DataFrame:
+    """Combined rules with at least ``least`` frauds: each two rules, each segment with each rule, score >= cut, and profile at a
+    level or beyond (``levels`` rise). One reading of the rows for all.
+
+    rule, kind, impacted, captured, captured_pct (of all frauds), fraud_amount, other, other_pct (of all others), precision,
+    ratio (captured_pct by other_pct; 999 without others), lift and action; percentages and what comes of them have two digits."""
+    names, conditions, wanted, named = list(rules), list(rules.values()), [], []
+    wanted += [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    named += [("pair", f"{names[i]} AND {names[j]}") for i, j in wanted]
+    for s, c in segments.items():
+        named += [("segment", f"{s} AND {n}") for n in names]
+        wanted += [(len(conditions), i) for i in range(len(names))]
+        conditions.append(c)
+    alone = [("score", f"{score} >= {c:g}", F.col(score) >= c) for c in cuts] if score else []
+    alone += [("profile", f"{profile} >= {v}", F.col(profile).isin(*levels[k:])) for k, v in enumerate(levels)] if profile else []
+    for kind, rule, c in alone:
+        named.append((kind, rule))
+        wanted.append((len(conditions), len(conditions)))
+        conditions.append(c)
+    counted = _pair_counts(df, conditions, fraud, F.col(amount), wanted).filter(F.col("captured") >= least)
+    listed = F.broadcast(df.sparkSession.createDataFrame([(i, j, *x) for (i, j), x in zip(wanted, named)], "i bigint, j bigint, kind string, rule string"))  # a row for each rule
+    totals = F.broadcast(df.agg(F.count(F.when(_on(fraud), 1)).alias("__f"), F.count(F.lit(1)).alias("__n")))  # one row
+    out = counted.join(listed, ["i", "j"]).crossJoin(totals).withColumn("other", F.col("impacted") - F.col("captured"))
+    percent = lambda a, b: F.coalesce(F.round(_share(100.0 * a, b), 2), F.lit(0.0))
+    out = out.withColumns({"captured_pct": percent(F.col("captured"), F.col("__f")), "other_pct": percent(F.col("other"), F.col("__n") - F.col("__f")), "precision": percent(F.col("captured"), F.col("impacted")), "fraud_amount": F.round("fraud_amount", 2)})
+    ratio = F.when(F.col("other_pct") > 0, F.round(F.col("captured_pct") / F.nullif("other_pct", F.lit(0.0)), 2)).otherwise(999.0)
+    out = out.withColumns({"ratio": ratio, "lift": F.round(_share(F.col("precision") / 100, _share(F.col("__f"), F.col("__n"))), 2)})
+    action = F.when((F.col("precision") >= 40) & (F.col("ratio") >= 5), "block").when((F.col("precision") >= 20) & (F.col("ratio") >= 3), "review").otherwise("alert")
+    return out.select("rule", "kind", "impacted", "captured", "captured_pct", "fraud_amount", "other", "other_pct", "precision", "ratio", "lift", action.alias("action")).orderBy(F.desc("ratio"), F.desc("captured_pct"), "rule")
+
+
 def cascade(df: DataFrame, rules: Mapping[str, Column], fraud: Column) -> DataFrame:
     """Rules in order: rows that each is the first to meet, and cumulative recall and precision."""
     first = F.coalesce(*[F.when(_on(r), F.lit(k + 1)) for k, r in enumerate(rules.values())])

@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import amounts, calendar, labels, parsing, text, transfers
 from ..operators import cases, models, profiles, series, stats, tables
-from ..sources import medallion, readers, schema
+from ..sources import medallion, readers, schema, versions
 from ..sources.scratch import new_folder
 from ..streaming import windows
 from .registry import events, query, table
@@ -151,6 +151,35 @@ def daily_log(spark, sf_dir):
     return spark.read.parquet(log).select("tool", "rows", F.element_at(F.split("status", ":"), 1).alias("status"))
 
 
+def _two_loads(spark, sf_dir):
+    """Orders in two deliveries and a broken one: the second has rows as before, changed ones, new ones, some twice, some without a key."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").alias("price"))
+    found, log = versions.Versions(spark, new_folder(spark, "tables")), new_folder(spark, "log")
+    gold = lambda df: df.filter("o_orderstatus <> 'P'").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("price").alias("amount"))
+    second = o.filter("o_orderkey % 4 > 0").withColumn("price", F.when(F.col("o_orderkey") % 8 == 1, F.col("price") + 1).otherwise(F.col("price")))
+    second = second.unionByName(second.filter("o_orderkey % 8 = 2")).withColumn("o_orderkey", F.when(F.col("o_orderkey") % 8 != 3, F.col("o_orderkey"))).withColumn("note", F.lit(None).cast("string"))
+    versions.logged_load(found, log, "first", lambda: versions.load(found, o.filter("o_orderkey % 4 < 3"), ["o_orderkey"], gold))
+    versions.logged_load(found, log, "broken", lambda: versions.load(found, second, ["o_orderkey"], lambda df: df.select("no_such_column")))
+    versions.logged_load(found, log, "second", lambda: versions.load(found, second, ["o_orderkey"], gold))
+    return found, log
+
+
+@query("""WITH s AS (SELECT o_orderkey % 8 AS k, o_orderkey % 4 AS m FROM orders)
+    SELECT 'first' AS source, count(*) AS read, count(*) AS new, 0 AS updated, 0 AS skipped, 0 AS errors, 1 AS version, 'ok' AS status FROM s WHERE m < 3
+    UNION ALL SELECT 'broken', 0, 0, 0, 0, 0, 1, 'error'
+    UNION ALL SELECT 'second', count(*) + count(*) FILTER (k = 2), count(*) FILTER (k = 7), count(*) FILTER (k = 1), count(*) FILTER (k IN (2, 5, 6)) + count(*) FILTER (k = 2), count(*) FILTER (k = 3), 2, 'ok' FROM s WHERE m > 0""")
+def load_counts(spark, sf_dir):
+    _, log = _two_loads(spark, sf_dir)
+    return spark.read.parquet(log).select("source", "read", "new", "updated", "skipped", "errors", "version", F.element_at(F.split("status", ":"), 1).alias("status"))
+
+
+@query("""SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice + CASE WHEN o_orderkey % 8 = 1 THEN 1 ELSE 0 END), 2) AS amount
+    FROM orders WHERE o_orderkey % 8 <> 3 AND o_orderstatus <> 'P' GROUP BY o_orderstatus""")
+def gold_after_two_loads(spark, sf_dir):
+    found, _ = _two_loads(spark, sf_dir)
+    return found.read("gold").withColumn("amount", F.round("amount", 2))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '2024-01-01' ELSE '2024-01-02' END AS day FROM orders")
 def bronze_days(spark, sf_dir):
     path, own = new_folder(spark, "bronze"), _orders(spark, sf_dir, "o_orderkey", "o_orderstatus")

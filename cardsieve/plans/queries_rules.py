@@ -40,6 +40,30 @@ def rule_pairs(spark, sf_dir):
     return out.select("first", "second", "impacted", "captured", "other", F.round("ratio", 6).alias("ratio"))
 
 
+_MANY = {f"q{q}": F.col("qty") >= q for q in range(30, 50, 2)} | {f"d{d}": F.col("discount") >= d / 100 for d in range(3, 10)} | {f"m{m}": F.col("mcc") == m for m in range(5)}
+_MANY_SQL = "UNION ALL ".join([f"SELECT 'q{q}' AS rule, id FROM f WHERE qty >= {q} " for q in range(30, 50, 2)] + [f"SELECT 'd{d}', id FROM f WHERE discount >= {d / 100} " for d in range(3, 10)] + [f"SELECT 'm{m}', id FROM f WHERE mcc = {m} " for m in range(5)])
+_ORDER = [*_MANY]
+
+
+@query(T + f""", f AS (SELECT row_number() OVER () AS id, CAST(qty >= 40 AS INT) + CAST(discount >= 0.08 AS INT) + CAST(amount >= 60000 AS INT) AS score, * FROM t), l AS ({_MANY_SQL}),
+    o AS (SELECT unnest({_ORDER!r}) AS rule, generate_subscripts({_ORDER!r}, 1) AS k),
+    r AS (SELECT l.*, k FROM l JOIN o USING (rule)),
+    m AS (SELECT x.rule || ' AND ' || y.rule AS rule, 'pair' AS kind, x.id FROM r x JOIN r y ON x.id = y.id AND x.k < y.k
+          UNION ALL SELECT 'approved AND ' || rule, 'segment', id FROM r JOIN f USING (id) WHERE approved UNION ALL SELECT 'late AND ' || rule, 'segment', id FROM r JOIN f USING (id) WHERE NOT approved
+          UNION ALL SELECT 'score >= ' || c, 'score', id FROM f, unnest([1, 2, 3]) AS t(c) WHERE score >= c
+          UNION ALL SELECT 'level >= mid', 'profile', id FROM f WHERE score >= 2 UNION ALL SELECT 'level >= high', 'profile', id FROM f WHERE score >= 3),
+    g AS (SELECT count(*) AS n, count(*) FILTER (fraud) AS fr FROM f),
+    c AS (SELECT rule, kind, count(*) AS impacted, count(*) FILTER (fraud) AS captured, round(coalesce(sum(amount) FILTER (fraud), 0), 2) AS fraud_amount, count(*) FILTER (NOT fraud) AS other FROM m JOIN f USING (id) GROUP BY rule, kind HAVING count(*) FILTER (fraud) >= 2),
+    p AS (SELECT c.*, n, fr, round(100.0 * captured / fr, 2) AS captured_pct, round(100.0 * other / (n - fr), 2) AS other_pct, round(100.0 * captured / impacted, 2) AS precision FROM c, g),
+    q AS (SELECT *, CASE WHEN other_pct > 0 THEN round(captured_pct / other_pct, 2) ELSE 999 END AS ratio, round(precision / 100 / (fr / n), 2) AS lift FROM p)
+    SELECT rule, kind, impacted, captured, captured_pct, fraud_amount, other, other_pct, precision, ratio, lift, CASE WHEN precision >= 40 AND ratio >= 5 THEN 'block' WHEN precision >= 20 AND ratio >= 3 THEN 'review' ELSE 'alert' END AS action FROM q""")
+def rule_combinations(spark, sf_dir):
+    own = _flagged(spark, sf_dir)
+    score = sum((F.col(c).cast("int") for c in "abc"), F.lit(0))
+    own = own.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 3, "high").when(F.col("score") == 2, "mid").otherwise("low"))
+    return rules.combinations(own, _MANY, F.col("fraud"), "amount", {"approved": F.col("approved"), "late": ~F.col("approved")}, "score", (1, 2, 3), "level", ("mid", "high"))
+
+
 @query(_FLAGS + """, s AS (SELECT CASE WHEN a THEN 1 WHEN b THEN 2 WHEN c THEN 3 END AS step, count(*) AS n, sum(CAST(fraud AS INT)) AS captured FROM f GROUP BY 1), g AS (SELECT sum(captured) AS fr FROM s)
     SELECT step, n, captured, sum(captured) OVER (ORDER BY step) AS captured_so_far, round(sum(captured) OVER (ORDER BY step) / fr, 6) AS recall_so_far, round(sum(captured) OVER (ORDER BY step) / sum(n) OVER (ORDER BY step), 6) AS precision_so_far FROM s, g WHERE step IS NOT NULL""")
 def rule_cascade(spark, sf_dir):

@@ -33,8 +33,9 @@ def without(df: DataFrame, column: str, codes: Sequence[str]) -> DataFrame:
 
 
 def gold_debit(silver: DataFrame, columns: Sequence[str], bins: Sequence[str], mccs: Sequence[str], bin_: str = "bin6", mcc: str = "mcc", rule: str = "rule_code") -> DataFrame:
-    """Chosen columns without excluded BINs and merchant categories and without rows that have no rule code."""
-    out = without(without(silver, bin_, bins) if bins else silver, mcc, mccs) if mccs else silver
+    """Chosen columns without excluded BINs and merchant categories and without rows that have no rule code; an empty list excludes nothing."""
+    out = without(silver, bin_, bins) if bins else silver
+    out = without(out, mcc, mccs) if mccs else out
     return out.filter(F.col(rule).isNotNull() & (F.trim(rule) != "")).select(*columns)
 
 
