@@ -1,11 +1,11 @@
-"""Queries of models and detectors; SQL can't express them, tests hold their properties."""
+"""Queries of models and detectors; where SQL can't express them, tests hold their properties."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, stats, velocity
-from .registry import events, query
+from ..operators import density, models, stats, velocity
+from .registry import T, events, purchases, query
 
 _FEATURES = ["value", "k", "n_1h", "n_24h", "hour"]
 
@@ -61,3 +61,16 @@ def principal_components(spark, sf_dir):
 @query()
 def elliptic_outliers(spark, sf_dir):
     return models.elliptic_outliers(_features(spark, sf_dir), _FEATURES).select("event_id", "distance", "is_elliptic_outlier")
+
+
+@query(T + """, p AS (SELECT client AS id, CAST(count(*) AS DOUBLE) AS x, sum(qty) / count(*) AS y FROM t GROUP BY client),
+    near AS (SELECT a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS far FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.36),
+    core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 8),
+    links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    cc AS (WITH RECURSIVE r AS (SELECT id AS node, id AS root FROM core UNION SELECT l.b, r.root FROM r JOIN links l ON l.a = r.node) SELECT node, min(root) AS cluster FROM r GROUP BY node),
+    border AS (SELECT a AS id, arg_min(b, (far, b)) AS q FROM near WHERE a NOT IN (SELECT id FROM core) AND b IN (SELECT id FROM core) GROUP BY a)
+    SELECT p.id AS client, coalesce(cc.cluster, bc.cluster) AS cluster, CAST(cc.node IS NOT NULL AS INT) AS is_core
+    FROM p LEFT JOIN cc ON cc.node = p.id LEFT JOIN border ON border.id = p.id LEFT JOIN cc bc ON bc.node = border.q""")
+def density_clusters(spark, sf_dir):
+    own = purchases(spark, sf_dir).groupBy("client").agg(F.count(F.lit(1)).cast("double").alias("x"), (F.sum("qty") / F.count(F.lit(1))).alias("y"))
+    return density.dbscan(own, "client", ["x", "y"], 0.6, 8)

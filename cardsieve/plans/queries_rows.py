@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, bands, calendar, labels, parsing, scores, text
 from ..operators import cases, profiles, velocity
+from ..sources.scratch import new_folder
 from ..streaming import windows
 from .registry import E, T, days_as_text, events, purchases, query, rounded, table
 
@@ -19,6 +20,25 @@ def client_velocity(spark, sf_dir):
     return rounded(out.select("event_id", "n_1h", "sum_1h", "n_24h", "sum_24h"), "sum_1h", "sum_24h")
 
 
+@query(E + f"""SELECT e.event_id, count(o.event_id) FILTER (o.s >= e.s - 600) AS n_10m, round(coalesce(sum(o.value) FILTER (o.s >= e.s - 600), 0), 4) AS sum_10m,
+    count(o.event_id) FILTER (o.s >= e.s - 86400) AS n_24h, round(coalesce(sum(o.value) FILTER (o.s >= e.s - 86400), 0), 4) AS sum_24h FROM e LEFT JOIN e o ON {_EARLIER} AND o.s >= e.s - 86400 GROUP BY e.event_id""")
+def velocity_on_a_stream(spark, sf_dir):
+    """Events in three files, read as a stream file by file; a fourth with one row in the far future moves the watermark past the last."""
+    source, out, checkpoint = (new_folder(spark, n) for n in ("stream", "velocity", "checkpoint"))
+    own = events(spark, sf_dir).select("user_id", "ts", "event_id", "value")
+    cut = own.agg(F.percentile_approx("ts", [1 / 3, 2 / 3]).alias("c"))
+    placed = own.crossJoin(F.broadcast(cut)).withColumn("file", F.when(F.col("ts") < F.col("c")[0], 0).when(F.col("ts") < F.col("c")[1], 1).otherwise(2)).drop("c")
+    for k in range(3):
+        placed.filter(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(source)
+    last = own.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select(F.lit(-1).cast(own.schema["user_id"].dataType).alias("user_id"), "ts", F.lit(-1).cast("bigint").alias("event_id"), F.lit(0.0).alias("value"))
+    last.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = windows.exact_velocity_stream(stream, "user_id", "ts", "event_id", "value", {"10m": 600, "24h": 86400})
+    found.writeStream.option("checkpointLocation", checkpoint).option("path", out).format("parquet").trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.schema("user_id bigint, event_id bigint, n_10m bigint, sum_10m double, n_24h bigint, sum_24h double").parquet(out)
+    return rounded(read.drop("user_id"), "sum_10m", "sum_24h")
+
+
 @query(E + "SELECT e.event_id, count(o.event_id) AS n_earlier FROM e LEFT JOIN e o ON o.event_type = e.event_type AND (o.s < e.s OR (o.s = e.s AND o.event_id < e.event_id)) AND o.s >= e.s - 600 GROUP BY e.event_id")
 def hot_key_velocity(spark, sf_dir):
     return velocity.bucketed_velocity(events(spark, sf_dir), ["event_type"], "ts", "event_id", 600).select("event_id", "n_earlier")
