@@ -7,9 +7,10 @@ Two passes over the texts, both in blocks of a task's own rows:
    ``least`` only if its bucket does. Counts stop at ``least``, which changes no answer, so a cell is one byte. What is left
    is one bit a bucket: a broadcast of fixed size (32 MB).
 2. A sequence whose bucket and whose shorter parts' buckets reach ``least`` is counted exactly. Equal ones of a block are
-   added up first, then go to the task's HAT-trie: under a shallow trie of word ids (language, first word, ...) hang hash
-   containers of the rest of the words; a container beyond ``BURST`` entries bursts into a node with a container for each
-   next word. Beyond ``ENTRIES`` the largest subtrees are written out whole, as sorted runs of (lang, phrase, count).
+   added up first, then go to the task's HAT-trie. Its nodes fan out ``FAN`` ways by a word's id (a node's first level by the
+   first word, the next by the second, ...); below hang hash containers that hold whole keys and counts as columns, so adding
+   and merging is done for many entries at a time. A container beyond ``BURST`` distinct entries bursts into a node. Beyond
+   ``ENTRIES`` the largest subtrees are written out whole, as runs of (lang, phrase, count) that Spark sorts.
    Spark deals the runs by prefix (all words but the last), sorts each partition, and equal neighbours are added up in one
    pass, so a partition needs no memory for its phrases.
 
@@ -26,6 +27,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +40,10 @@ LONGEST = 4
 BITS = 26
 #: Buckets that are added up in one table; buckets that a task holds and sorts.
 RANGE, HELD = 1 << 22, 1 << 23
-BURST = 2048
+#: Entries of a container, ways of a node.
+BURST, FAN = 1 << 16, 16
 #: Entries of a task's trie beyond which subtrees are written out; bytes of text in a block.
-ENTRIES, BLOCK = 1 << 18, 4 << 20
+ENTRIES, BLOCK = 1 << 21, 4 << 20
 #: Parts that the best phrases of a language are picked from first.
 SALT = 64
 
@@ -154,83 +157,68 @@ def _bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         yield out()
 
 
+#: Columns of a trie's keys, and of its entries.
+_KEY = [f"w{k}" for k in range(LONGEST)]
+_NONE = -1
+
+
 class HatTrie:
-    """Counts of sequences of ids: nodes by id near the root, hash containers of the remaining ids below."""
-
-    def __init__(self, burst: int = BURST):
-        self.root: dict = {}
-        self.sizes: dict[tuple, int] = {}
-        self.burst, self.entries = burst, 0
-
-    def add(self, key: tuple[int, ...], count: int) -> None:
-        """``key``: language, first word and what follows. The first two choose a subtree of its own."""
-        top, rest = key[:2], key[2:]
-        node = self.root.get(top)
-        if node is None:
-            node = self.root[top] = _Container()
-            self.sizes[top] = 0
-        new, grown = _insert(node, rest, count, self.burst)
-        if grown is not None:
-            self.root[top] = grown
-        self.sizes[top] += new
-        self.entries += new
-
-    def taken(self, keep: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        """Take whole subtrees out, the largest first, until at most ``keep`` entries stay."""
-        for top in sorted(self.sizes, key=lambda t: (-self.sizes[t], t)):
+    """Counts of sequences of ids (int32, ``_NONE`` behind the end): nodes by id near the root, hash containers below."""
+
+    def __init__(self, burst: int = BURST, depth: int = 0):
+        self.burst, self.depth = burst, depth
+        self.children: list[HatTrie] | None = None
+        self.held: list[pa.Table] = []
+        self.entries, self.loose = 0, 0
+
+    def add(self, entries: pa.Table) -> None:
+        """``entries``: _KEY and count; keys may repeat. A container adds its entries up when the new ones have doubled it."""
+        if not entries.num_rows:
+            return
+        if self.children is not None:
+            for child, part in zip(self.children, self._dealt(entries)):
+                child.add(part)
+            self.entries = sum(c.entries for c in self.children)
+            return
+        self.held.append(entries)
+        self.loose += entries.num_rows
+        self.entries += entries.num_rows
+        if self.loose * 2 > self.entries and self.entries > self.burst:
+            self._merge()
+            if self.entries > self.burst and self.depth < LONGEST:
+                whole, self.held = self.held, []
+                self.children = [HatTrie(self.burst, self.depth + 1) for _ in range(FAN)]
+                self.entries = 0
+                for table in whole:
+                    self.add(table)
+
+    def _merge(self) -> None:
+        """The container as a hash table: one entry for each key."""
+        table = pa.concat_tables(self.held).group_by(_KEY, use_threads=False).aggregate([("count", "sum")]).rename_columns([*_KEY, "count"])
+        self.held, self.entries, self.loose = [table], table.num_rows, 0
+
+    def _dealt(self, entries: pa.Table) -> list[pa.Table]:
+        """Entries by the id at this depth, FAN ways; those that end before it go with id -1."""
+        way = (entries.column(_KEY[self.depth]).to_numpy() // FAN**self.depth) % FAN
+        order = np.argsort(way, kind="stable")
+        cuts = np.searchsorted(way[order], np.arange(FAN + 1))
+        sorted_ = entries.take(pa.array(order))
+        return [sorted_.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+    def taken(self, keep: int) -> Iterator[pa.Table]:
+        """Take whole subtrees out, the largest first, until at most ``keep`` entries stay; one entry for each key."""
+        if self.children is None:
+            if self.entries > keep:
+                self._merge()
+                yield self.held[0]
+                self.held, self.entries, self.loose = [], 0, 0
+            return
+        for child in sorted(self.children, key=lambda c: -c.entries):
             if self.entries <= keep:
                 break
-            for rest, count in _entries(self.root.pop(top)):
-                yield top + rest, count
-            self.entries -= self.sizes.pop(top)
-
-
-class _Container(dict):
-    """Remaining ids -> count."""
-
-
-class _Node(dict):
-    """Next id -> _Node or _Container; None -> count of the sequence that ends here."""
-
-
-def _insert(node, rest: tuple[int, ...], count: int, burst: int):
-    """New entries (0 or 1), and what stands in place of ``node`` if it has burst."""
-    if isinstance(node, _Container):
-        new = rest not in node
-        node[rest] = node.get(rest, 0) + count
-        return (1, _burst(node)) if new and len(node) > burst else (int(new), None)
-    if not rest:
-        new = None not in node
-        node[None] = node.get(None, 0) + count
-        return int(new), None
-    child = node.get(rest[0])
-    if child is None:
-        child = node[rest[0]] = _Container()
-    new, grown = _insert(child, rest[1:], count, burst)
-    if grown is not None:
-        node[rest[0]] = grown
-    return new, None
-
-
-def _burst(container: _Container) -> _Node:
-    node = _Node()
-    for rest, count in container.items():
-        if rest:
-            node.setdefault(rest[0], _Container())[rest[1:]] = count
-        else:
-            node[None] = count
-    return node
-
-
-def _entries(node) -> Iterator[tuple[tuple[int, ...], int]]:
-    if isinstance(node, _Container):
-        yield from node.items()
-        return
-    for word, child in node.items():
-        if word is None:
-            yield (), child
-        else:
-            yield from (((word, *rest), count) for rest, count in _entries(child))
+            before = child.entries
+            yield from child.taken(0)
+            self.entries -= before
 
 
 def _distinct(block: Block, hot: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -258,62 +246,89 @@ def _distinct(block: Block, hot: Sequence[np.ndarray]) -> Iterator[tuple[np.ndar
         yield at[first], count
 
 
+_FIELDS = ["lang", "words", "phrase", "count"]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], hot: Sequence[np.ndarray], burst: int, entries: int) -> Iterator[pa.RecordBatch]:
-    """Sorted runs (lang, words, phrase, count); words 0: all words of the language in these texts."""
-    trie, langs, ids, totals = HatTrie(burst), {}, {}, {}
+    """Runs (lang, words, phrase, count) of subtrees; words 0: all words of the language in these texts."""
+    trie, ids, names, totals = HatTrie(burst), {}, [], {}
 
     def run(keep: int) -> Iterator[pa.RecordBatch]:
-        name, lang = list(ids), list(langs)
-        rows = sorted((lang[key[0]], " ".join(name[w] for w in key[1:]), len(key) - 1, count) for key, count in trie.taken(keep))
-        for at in range(0, len(rows), 1 << 16):
-            part = list(zip(*rows[at : at + (1 << 16)]))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[2], pa.int32()), pa.array(part[1], pa.string()), pa.array(part[3], pa.int64())], ["lang", "words", "phrase", "count"])
+        """The first word's id stands for language and word, the others' for the word alone."""
+        known = pa.array([w for _, w in names], pa.string())
+        langs = pa.array([v for v, _ in names], pa.string())
+        for table in trie.taken(keep):
+            for at in range(0, table.num_rows, 1 << 16):
+                part = table.slice(at, 1 << 16)
+                keys = [part.column(k).combine_chunks() for k in _KEY]
+                there = [pc.not_equal(k, _NONE) for k in keys]
+                words = [known.take(pc.if_else(t, k, None)) for k, t in zip(keys, there)]
+                size = sum(t.cast(pa.int32()).to_numpy(zero_copy_only=False) for t in there)
+                phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip")
+                yield pa.RecordBatch.from_arrays([langs.take(keys[0]), pa.array(size, pa.int32()), phrase, part.column("count").combine_chunks().cast(pa.int64())], _FIELDS)
+
+    def numbered(lang: str | None, words: list[str]) -> list[int]:
+        out = []
+        for w in words:
+            k = ids.setdefault((lang, w), len(ids))
+            if k == len(names):
+                names.append((lang, w))
+            out.append(k)
+        return out
 
     for batch in gathered(batches, "text", BLOCK):
         block = Block(batch)
         for lang, n in zip(block.langs, np.bincount(block.lang, minlength=len(block.langs)).tolist()):
             totals[lang] = totals.get(lang, 0) + n
-        names, known = block.words.dictionary, {}
-        own = [langs.setdefault(v, len(langs)) for v in block.langs]
+        plain = np.full(len(block.words.dictionary), _NONE, np.int32)
+        opening = {}
         for size, (at, count) in enumerate(_distinct(block, hot), 1):
-            sequences = np.stack([block.ids[at + k] for k in range(size)], axis=1) if len(at) else np.zeros((0, size), np.int64)
-            used = np.unique(sequences)
-            for w, text in zip(used.tolist(), names.take(pa.array(used)).to_pylist()):
-                if w not in known:
-                    known[w] = ids.setdefault(text, len(ids))
-            for lang, sequence, n in zip(block.lang[at].tolist(), sequences.tolist(), count.tolist()):
-                trie.add((own[lang], *(known[w] for w in sequence)), n)
-            if trie.entries > entries:
-                yield from run(entries // 2)
+            if size == 1:  # every word of a longer sequence is one that may be frequent itself
+                own, lang = block.ids[at], block.lang[at]
+                used = np.unique(own)
+                plain[used] = numbered(None, block.words.dictionary.take(pa.array(used)).to_pylist())
+                for k, name in enumerate(block.langs):
+                    mine = np.unique(own[lang == k])
+                    opening[k] = np.full(len(plain), _NONE, np.int32)
+                    opening[k][mine] = numbered(name, block.words.dictionary.take(pa.array(mine)).to_pylist())
+            columns = [np.full(len(at), _NONE, np.int32) for _ in range(LONGEST)]
+            for k, table in opening.items():
+                mine = block.lang[at] == k
+                columns[0][mine] = table[block.ids[at[mine]]]
+            for k in range(1, size):
+                columns[k] = plain[block.ids[at + k]]
+            trie.add(pa.table([*map(pa.array, columns), pa.array(count.astype(np.int64))], [*_KEY, "count"]))
+        if trie.entries > entries:
+            yield from run(entries // 2)
     yield from run(0)
     if totals:
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["lang", "words", "phrase", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], _FIELDS)
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Add up equal neighbours of sorted runs; what stays below ``least`` goes. Only the open key is held from batch to batch."""
+    """Add up equal neighbours of sorted runs; what stays below ``least`` goes. Only the last key is held from batch to batch."""
     held = None
+
+    def kept(rows: pa.Table) -> list[pa.RecordBatch]:
+        return rows.filter(pc.or_(pc.greater_equal(rows["count"], least), pc.equal(rows["words"], 0))).combine_chunks().to_batches()
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        lang, words, phrase = (batch.column(k).to_pylist() for k in range(3))
-        keys, counts = list(zip(lang, words, phrase)), batch.column(3).to_numpy()
-        new = np.fromiter((a != b for a, b in zip(keys[1:], keys)), bool, len(keys) - 1)
-        at = np.concatenate([[0], np.flatnonzero(new) + 1])
-        sums = np.add.reduceat(counts, at).tolist()
-        rows = [(keys[k], n) for k, n in zip(at.tolist(), sums)]
-        if held is not None:
-            rows = [(held[0], held[1] + rows[0][1]), *rows[1:]] if rows[0][0] == held[0] else [held, *rows]
-        held = rows.pop()
-        yield _kept(rows, least)
+        own = pa.Table.from_batches([batch])
+        own = (own if held is None else pa.concat_tables([held, own])).combine_chunks()
+        new = np.zeros(own.num_rows, bool)
+        new[0] = True
+        for c in _FIELDS[:3]:
+            column = own.column(c).combine_chunks()
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(new)
+        sums = np.add.reduceat(own.column("count").to_numpy(), at)
+        rows = own.select(_FIELDS[:3]).take(pa.array(at)).append_column("count", pa.array(sums, pa.int64()))
+        held = rows.slice(rows.num_rows - 1)
+        yield from kept(rows.slice(0, rows.num_rows - 1))
     if held is not None:
-        yield _kept([held], least)
-
-
-def _kept(rows: list, least: int) -> pa.RecordBatch:
-    rows = [(*key, n) for key, n in rows if n >= least or not key[1]]
-    part = list(zip(*rows)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.string()), pa.array(part[3], pa.int64())], ["lang", "words", "phrase", "count"])
+        yield from kept(held)
 
 
 _COUNTS = "lang string, words int, phrase string, count bigint"

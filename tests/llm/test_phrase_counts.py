@@ -66,15 +66,19 @@ def test_words_and_pieces():
 
 def test_trie_against_a_dictionary():
     rng = np.random.default_rng(0)
-    trie, want, taken = phrase_counts.HatTrie(burst=3), Counter(), Counter()
-    for _ in range(4000):
-        key = (int(rng.integers(2)), *rng.integers(6, size=rng.integers(1, 5)).tolist())
-        trie.add(key, 2)
-        want[key] += 2
-        if trie.entries > 200:
-            for k, n in trie.taken(100):
-                taken[k] += n
-            assert trie.entries <= 100
-    for k, n in trie.taken(0):
-        taken[k] += n
-    assert taken == want and trie.entries == 0 and not trie.root
+    trie, want, taken = phrase_counts.HatTrie(burst=20), Counter(), Counter()
+
+    def take(keep):
+        for table in trie.taken(keep):
+            for *key, n in zip(*(table.column(c).to_pylist() for c in table.column_names)):
+                taken[tuple(key)] += n
+
+    for k in range(300):
+        keys = [tuple(rng.integers(40, size=s).tolist() + [-1] * (4 - s)) for s in rng.integers(1, 5, size=30)]
+        trie.add(pa.table([pa.array([key[c] for key in keys], pa.int32()) for c in range(4)] + [pa.array([2] * len(keys))], ["w0", "w1", "w2", "w3", "count"]))
+        want.update({key: 2 * n for key, n in Counter(keys).items()})
+        if k % 50 == 49:
+            take(500)
+            assert trie.entries <= 500
+    take(0)
+    assert taken == want and trie.entries == 0
