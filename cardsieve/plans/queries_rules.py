@@ -40,9 +40,13 @@ def rule_pairs(spark, sf_dir):
     return out.select("first", "second", "impacted", "captured", "other", F.round("ratio", 6).alias("ratio"))
 
 
-_MANY = {f"q{q}": F.col("qty") >= q for q in range(30, 50, 2)} | {f"d{d}": F.col("discount") >= d / 100 for d in range(3, 10)} | {f"m{m}": F.col("mcc") == m for m in range(5)}
+def _many():
+    """Columns need a session, so they are made when a query runs."""
+    return {f"q{q}": F.col("qty") >= q for q in range(30, 50, 2)} | {f"d{d}": F.col("discount") >= d / 100 for d in range(3, 10)} | {f"m{m}": F.col("mcc") == m for m in range(5)}
+
+
 _MANY_SQL = "UNION ALL ".join([f"SELECT 'q{q}' AS rule, id FROM f WHERE qty >= {q} " for q in range(30, 50, 2)] + [f"SELECT 'd{d}', id FROM f WHERE discount >= {d / 100} " for d in range(3, 10)] + [f"SELECT 'm{m}', id FROM f WHERE mcc = {m} " for m in range(5)])
-_ORDER = [*_MANY]
+_ORDER = [f"q{q}" for q in range(30, 50, 2)] + [f"d{d}" for d in range(3, 10)] + [f"m{m}" for m in range(5)]
 
 
 @query(T + f""", f AS (SELECT row_number() OVER () AS id, CAST(qty >= 40 AS INT) + CAST(discount >= 0.08 AS INT) + CAST(amount >= 60000 AS INT) AS score, * FROM t), l AS ({_MANY_SQL}),
@@ -61,7 +65,7 @@ def rule_combinations(spark, sf_dir):
     own = _flagged(spark, sf_dir)
     score = sum((F.col(c).cast("int") for c in "abc"), F.lit(0))
     own = own.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 3, "high").when(F.col("score") == 2, "mid").otherwise("low"))
-    return rules.combinations(own, _MANY, F.col("fraud"), "amount", {"approved": F.col("approved"), "late": ~F.col("approved")}, "score", (1, 2, 3), "level", ("mid", "high"))
+    return rules.combinations(own, _many(), F.col("fraud"), "amount", {"approved": F.col("approved"), "late": ~F.col("approved")}, "score", (1, 2, 3), "level", ("mid", "high"))
 
 
 @query(_FLAGS + """, s AS (SELECT CASE WHEN a THEN 1 WHEN b THEN 2 WHEN c THEN 3 END AS step, count(*) AS n, sum(CAST(fraud AS INT)) AS captured FROM f GROUP BY 1), g AS (SELECT sum(captured) AS fr FROM s)
