@@ -95,7 +95,7 @@ def combinations(df: DataFrame, rules: Mapping[str, Column], fraud: Column, amou
     level or beyond (``levels`` rise). One reading of the rows for all.
 
     rule, kind, impacted, captured, captured_pct (of all frauds), fraud_amount, other, other_pct (of all others), precision,
-    ratio (captured_pct by other_pct; 999 without others), lift and action; percentages and what comes of them have two digits."""
+    ratio (captured_pct by other_pct; 999 without others), lift and action; percentages and what comes of them have two digits, halves up."""
     names, conditions, wanted, named = list(rules), list(rules.values()), [], []
     wanted += [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     named += [("pair", f"{names[i]} AND {names[j]}") for i, j in wanted]
@@ -113,10 +113,10 @@ def combinations(df: DataFrame, rules: Mapping[str, Column], fraud: Column, amou
     listed = F.broadcast(df.sparkSession.createDataFrame([(i, j, *x) for (i, j), x in zip(wanted, named)], "i bigint, j bigint, kind string, rule string"))  # a row for each rule
     totals = F.broadcast(df.agg(F.count(F.when(_on(fraud), 1)).alias("__f"), F.count(F.lit(1)).alias("__n")))  # one row
     out = counted.join(listed, ["i", "j"]).crossJoin(totals).withColumn("other", F.col("impacted") - F.col("captured"))
-    percent = lambda a, b: F.coalesce(F.round(_share(100.0 * a, b), 2), F.lit(0.0))
-    out = out.withColumns({"captured_pct": percent(F.col("captured"), F.col("__f")), "other_pct": percent(F.col("other"), F.col("__n") - F.col("__f")), "precision": percent(F.col("captured"), F.col("impacted")), "fraud_amount": F.round("fraud_amount", 2)})
-    ratio = F.when(F.col("other_pct") > 0, F.round(F.col("captured_pct") / F.nullif("other_pct", F.lit(0.0)), 2)).otherwise(999.0)
-    out = out.withColumns({"ratio": ratio, "lift": F.round(_share(F.col("precision") / 100, _share(F.col("__f"), F.col("__n"))), 2)})
+    # hundredths as whole numbers, halves up: no rounding of doubles, the same in every engine
+    out = out.withColumns({name: F.expr(f"coalesce((20000 * {a} + {b}) div nullif(2 * {b}, 0), 0)") for name, a, b in (("__c", "captured", "__f"), ("__o", "other", "(__n - __f)"), ("__p", "captured", "impacted"))})
+    out = out.withColumns({"captured_pct": F.col("__c") / 100, "other_pct": F.col("__o") / 100, "precision": F.col("__p") / 100, "fraud_amount": F.round("fraud_amount", 2)})
+    out = out.withColumns({"ratio": F.coalesce(F.expr("(200 * __c + __o) div nullif(2 * __o, 0)") / 100, F.lit(999.0)), "lift": F.expr("(2 * __p * __n + 100 * __f) div nullif(200 * __f, 0)") / 100})
     action = F.when((F.col("precision") >= 40) & (F.col("ratio") >= 5), "block").when((F.col("precision") >= 20) & (F.col("ratio") >= 3), "review").otherwise("alert")
     return out.select("rule", "kind", "impacted", "captured", "captured_pct", "fraud_amount", "other", "other_pct", "precision", "ratio", "lift", action.alias("action")).orderBy(F.desc("ratio"), F.desc("captured_pct"), "rule")
 

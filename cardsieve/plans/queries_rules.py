@@ -58,8 +58,8 @@ _ORDER = [f"q{q}" for q in range(30, 50, 2)] + [f"d{d}" for d in range(3, 10)] +
           UNION ALL SELECT 'level >= mid', 'profile', id FROM f WHERE score >= 2 UNION ALL SELECT 'level >= high', 'profile', id FROM f WHERE score >= 3),
     g AS (SELECT count(*) AS n, count(*) FILTER (fraud) AS fr FROM f),
     c AS (SELECT rule, kind, count(*) AS impacted, count(*) FILTER (fraud) AS captured, round(coalesce(sum(amount) FILTER (fraud), 0), 2) AS fraud_amount, count(*) FILTER (NOT fraud) AS other FROM m JOIN f USING (id) GROUP BY rule, kind HAVING count(*) FILTER (fraud) >= 2),
-    p AS (SELECT c.*, n, fr, round(100.0 * captured / fr, 2) AS captured_pct, round(100.0 * other / (n - fr), 2) AS other_pct, round(100.0 * captured / impacted, 2) AS precision FROM c, g),
-    q AS (SELECT *, CASE WHEN other_pct > 0 THEN round(captured_pct / other_pct, 2) ELSE 999 END AS ratio, round(precision / 100 / (fr / n), 2) AS lift FROM p)
+    p AS (SELECT c.*, n, fr, (20000 * captured + fr) // (2 * fr) AS cp, (20000 * other + (n - fr)) // (2 * (n - fr)) AS op, (20000 * captured + impacted) // (2 * impacted) AS pp FROM c, g),
+    q AS (SELECT *, cp / 100 AS captured_pct, op / 100 AS other_pct, pp / 100 AS precision, CASE WHEN op > 0 THEN ((200 * cp + op) // (2 * op)) / 100 ELSE 999 END AS ratio, ((2 * pp * n + 100 * fr) // (200 * fr)) / 100 AS lift FROM p)
     SELECT rule, kind, impacted, captured, captured_pct, fraud_amount, other, other_pct, precision, ratio, lift, CASE WHEN precision >= 40 AND ratio >= 5 THEN 'block' WHEN precision >= 20 AND ratio >= 3 THEN 'review' ELSE 'alert' END AS action FROM q""")
 def rule_combinations(spark, sf_dir):
     own = _flagged(spark, sf_dir)
