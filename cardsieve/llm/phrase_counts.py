@@ -10,9 +10,10 @@ Two passes over the texts, both in blocks of a task's own rows:
    added up first, then go to the task's HAT-trie. Its nodes fan out ``FAN`` ways by a word's id (a node's first level by the
    first word, the next by the second, ...); below hang hash containers that hold whole keys and counts as columns, so adding
    and merging is done for many entries at a time. A container beyond ``BURST`` distinct entries bursts into a node. Beyond
-   ``ENTRIES`` the largest subtrees are written out whole, as runs of (lang, phrase, count) that Spark sorts.
-   Spark deals the runs by prefix (all words but the last), sorts each partition, and equal neighbours are added up in one
-   pass, so a partition needs no memory for its phrases.
+   ``ENTRIES`` the largest subtrees are written out whole: their entries are dealt by prefix (a hash of language and all words
+   but the last) and packed, sorted by phrase, into one run for each prefix partition. Spark brings a partition's runs
+   together and they are merged one after another, in a table of the partition's phrases. There are ``PARTS`` partitions, or
+   one for each of the session's shuffle partitions if those are more, so a partition stays small as the input grows.
 
 Hashes only rule out; counts are of the words themselves. The tables shrink the second pass at moderate sizes; where nearly
 all buckets reach ``least`` they rule out little and the counts are the same.
@@ -44,6 +45,8 @@ RANGE, HELD = 1 << 22, 1 << 23
 BURST, FAN = 1 << 16, 16
 #: Entries of a task's trie beyond which subtrees are written out; bytes of text in a block.
 ENTRIES, BLOCK = 1 << 21, 4 << 20
+#: Prefix partitions at least; phrases of a run; unmerged entries of a partition beyond which they are added up.
+PARTS, RUN, LOOSE = 64, 1 << 17, 1 << 19
 #: Parts that the best phrases of a language are picked from first.
 SALT = 64
 
@@ -247,25 +250,53 @@ def _distinct(block: Block, hot: Sequence[np.ndarray]) -> Iterator[tuple[np.ndar
 
 
 _FIELDS = ["lang", "words", "phrase", "count"]
+_RUN = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("count", pa.int64())])
+_PACKED = "part int, run binary"
 
 
-def _runs(batches: Iterator[pa.RecordBatch], hot: Sequence[np.ndarray], burst: int, entries: int) -> Iterator[pa.RecordBatch]:
-    """Runs (lang, words, phrase, count) of subtrees; words 0: all words of the language in these texts."""
+def _packed(part: int, run: pa.Table) -> pa.RecordBatch:
+    """A run as one row: an Arrow stream, compressed."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _RUN, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(run.cast(_RUN))
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["part", "run"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], hot: Sequence[np.ndarray], burst: int, entries: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed runs (lang, words, phrase, count) of subtrees; words 0: all words of the language in these texts."""
     trie, ids, names, totals = HatTrie(burst), {}, [], {}
 
     def run(keep: int) -> Iterator[pa.RecordBatch]:
         """The first word's id stands for language and word, the others' for the word alone."""
         known = pa.array([w for _, w in names], pa.string())
         langs = pa.array([v for v, _ in names], pa.string())
+        own = np.fromiter((xxhash.xxh64_intdigest(w if v is None else f"{v} {w}") for v, w in names), np.uint64, len(names))
+        held: list[pa.Table] = []
         for table in trie.taken(keep):
-            for at in range(0, table.num_rows, 1 << 16):
-                part = table.slice(at, 1 << 16)
-                keys = [part.column(k).combine_chunks() for k in _KEY]
-                there = [pc.not_equal(k, _NONE) for k in keys]
-                words = [known.take(pc.if_else(t, k, None)) for k, t in zip(keys, there)]
-                size = sum(t.cast(pa.int32()).to_numpy(zero_copy_only=False) for t in there)
+            held.append(table)
+            if sum(t.num_rows for t in held) >= RUN * 4:
+                yield from dealt(pa.concat_tables(held), known, langs, own)
+                held = []
+        if held:
+            yield from dealt(pa.concat_tables(held), known, langs, own)
+
+    def dealt(table: pa.Table, known: pa.Array, langs: pa.Array, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys = [table.column(k).combine_chunks().to_numpy() for k in _KEY]
+        size = sum((k != _NONE).astype(np.int32) for k in keys)
+        prefix = _mixed(own[keys[0]])
+        for k in range(1, LONGEST - 1):
+            prefix = np.where(size > k + 1, _mixed(prefix + own[keys[k]]), prefix)
+        part = (prefix % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        counts = table.column("count").combine_chunks()
+        for p in np.flatnonzero(np.diff(cuts)):
+            for at in range(cuts[p], cuts[p + 1], RUN):
+                rows = order[at : min(at + RUN, cuts[p + 1])]
+                words = [known.take(pa.array(k[rows], mask=k[rows] == _NONE)) for k in keys]
                 phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip")
-                yield pa.RecordBatch.from_arrays([langs.take(keys[0]), pa.array(size, pa.int32()), phrase, part.column("count").combine_chunks().cast(pa.int64())], _FIELDS)
+                run = pa.table([langs.take(pa.array(keys[0][rows])), pa.array(size[rows], pa.int32()), phrase, counts.take(pa.array(rows))], _FIELDS)
+                yield _packed(int(p), run.sort_by([("lang", "ascending"), ("phrase", "ascending")]))
 
     def numbered(lang: str | None, words: list[str]) -> list[int]:
         out = []
@@ -302,33 +333,34 @@ def _runs(batches: Iterator[pa.RecordBatch], hot: Sequence[np.ndarray], burst: i
             yield from run(entries // 2)
     yield from run(0)
     if totals:
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], _FIELDS)
+        n = len(totals)
+        yield _packed(0, pa.table([pa.array(list(totals), pa.string()), pa.array([0] * n, pa.int32()), pa.array([""] * n), pa.array(list(totals.values()), pa.int64())], _FIELDS))
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Add up equal neighbours of sorted runs; what stays below ``least`` goes. Only the last key is held from batch to batch."""
-    held = None
+    """Merge the runs of each partition (rows come sorted by it); what stays below ``least`` goes."""
+    now, held, loose = None, [], 0
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(_FIELDS[:3], use_threads=False).aggregate([("count", "sum")]).rename_columns(_FIELDS)
 
-    def kept(rows: pa.Table) -> list[pa.RecordBatch]:
-        return rows.filter(pc.or_(pc.greater_equal(rows["count"], least), pc.equal(rows["words"], 0))).combine_chunks().to_batches()
+    def out() -> list[pa.RecordBatch]:
+        rows = added(held)
+        return rows.filter(pc.or_(pc.greater_equal(rows["count"], least), pc.equal(rows["words"], 0))).combine_chunks().to_batches(max_chunksize=1 << 16)
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        own = pa.Table.from_batches([batch])
-        own = (own if held is None else pa.concat_tables([held, own])).combine_chunks()
-        new = np.zeros(own.num_rows, bool)
-        new[0] = True
-        for c in _FIELDS[:3]:
-            column = own.column(c).combine_chunks()
-            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(new)
-        sums = np.add.reduceat(own.column("count").to_numpy(), at)
-        rows = own.select(_FIELDS[:3]).take(pa.array(at)).append_column("count", pa.array(sums, pa.int64()))
-        held = rows.slice(rows.num_rows - 1)
-        yield from kept(rows.slice(0, rows.num_rows - 1))
-    if held is not None:
-        yield from kept(held)
+        for part, packed in zip(batch.column("part").to_pylist(), batch.column("run")):
+            if part != now and held:
+                yield from out()
+                held, loose = [], 0
+            now = part
+            with pa.ipc.open_stream(packed.as_buffer()) as reader:
+                held.append(reader.read_all())
+            loose += held[-1].num_rows
+            if loose > max(LOOSE, held[0].num_rows):  # as many new entries as merged ones
+                held, loose = [added(held)], 0
+    if held:
+        yield from out()
 
 
 _COUNTS = "lang string, words int, phrase string, count bigint"
@@ -348,9 +380,9 @@ def frequent(documents: DataFrame, least: int = 30, burst: int = BURST, entries:
     for k, bits in zip(found["range"].to_pylist(), found["bits"].to_pylist()):
         packed[k] = np.frombuffer(bits, np.uint8)
     sent = spark.sparkContext.broadcast(packed.reshape(LONGEST, -1))  # LONGEST * 2**BITS / 8 bytes, whatever the input
-    runs = texts.mapInArrow(lambda it: _runs(it, sent.value, burst, entries), _COUNTS)
-    prefix = F.when(F.col("words") > 1, F.regexp_replace("phrase", " [^ ]*$", "")).otherwise(F.col("phrase"))
-    dealt = runs.repartition(F.col("lang"), prefix).sortWithinPartitions("lang", "words", "phrase")
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    runs = texts.mapInArrow(lambda it: _runs(it, sent.value, burst, entries, parts), _PACKED)
+    dealt = runs.repartition(parts, "part").sortWithinPartitions("part")
     return _store.stored(dealt.mapInArrow(lambda it: _merged(it, least), _COUNTS), "phrases")
 
 
