@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .quantiles import percentiles
 from .ranges import numbered
-from .velocity import key_parts, known
+from .velocity import key_parts, known, velocity
 
 
 def _flag(c: Column) -> Column:
@@ -83,6 +83,13 @@ def distinct_per_day(df: DataFrame, keys: Sequence[str], ts: str, column: str, n
     return out.withColumns({name: F.coalesce(name, F.lit(0)), f"is_{name}": _flag(F.col(name) >= least)})
 
 
+def range_bursts(df: DataFrame, bin_: str, ts: str, row_id: str, amount: str, client: str, rows: int = 10, total: float = 5000.0, clients: int = 5) -> DataFrame:
+    """A card range under attack: its earlier rows and amount in an hour and a day, its clients of the day, and a flag for each
+    of many rows in the hour, a large amount in the day and many clients. Rows without a range get nulls and flags of 0."""
+    out = distinct_per_day(velocity(df, [bin_], ts, row_id, amount, {"1h": 3600, "24h": 86400}), [bin_], ts, client, "clients_day", clients).withColumnRenamed("is_clients_day", "is_many_clients")
+    return out.withColumns({"is_burst": _flag(F.col("n_1h") >= rows), "is_large_amount": _flag(F.col("sum_24h") >= total)})
+
+
 def prefixes(card: Column, lengths: Sequence[int] = (6, 10, 11, 12)) -> dict[str, Column]:
     """Card ranges: the first digits of a card."""
     return {f"bin{n}": F.when(F.length(card) >= n, F.substring(card, 1, n)) for n in lengths}
@@ -117,6 +124,14 @@ def mean_of_counts(df: DataFrame, outer: Sequence[str], inner: Sequence[str], na
     return profile(df, [*outer, *inner], {"__n": F.count(F.lit(1))}).groupBy(*outer).agg(F.avg("__n").alias(name))
 
 
+def beyond_mean_count(df: DataFrame, count: str, outer: Sequence[str], inner: Sequence[str], times: float = 2.0, name: str = "mean_count") -> DataFrame:
+    """Each row with the mean count of its outer group (to the cent) and whether its own ``count`` exceeds ``times`` that mean.
+
+    A row with a null in ``outer`` has no mean and is held against 1; a null count is not beyond."""
+    means = mean_of_counts(df, outer, inner, name).withColumn(name, F.round(name, 2))
+    return df.join(means, list(outer), "left").withColumn(f"is_beyond_{name}", _flag(F.col(count) > times * F.coalesce(name, F.lit(1.0))))
+
+
 def double_charge(df: DataFrame, keys: Sequence[str], amount: str, ts: str, row_id: str, days: float = 7.0) -> DataFrame:
     """Rows of the same keys and amount (to the cent) less than ``days`` after the one before; n_same and is_double.
 
@@ -152,12 +167,29 @@ def price_catalogue(df: DataFrame, amount: str, top: int = 8) -> DataFrame:
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "price")))  # top rows only
 
 
-def charge_types(df: DataFrame, amount: str, catalogue: DataFrame, share: float = 0.01, multiple: float = 0.015, months: int = 12, addon: float = 0.5) -> DataFrame:
-    """Charges against the price list (a few rows): near a price, several months at once, add-on below the base price, unexplained."""
+def charge_types(df: DataFrame, amount: str, catalogue: DataFrame, recurring: Column, share: float = 0.01, multiple: float = 0.015, months: int = 12) -> DataFrame:
+    """Charges against the price list (a few rows): base_price, second_price, n_months, a flag for each finding, and charge_type.
+
+    A known price is within ``share`` of one of the list; several months are 2 to ``months`` base prices within ``multiple``; an
+    add-on lies between 1.02 and 1.5 base prices and is neither; maintenance is within ``multiple`` of the second price; a
+    recurring charge that is none of them is unexplained. The type is the first of known price, several months, add-on,
+    maintenance, unexplained, other. Without a price list all recurring charges are unexplained; a null amount has null type.
+    """
     prices = F.broadcast(catalogue.agg(F.sort_array(F.collect_list(F.struct("place", "price"))).alias("__prices")))
-    out, x = df.crossJoin(prices), F.col(amount)
-    base = F.try_element_at("__prices", F.lit(1))["price"]
-    near = F.exists("__prices", lambda p: F.abs(x - p["price"]) <= share * p["price"])
-    times = F.exists(F.sequence(F.lit(2), F.lit(months)), lambda k: F.abs(x - k * base) <= multiple * k * base)
-    kind = F.when(near, "catalogue").when(times, "several_months").when((x > 0) & (x <= addon * base), "addon").when(x.isNotNull(), "unexplained")
-    return out.withColumns({"base_price": base, "charge_type": kind}).drop("__prices")
+    out = df.crossJoin(prices).withColumn("__x", F.bround(F.col(amount), 2))
+    x, base, second = F.col("__x"), F.col("base_price"), F.col("second_price")
+    out = out.withColumns({"base_price": F.try_element_at("__prices", F.lit(1))["price"], "second_price": F.try_element_at("__prices", F.lit(2))["price"]})
+    equal = F.filter(F.sequence(F.lit(2), F.lit(months)), lambda k: F.abs(x - base * k) <= multiple * (base * k))
+    out = out.withColumns({"is_known_price": _flag(F.exists("__prices", lambda p: F.abs(x - p["price"]) <= share * (p["price"] + 0.01))), "__times": F.coalesce(F.array_max(equal), F.lit(1))})
+    known_price, times = F.col("is_known_price") == 1, F.col("__times") > 1
+    out = out.withColumns({
+        "is_several_months": times.cast("int"), "n_months": F.when(known_price, 1).otherwise(F.col("__times")),
+        "is_addon": _flag((x > base * 1.02) & (x < base * 1.5) & ~known_price & ~times), "is_maintenance": _flag(F.abs(x - second) <= multiple * (second + 0.01)),
+    })
+    named = (F.col("is_known_price") + F.col("is_several_months") + F.col("is_addon") + F.col("is_maintenance")) > 0
+    out = out.withColumn("is_unexplained", _flag(recurring.cast("boolean") & x.isNotNull() & ~named))
+    kinds = (("is_known_price", F.lit("known_price")), ("is_several_months", F.concat(F.lit("months_"), F.col("n_months"))), ("is_addon", F.lit("addon")), ("is_maintenance", F.lit("maintenance")), ("is_unexplained", F.lit("unexplained")))
+    kind = F.lit("other")
+    for flag, label in reversed(kinds):
+        kind = F.when(F.col(flag) == 1, label).otherwise(kind)
+    return out.withColumn("charge_type", F.when(x.isNotNull(), kind)).drop("__prices", "__x", "__times")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import quantile_bucket
+from ..sources.readers import write_table
 from ..sources.scratch import written
 from .quantiles import group_percentiles, percentiles, value_counts
 from .ranges import numbered
@@ -50,11 +51,17 @@ def stats_by_indicator(df: DataFrame, indicator: str, variables: Sequence[str])
     return _with_points(means, points, ["variable", indicator]).select("variable", indicator, "n", "mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"))
 
 
-def summary_by_period(df: DataFrame, period: Column, amount: str, fraud: Column) -> DataFrame:
-    """n, amount, frauds, fraud amount, ticket of each period, and a row TOTAL."""
-    own = df.select(period.alias("period"), F.col(amount).alias("x"), F.coalesce(fraud.cast("int"), F.lit(0)).alias("f"))
-    out = own.rollup("period").agg(F.grouping("period").alias("g"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("amount"), F.sum("f").alias("frauds"), F.coalesce(F.sum(F.when(F.col("f") == 1, F.col("x"))), F.lit(0.0)).alias("fraud_amount"))
-    return out.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("period")).alias("period"), "n", "amount", "frauds", "fraud_amount", _share(F.col("amount"), F.col("n")).alias("ticket"))
+def summary_by_period(df: DataFrame, period: Column, amount: str, fraud: Column, indicator: str | None = None, values: Sequence[str] = ()) -> DataFrame:
+    """n, amount, frauds, fraud amount, ticket and fraud rate of each period, and a row TOTAL; for each of the indicator's values
+    n, amount and ticket too (0 where the period has no such row)."""
+    own = df.select(period.alias("period"), F.col(amount).alias("x"), F.coalesce(fraud.cast("int"), F.lit(0)).alias("f"), *([F.col(indicator).alias("i")] if indicator else []))
+    parts = []
+    for v in values if indicator else ():
+        here = F.col("i") == v
+        parts += [F.count(F.when(here, 1)).alias(f"n_{v}"), F.coalesce(F.sum(F.when(here, F.col("x"))), F.lit(0.0)).alias(f"amount_{v}"), F.coalesce(F.avg(F.when(here, F.col("x"))), F.lit(0.0)).alias(f"ticket_{v}")]
+    out = own.rollup("period").agg(F.grouping("period").alias("g"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("amount"), F.sum("f").alias("frauds"), F.coalesce(F.sum(F.when(F.col("f") == 1, F.col("x"))), F.lit(0.0)).alias("fraud_amount"), *parts)
+    named = [f"{c}_{v}" for v in values for c in ("n", "amount", "ticket")] if indicator else []
+    return out.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("period")).alias("period"), "n", "amount", "frauds", "fraud_amount", _share(F.col("amount"), F.col("n")).alias("ticket"), _share(F.col("frauds"), F.col("n")).alias("fraud_rate"), *named)
 
 
 def cross_tab(df: DataFrame, a: str, b: str, fraud: Column) -> DataFrame:
@@ -177,6 +184,34 @@ def ranked_counts(df: DataFrame, group: str, item: str, amount: Column | None =
     return out.withColumn("rank", F.dense_rank().over(Window.partitionBy(group).orderBy(F.desc("n"))))
 
 
+def log_counts(df: DataFrame, path: str, day: str, group: str, item: str, empty: str = "NO_VALUE") -> None:
+    """Append the day's rows by group and item to the log at ``path``; a rerun of a day replaces that day. Null items count as ``empty``."""
+    counts = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("group"), F.trim(F.coalesce(F.col(item).cast("string"), F.lit(empty))).alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    write_table(counts.withColumn("day", F.lit(day)), path, ["day"])
+
+
+def ranked_log(spark: SparkSession, path: str) -> DataFrame:
+    """Totals of all logged days by group and item, days with the item, and the dense rank in the group."""
+    log = spark.read.schema("`group` string, item string, n bigint, day string").parquet(path)
+    out = log.groupBy("group", "item").agg(F.sum("n").alias("total"), F.countDistinct("day").alias("days"))
+    return out.withColumn("rank", F.dense_rank().over(Window.partitionBy("group").orderBy(F.desc("total"))))
+
+
+def claims_by(df: DataFrame, dims: Sequence[str], amount: str, delay: str) -> DataFrame:
+    """Claims of each value of each dimension: n (rows with an amount), total and mean amount, share of all rows, median delay.
+
+    One unpivot for all dimensions, added up by distinct delay before the shuffle's groups are put together; medians come from
+    running totals over ranges, so a value that holds most rows is no single task's. Null values of a dimension are left out."""
+    rows = df.select(*[F.col(d).cast("string").alias(d) for d in dims], F.col(amount).cast("double").alias("__amount"), F.col(delay).cast("double").alias("__delay"))
+    long = rows.unpivot(["__amount", "__delay"], list(dims), "dimension", "value").filter(F.col("value").isNotNull())
+    counts = value_counts(long, ["dimension", "value"], "__delay", F.count(F.lit(1)).alias("rows"), F.count("__amount").alias("paid"), F.sum("__amount").alias("amount"))
+    every = F.broadcast(df.agg(F.count(F.lit(1)).alias("__all")))  # one row
+    sums = counts.groupBy("dimension", "value").agg(F.sum("paid").alias("n"), F.sum("amount").alias("amount"), F.sum("rows").alias("__rows"))
+    points = group_percentiles(counts, ["dimension", "value"], (0.5,), "p")
+    out = _with_points(sums, points, ["dimension", "value"]).crossJoin(every)
+    return out.select("dimension", "value", "n", "amount", _share(F.col("amount"), F.col("n")).alias("mean"), _share(F.col("__rows"), F.col("__all")).alias("share"), F.col("p")[0].alias("median_delay"))
+
+
 def share_of_total(df: DataFrame, dims: Sequence[str], measure: Column, within: Sequence[str] = ()) -> DataFrame:
     """The measure of each group, its share of all, and its share within the groups of ``within``."""
     out = df.groupBy(*dims).agg(measure.alias("value"))
@@ -220,14 +255,19 @@ def base_measures(df: DataFrame, card: str, merchant: str, amount: str, by: Sequ
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("amount"), F.countDistinct(card).alias("cards"), F.countDistinct(merchant).alias("merchants"), F.avg(amount).alias("ticket"))
 
 
-def approval_matrix(df: DataFrame, bin_: str, approved: Column, code: str, amount: str, fraud: Column, codes: Sequence[str] = ("59", "63")) -> DataFrame:
-    """Approved and declined rows, rates, chosen response codes, frauds, and amounts by approval for each BIN."""
+def approval_matrix(df: DataFrame, bin_: str, approved: Column, code: str, amount: str, fraud: Column, codes: Sequence[str] = ("59", "63"), original: str | None = None, currencies: Mapping[str, str] = {}) -> DataFrame:
+    """Approved and declined rows, rates, chosen response codes, frauds, and amounts by approval for each BIN.
+
+    ``currencies`` gives for each currency its amount column; a row is in the currency whose amount equals the ``original`` one
+    (in several, if several do), and adds to approved_<currency> or declined_<currency>."""
     ok, f = F.coalesce(approved.cast("boolean"), F.lit(False)), F.coalesce(fraud.cast("int"), F.lit(0))
     n = F.count(F.lit(1))
+    total = lambda where, column: F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0.0))
+    money = [total(side & (F.col(original) == F.col(c)), c).alias(f"{name}_{currency}") for currency, c in currencies.items() for name, side in (("approved", ok), ("declined", ~ok))] if original else []
     return df.groupBy(bin_).agg(
         n.alias("n"), F.count(F.when(ok, 1)).alias("approved"), F.count(F.when(~ok, 1)).alias("declined"), F.avg(ok.cast("double")).alias("approval_rate"), F.avg((~ok).cast("double")).alias("decline_rate"),
         *[F.count(F.when(F.col(code) == c, 1)).alias(f"code_{c}") for c in codes], F.sum(f).alias("frauds"),
-        F.coalesce(F.sum(F.when(ok, F.col(amount))), F.lit(0.0)).alias("approved_amount"), F.coalesce(F.sum(F.when(~ok, F.col(amount))), F.lit(0.0)).alias("declined_amount"),
+        total(ok, amount).alias("approved_amount"), total(~ok, amount).alias("declined_amount"), *money,
     )
 
 
@@ -250,6 +290,19 @@ def card_testing_days(df: DataFrame, prefix: str, ts: str, card: str, top: int =
     return daily.groupBy("day").agg(F.count(F.lit(1)).alias("ranges"), F.max("cards").alias("most_cards")).orderBy(F.desc("ranges"), "day").limit(top)
 
 
+def cards_per_range(df: DataFrame, prefix: str, ts: str, card: str, least: int = 2) -> DataFrame:
+    """How many cards share a range and day: for each such number from ``least`` on, the rows and the ranges and days that have it."""
+    daily = df.filter(F.col(prefix).isNotNull()).groupBy(F.to_date(ts).alias("day"), prefix).agg(F.countDistinct(card).alias("cards"), F.count(F.lit(1)).alias("n"))
+    return daily.filter(F.col("cards") >= least).groupBy("cards").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("range_days"))
+
+
+def ranges_by_rate(df: DataFrame, bin_: str, fraud: Column, amount: str, top: int = 5, least: int = 10) -> DataFrame:
+    """The BINs with the highest fraud rate (in percent, to two places) among those with at least ``least`` amounts; the smaller BIN first of several."""
+    out = df.filter(F.col(bin_).isNotNull()).groupBy(bin_).agg(F.count(amount).alias("n"), F.sum(F.coalesce(fraud.cast("int"), F.lit(0))).alias("frauds"))
+    out = out.filter(F.col("n") >= least).withColumn("rate", F.round(100 * _share(F.col("frauds"), F.col("n")), 2))
+    return out.orderBy(F.desc("rate"), bin_).limit(top)
+
+
 def merchant_detail(df: DataFrame, merchant: str, ts: str, card: str, amount: str, fraud: Column, burst: Column) -> DataFrame:
     """Days with fraud, smallest and largest ticket, burst share, cards, frauds per card."""
     f = F.coalesce(fraud.cast("int"), F.lit(0))

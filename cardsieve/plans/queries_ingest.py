@@ -79,6 +79,32 @@ def typed_columns(spark, sf_dir):
     return own.withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
 
+_MIXED = """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN '000' WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey AS VARCHAR) END AS code, CAST(o_custkey AS VARCHAR) || '.5' AS rate, o_orderpriority AS priority, ' ' AS nothing FROM orders)"""
+
+
+def _mixed(spark, sf_dir):
+    code = F.when(F.col("o_orderkey") % 3 == 0, "000").when(F.col("o_orderkey") % 3 == 1, F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("id"), code.alias("code"), F.concat(F.col("o_custkey").cast("string"), F.lit(".5")).alias("rate"), F.col("o_orderpriority").alias("priority"), F.lit(" ").alias("nothing"))
+
+
+@query(_MIXED + """ SELECT 'id' AS "column", count(*) AS n, count(*) AS n_integer, 0 AS n_number, 0 AS n_text, 'integer' AS kind FROM o UNION ALL SELECT 'code', count(code), count(code) FILTER (code <> '000'), 0, count(*) FILTER (code = '000'), 'mixed' FROM o
+    UNION ALL SELECT 'rate', count(*), 0, count(*), 0, 'number' FROM o UNION ALL SELECT 'priority', count(*), 0, 0, count(*), 'text' FROM o UNION ALL SELECT 'nothing', 0, 0, 0, 0, 'empty'""")
+def mixed_types(spark, sf_dir):
+    return schema.type_mix(_mixed(spark, sf_dir))
+
+
+@query(_MIXED + " SELECT o_orderkey, CAST(id AS BIGINT) + 1 AS id, code || '' AS code, CAST(rate AS DOUBLE) * 2 AS rate, priority FROM o")
+def settled_types(spark, sf_dir):
+    own = schema.settle_types(_mixed(spark, sf_dir))
+    return own.select("o_orderkey", (F.col("id") + F.lit(1)).alias("id"), F.concat("code", F.lit("")).alias("code"), (F.col("rate") * 2).alias("rate"), "priority")
+
+
+@query(_MIXED + """ SELECT 'ID' AS wanted, 'found' AS status, 'id' AS "column", NULL AS similar, count(id) AS n_filled FROM o UNION ALL SELECT 'Code', 'found', 'code', NULL, count(code) FROM o UNION ALL SELECT 'Nothing', 'found', 'nothing', NULL, 0
+    UNION ALL SELECT 'order priority', 'missing', NULL, 'priority', NULL UNION ALL SELECT 'branch', 'missing', NULL, NULL, NULL""")
+def column_report(spark, sf_dir):
+    return readers.column_diagnostics(_mixed(spark, sf_dir), ["ID", "Code", "Nothing", "order priority", "branch"])
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 22:52:29' AS localized, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 0' || CAST(o_orderkey % 10 AS VARCHAR) || ':05:07' ELSE strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' END AS built FROM orders""")
 def parsed_times(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -193,6 +193,14 @@ def cards_of_range_and_day(spark, sf_dir):
     return profiles.distinct_per_day(events(spark, sf_dir), ["k"], "ts", "user_id", "cards_same_day").select("event_id", "cards_same_day", "is_cards_same_day")
 
 
+@query(E + """, g AS (SELECT k, d, count(DISTINCT user_id) AS n FROM e GROUP BY ALL), v AS (SELECT e.event_id, count(o.event_id) FILTER (o.s >= e.s - 3600) AS n_1h, count(o.event_id) AS n_24h, round(coalesce(sum(o.value), 0), 4) AS sum_24h
+    FROM e LEFT JOIN e o ON o.k = e.k AND (o.s < e.s OR (o.s = e.s AND o.event_id < e.event_id)) AND o.s >= e.s - 86400 GROUP BY e.event_id)
+    SELECT event_id, n_1h, n_24h, sum_24h, n AS clients_day, CAST(n_1h >= 2 AS INT) AS is_burst, CAST(sum_24h >= 150 AS INT) AS is_large_amount, CAST(n >= 3 AS INT) AS is_many_clients FROM e JOIN v USING (event_id) JOIN g USING (k, d)""")
+def bursts_of_ranges(spark, sf_dir):
+    out = profiles.range_bursts(events(spark, sf_dir), "k", "ts", "event_id", "value", "user_id", 2, 150.0, 3)
+    return rounded(out.select("event_id", "n_1h", "n_24h", "sum_24h", "clients_day", "is_burst", "is_large_amount", "is_many_clients"), "sum_24h")
+
+
 @query(E + """, x AS (SELECT *, CASE WHEN k % 7 = 0 THEN NULL ELSE CAST(k % 7 AS VARCHAR) END AS ex, k % 10 AS b FROM e), a AS (SELECT b, d, count(DISTINCT ex) AS expiries FROM x GROUP BY ALL), c AS (SELECT b, d, ex, count(DISTINCT user_id) AS n FROM x WHERE ex IS NOT NULL GROUP BY ALL)
     SELECT event_id, expiries, coalesce(n, 0) AS cards_same_expiry, CAST(coalesce(n, 0) >= 3 AS INT) AS is_expiry_concentrated FROM x JOIN a USING (b, d) LEFT JOIN c USING (b, d, ex)""")
 def expiry_concentration(spark, sf_dir):
@@ -218,6 +226,16 @@ def mean_visits_of_client_day(spark, sf_dir):
     return out.withColumn("mean_count", F.round("mean_count", 6))
 
 
+@query(E + f""", v AS (SELECT e.event_id, e.user_id, e.event_type, count(o.event_id) AS n_24h FROM e LEFT JOIN e o ON {_EARLIER} AND o.s >= e.s - 86400 GROUP BY ALL), g AS (SELECT event_type, user_id, d, count(*) AS n FROM e GROUP BY ALL),
+    a AS (SELECT event_type, user_id, round(avg(n), 2) AS usual FROM g GROUP BY ALL), b AS (SELECT event_type, round(avg(n), 2) AS merchant_usual FROM g GROUP BY ALL)
+    SELECT event_id, n_24h, usual, CAST(n_24h > 2 * usual AS INT) AS is_beyond_usual, merchant_usual, CAST(n_24h > 2 * merchant_usual AS INT) AS is_beyond_merchant_usual FROM v JOIN a USING (event_type, user_id) JOIN b USING (event_type)""")
+def visits_beyond_usual(spark, sf_dir):
+    own = velocity.velocity(events(spark, sf_dir), ["user_id"], "ts", "event_id", None, {"24h": 86400}).withColumn("day", F.to_date("ts"))
+    out = profiles.beyond_mean_count(own, "n_24h", ["user_id", "event_type"], ["day"], name="usual")
+    out = profiles.beyond_mean_count(out, "n_24h", ["event_type"], ["user_id", "day"], name="merchant_usual")
+    return out.select("event_id", "n_24h", "usual", "is_beyond_usual", "merchant_usual", "is_beyond_merchant_usual")
+
+
 @query(E + """, x AS (SELECT *, floor(value / 5) AS a FROM e), w AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_type, a) AS n_same, s - lag(s) OVER (PARTITION BY user_id, event_type, a ORDER BY ts, event_id) AS gap FROM x)
     SELECT event_id, n_same, CAST(coalesce(n_same >= 2 AND gap / 86400.0 < 7, false) AS INT) AS is_double FROM w""")
 def double_charges(spark, sf_dir):
@@ -237,12 +255,18 @@ def recurring_gaps(spark, sf_dir):
     return profiles.recurring_gap_flags(own, "gap_days", "value", "is_first").select("event_id", "is_early", "is_late", "is_rapid", "is_zone", "is_first_large")
 
 
-@query("""WITH c AS (SELECT round(l_quantity, 2) AS price, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, price LIMIT 8), p AS (SELECT price, row_number() OVER (ORDER BY n DESC, price) AS place FROM c), b AS (SELECT price AS base FROM p WHERE place = 1),
-    x AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM p WHERE abs(l_quantity - price) <= 0.01 * price) THEN 'catalogue' WHEN EXISTS (SELECT 1 FROM range(2, 13) r(m) WHERE abs(l_quantity - m * base) <= 0.015 * m * base) THEN 'several_months'
-    WHEN l_quantity > 0 AND l_quantity <= 0.5 * base THEN 'addon' ELSE 'unexplained' END AS charge_type FROM lineitem, b) SELECT charge_type, count(*) AS n FROM x GROUP BY ALL""")
+@query("""WITH c AS (SELECT round(l_quantity, 2) AS price, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, price LIMIT 8), p AS (SELECT price, row_number() OVER (ORDER BY n DESC, price) AS place FROM c), b AS (SELECT max(price) FILTER (place = 1) AS base, max(price) FILTER (place = 2) AS second FROM p),
+    x AS (SELECT l_linestatus = 'O' AS rec, round(l_quantity + 4 * l_discount, 2) AS x FROM lineitem),
+    f AS (SELECT *, EXISTS (SELECT 1 FROM p WHERE abs(x - price) <= CAST(0.01 AS DOUBLE) * (price + CAST(0.01 AS DOUBLE))) AS known, (SELECT max(m) FROM range(2, 13) r(m) WHERE abs(x - base * m) <= CAST(0.015 AS DOUBLE) * (base * m)) AS months,
+    abs(x - second) <= CAST(0.015 AS DOUBLE) * (second + CAST(0.01 AS DOUBLE)) AS maintained FROM x, b),
+    k AS (SELECT *, x > base * CAST(1.02 AS DOUBLE) AND x < base * 1.5 AND NOT known AND months IS NULL AS addon FROM f)
+    SELECT CASE WHEN known THEN 'known_price' WHEN months IS NOT NULL THEN 'months_' || months WHEN addon THEN 'addon' WHEN maintained THEN 'maintenance' WHEN rec THEN 'unexplained' ELSE 'other' END AS charge_type, count(*) AS n,
+    sum(CAST(known AS INT)) AS known_price, sum(CAST(months IS NOT NULL AS INT)) AS several_months, sum(CAST(addon AS INT)) AS addon, sum(CAST(maintained AS INT)) AS maintenance FROM k GROUP BY 1""")
 def charge_types(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return profiles.charge_types(li, "l_quantity", profiles.price_catalogue(li, "l_quantity")).groupBy("charge_type").agg(F.count(F.lit(1)).alias("n"))
+    own = li.withColumn("charge", F.bround(F.col("l_quantity") + 4 * F.col("l_discount"), 2))
+    out = profiles.charge_types(own, "charge", profiles.price_catalogue(li, "l_quantity"), F.col("l_linestatus") == "O")
+    return out.groupBy("charge_type").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"is_{c}").alias(c) for c in ("known_price", "several_months", "addon", "maintenance")])
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role FROM conversations), q AS (SELECT conv_id, min(turn) AS request_at FROM c WHERE role = 'user' GROUP BY conv_id),

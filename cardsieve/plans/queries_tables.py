@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..operators import quantiles, stats, tables
 from ..sources import medallion, schema
+from ..sources.scratch import new_folder
 from .registry import E, T, days_as_text, events, purchases, query, rounded, table
 
 
@@ -28,10 +29,13 @@ def stats_by_indicator(spark, sf_dir):
     return rounded(tables.stats_by_indicator(purchases(spark, sf_dir), "indicator", ["amount", "qty", "discount"]), "mean", "median", "p90")
 
 
-@query(T + """SELECT coalesce(strftime(ts, '%Y-%m'), 'TOTAL') AS period, count(*) AS n, round(sum(amount), 2) AS amount, sum(CAST(fraud AS INT)) AS frauds, round(coalesce(sum(amount) FILTER (fraud), 0), 2) AS fraud_amount, round(sum(amount) / count(*), 4) AS ticket FROM t GROUP BY ROLLUP (strftime(ts, '%Y-%m'))""")
+@query(T + """SELECT coalesce(strftime(ts, '%Y-%m'), 'TOTAL') AS period, count(*) AS n, round(sum(amount), 2) AS amount, sum(CAST(fraud AS INT)) AS frauds, round(coalesce(sum(amount) FILTER (fraud), 0), 2) AS fraud_amount, round(sum(amount) / count(*), 4) AS ticket, round(sum(CAST(fraud AS INT)) / count(*), 6) AS fraud_rate,
+    count(*) FILTER (indicator = 'N') AS "n_N", round(coalesce(sum(amount) FILTER (indicator = 'N'), 0), 2) AS "amount_N", round(coalesce(avg(amount) FILTER (indicator = 'N'), 0), 4) AS "ticket_N",
+    count(*) FILTER (indicator = 'R') AS "n_R", round(coalesce(sum(amount) FILTER (indicator = 'R'), 0), 2) AS "amount_R", round(coalesce(avg(amount) FILTER (indicator = 'R'), 0), 4) AS "ticket_R" FROM t GROUP BY ROLLUP (strftime(ts, '%Y-%m'))""")
 def summary_by_month(spark, sf_dir):
-    out = tables.summary_by_period(purchases(spark, sf_dir), F.date_format("ts", "yyyy-MM"), "amount", F.col("fraud"))
-    return rounded(out.withColumns({"amount": F.round("amount", 2), "fraud_amount": F.round("fraud_amount", 2)}), "ticket")
+    out = tables.summary_by_period(purchases(spark, sf_dir), F.date_format("ts", "yyyy-MM"), "amount", F.col("fraud"), "indicator", ["N", "R"])
+    out = out.withColumns({c: F.round(c, 2) for c in ("amount", "fraud_amount", "amount_N", "amount_R")}).withColumn("fraud_rate", F.round("fraud_rate", 6))
+    return rounded(out, "ticket", "ticket_N", "ticket_R")
 
 
 @query(T + "SELECT reason, mcc, count(*) AS n, sum(CAST(fraud AS INT)) AS frauds, round(sum(CAST(fraud AS INT)) / count(*), 4) AS rate FROM t GROUP BY ALL")
@@ -125,6 +129,18 @@ def merchant_ranks(spark, sf_dir):
     return tables.ranked_counts(purchases(spark, sf_dir), "reason", "merchant")
 
 
+@query(T + """, l AS (SELECT reason, coalesce(CAST(nullif(merchant % 9, 0) AS VARCHAR), 'NO_VALUE') AS item, CAST(strftime(ts, '%Y') AS INT) % 3 AS day FROM t), g AS (SELECT reason AS "group", item, count(*) AS total, count(DISTINCT day) AS days FROM l WHERE reason IS NOT NULL GROUP BY ALL)
+    SELECT *, dense_rank() OVER (PARTITION BY "group" ORDER BY total DESC) AS rank FROM g""")
+def merchant_log_ranks(spark, sf_dir):
+    """Three loads; the second is run twice, first with half of its rows, as after a broken run."""
+    path = new_folder(spark, "merchant-log")
+    own = purchases(spark, sf_dir).select("reason", F.nullif(F.col("merchant") % 9, F.lit(0)).alias("item"), (F.year("ts") % 3).alias("day"), "amount")
+    loads = [("0", F.col("day") == 0), ("1", (F.col("day") == 1) & (F.col("amount") > 30000)), ("1", F.col("day") == 1), ("2", F.col("day") == 2)]
+    for day, rows in loads:
+        tables.log_counts(own.filter(rows).drop("day"), path, day, "reason", "item")
+    return tables.ranked_log(spark, path)
+
+
 @query(T + ", g AS (SELECT reason, mcc, sum(amount) AS v FROM t GROUP BY ALL) SELECT reason, mcc, round(v, 2) AS value, round(v / sum(v) OVER (), 6) AS share, round(v / sum(v) OVER (PARTITION BY reason), 6) AS share_within FROM g")
 def amount_shares(spark, sf_dir):
     out = tables.share_of_total(purchases(spark, sf_dir), ["reason", "mcc"], F.sum("amount"), ["reason"])
@@ -163,12 +179,15 @@ def base_measures(spark, sf_dir):
     return rounded(tables.base_measures(purchases(spark, sf_dir), "client", "merchant", "amount").withColumn("amount", F.round("amount", 2)), "ticket")
 
 
-@query(T + """SELECT bin, count(*) AS n, count(*) FILTER (approved) AS approved, count(*) FILTER (NOT approved) AS declined, round(avg(CAST(approved AS INT)), 6) AS approval_rate, count(*) FILTER (substr(reason, 1, 1) = '1') AS code_1, sum(CAST(fraud AS INT)) AS frauds,
-    round(coalesce(sum(amount) FILTER (approved), 0), 2) AS approved_amount FROM t GROUP BY bin""")
+@query(T + """, m AS (SELECT *, amount / 4 AS usd, CASE WHEN mcc % 3 = 0 THEN amount / 4 ELSE amount END AS original FROM t) SELECT bin, count(*) AS n, count(*) FILTER (approved) AS approved, count(*) FILTER (NOT approved) AS declined, round(avg(CAST(approved AS INT)), 6) AS approval_rate, count(*) FILTER (substr(reason, 1, 1) = '1') AS code_1, sum(CAST(fraud AS INT)) AS frauds,
+    round(coalesce(sum(amount) FILTER (approved), 0), 2) AS approved_amount, round(coalesce(sum(amount) FILTER (approved AND original = amount), 0), 2) AS approved_local, round(coalesce(sum(amount) FILTER (NOT approved AND original = amount), 0), 2) AS declined_local,
+    round(coalesce(sum(usd) FILTER (approved AND original = usd), 0), 2) AS approved_usd, round(coalesce(sum(usd) FILTER (NOT approved AND original = usd), 0), 2) AS declined_usd FROM m GROUP BY bin""")
 def approval_matrix(spark, sf_dir):
-    own = purchases(spark, sf_dir).withColumn("code", F.substring("reason", 1, 1))
-    out = tables.approval_matrix(own, "bin", F.col("approved"), "code", "amount", F.col("fraud"), ("1", "2"))
-    return out.select("bin", "n", "approved", "declined", F.round("approval_rate", 6).alias("approval_rate"), "code_1", "frauds", F.round("approved_amount", 2).alias("approved_amount"))
+    own = purchases(spark, sf_dir).withColumns({"code": F.substring("reason", 1, 1), "usd": F.col("amount") / 4})
+    own = own.withColumn("original", F.when(F.col("mcc") % 3 == 0, F.col("usd")).otherwise(F.col("amount")))
+    out = tables.approval_matrix(own, "bin", F.col("approved"), "code", "amount", F.col("fraud"), ("1", "2"), "original", {"local": "amount", "usd": "usd"})
+    money = [F.round(c, 2).alias(c) for c in ("approved_amount", "approved_local", "declined_local", "approved_usd", "declined_usd")]
+    return out.select("bin", "n", "approved", "declined", F.round("approval_rate", 6).alias("approval_rate"), "code_1", "frauds", *money)
 
 
 @query(T + """SELECT reason, round(avg(date_diff('day', CAST(ts AS DATE), CAST(closed AS DATE))), 4) AS mean_days, round(avg(CASE WHEN date_diff('day', CAST(ts AS DATE), CAST(closed AS DATE)) <= 7 THEN 1.0 ELSE 0.0 END), 6) AS within_week, round(coalesce(sum(amount) FILTER (closed IS NULL), 0), 2) AS pending_amount FROM t GROUP BY reason""")
@@ -187,6 +206,16 @@ def card_testing_days(spark, sf_dir):
     return days_as_text(tables.card_testing_days(events(spark, sf_dir), "k", "ts", "user_id", 10, 3), "day")
 
 
+@query(E + ", g AS (SELECT d, k, count(DISTINCT user_id) AS cards, count(*) AS n FROM e WHERE k IS NOT NULL GROUP BY ALL HAVING count(DISTINCT user_id) >= 2) SELECT cards, sum(n) AS n, count(*) AS range_days FROM g GROUP BY cards")
+def cards_per_range(spark, sf_dir):
+    return tables.cards_per_range(events(spark, sf_dir), "k", "ts", "user_id")
+
+
+@query(T + ", g AS (SELECT bin, count(amount) AS n, sum(CAST(fraud AS INT)) AS frauds FROM t WHERE bin IS NOT NULL GROUP BY bin HAVING count(amount) >= 10) SELECT bin, n, frauds, round(100 * (frauds / CAST(n AS DOUBLE)), 2) AS rate FROM g ORDER BY rate DESC, bin LIMIT 20")
+def bins_by_fraud_rate(spark, sf_dir):
+    return tables.ranges_by_rate(purchases(spark, sf_dir), "bin", F.col("fraud"), "amount", 20)
+
+
 @query(T + "SELECT merchant, count(DISTINCT CAST(ts AS DATE)) FILTER (fraud) AS fraud_days, min(amount) AS min_ticket, max(amount) AS max_ticket, count(DISTINCT client) AS cards, round(sum(CAST(fraud AS INT)) / count(DISTINCT client), 6) AS frauds_per_card, round(avg(CASE WHEN qty > 25 THEN 1.0 ELSE 0.0 END), 6) AS burst_share FROM t GROUP BY merchant")
 def merchant_detail(spark, sf_dir):
     out = tables.merchant_detail(purchases(spark, sf_dir), "merchant", "ts", "client", "amount", F.col("fraud"), F.col("qty") > 25)
@@ -271,6 +300,17 @@ def claims_by_delay(spark, sf_dir):
     return own.groupBy("month", bands.banded(F.col("delay"), (-1, 7, 60, 99999), ("0-7", "8-60", "61+")).alias("delay_band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
+@query(T + """, x AS (SELECT *, strftime(closed, '%Y-%m') AS month, date_diff('day', CAST(ts AS DATE), CAST(closed AS DATE)) AS delay, CAST(qty AS BIGINT) % 10 AS score FROM t), y AS (SELECT *, CASE WHEN delay <= 7 THEN '0-7' WHEN delay <= 60 THEN '8-60' ELSE '61+' END AS delay_band FROM x WHERE delay >= 0),
+    l AS (SELECT 'month' AS dimension, month AS value, amount, delay FROM y UNION ALL SELECT 'channel', reason, amount, delay FROM y UNION ALL SELECT 'mcc', CAST(mcc AS VARCHAR), amount, delay FROM y UNION ALL SELECT 'merchant', CAST(merchant AS VARCHAR), amount, delay FROM y
+    UNION ALL SELECT 'bin', CAST(bin AS VARCHAR), amount, delay FROM y UNION ALL SELECT 'delay_band', delay_band, amount, delay FROM y UNION ALL SELECT 'score', CAST(score AS VARCHAR), amount, delay FROM y)
+    SELECT dimension, value, count(amount) AS n, round(sum(amount), 2) AS amount, round(avg(amount), 4) AS mean, round(count(*) / (SELECT count(*) FROM y), 6) AS share, median(delay) AS median_delay FROM l WHERE value IS NOT NULL GROUP BY ALL""")
+def claims_by_dimension(spark, sf_dir):
+    own = purchases(spark, sf_dir).withColumns({"month": F.date_format("closed", "yyyy-MM"), "delay": F.date_diff(F.to_date("closed"), F.to_date("ts")), "channel": F.col("reason"), "score": F.col("qty").cast("bigint") % 10}).filter("delay >= 0")
+    own = own.withColumn("delay_band", bands.banded(F.col("delay"), (-1, 7, 60, 99999), ("0-7", "8-60", "61+")))
+    out = tables.claims_by(own, ["month", "channel", "mcc", "merchant", "bin", "delay_band", "score"], "amount", "delay")
+    return rounded(out.withColumns({"amount": F.round("amount", 2), "share": F.round("share", 6)}), "mean")
+
+
 @query(E + "SELECT e.event_id, CASE WHEN n.tier = 'a' THEN 1 ELSE 0 END AS in_tier FROM e LEFT JOIN (SELECT unnest([1, 2, 3]) AS k, 'a' AS tier) n USING (k)")
 def code_expansion(spark, sf_dir):
     codes = spark.createDataFrame([("1+2+3", "a")], "code string, tier string")

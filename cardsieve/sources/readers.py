@@ -43,11 +43,19 @@ def read_period_folders(spark: SparkSession, root: str, pattern: str = r"\d{4}_\
 
 
 def column_diagnostics(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Each wanted column: found or missing, and for a missing one the columns that share a word with it."""
+    """Each wanted column: found or missing, for a missing one the columns that share a word with it, and for a found one the rows
+    that hold a value (not null, not blank), counted in one pass."""
     have = {plain_name(c): c for c in df.columns}
     words = lambda n: set(re.findall(r"[a-z0-9]+", plain_name(n)))
     rows = [(w, "found" if plain_name(w) in have else "missing", have.get(plain_name(w)), None if plain_name(w) in have else ", ".join(sorted(c for c in df.columns if words(c) & words(w))) or None) for w in wanted]
-    return df.sparkSession.createDataFrame(rows, "wanted string, status string, column string, similar string")
+    report = df.sparkSession.createDataFrame(rows, "wanted string, status string, column string, similar string")
+    found = list(dict.fromkeys(r[2] for r in rows if r[2]))
+    if not found:
+        return report.withColumn("n_filled", F.lit(None).cast("bigint"))
+    texts = [F.trim(F.col(f"`{c}`").cast("string")) for c in found]
+    filled = df.agg(*[F.count(F.when(t != "", 1)).alias(f"c{k}") for k, t in enumerate(texts)])
+    filled = filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{k}").alias("n_filled")) for k, c in enumerate(found)])).alias("s")).select("s.*")
+    return report.join(F.broadcast(filled), "column", "left").select("wanted", "status", "column", "similar", "n_filled")  # a row for each column
 
 
 def find_header(spark: SparkSession, path: str, wanted: Sequence[str], separator: str = ",", most: int = 5) -> int:

@@ -78,6 +78,34 @@ def cast_numbers(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return df.select(*[(F.col(c).cast("string").try_cast("double") if c in numeric else F.col(c).cast("string")).alias(c) for c in df.columns])
 
 
+_INTEGER = r"^[+-]?(0|[1-9][0-9]{0,17})$"
+_NUMBER = r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def type_mix(df: DataFrame) -> DataFrame:
+    """What the values of each text column look like: column, n, n_integer, n_number, n_text and kind (integer, number, text, mixed,
+    empty), counted in one pass. A code with leading zeros is text; nulls and blanks don't count.
+
+    A column that holds both numbers and text is mixed. A row for each column."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, n bigint, n_integer bigint, n_number bigint, n_text bigint, kind string")
+    long = df.select(*[F.trim(F.col(f"`{c}`")).alias(c) for c in names]).unpivot([], [F.col(f"`{c}`") for c in names], "column", "value")
+    v = F.nullif(F.col("value"), F.lit(""))
+    whole, number = v.rlike(_INTEGER), v.rlike(_NUMBER)
+    counts = long.groupBy("column").agg(F.count(v).alias("n"), F.count(F.when(whole, 1)).alias("n_integer"), F.count(F.when(number & ~whole, 1)).alias("n_number"), F.count(F.when(~number, 1)).alias("n_text"))
+    numbers = F.col("n_integer") + F.col("n_number")
+    kind = F.when(F.col("n") == 0, "empty").when(F.col("n_text") == F.col("n"), "text").when(F.col("n_text") > 0, "mixed").when(F.col("n_integer") == F.col("n"), "integer").when(numbers == F.col("n"), "number")
+    return counts.withColumn("kind", kind)
+
+
+def settle_types(df: DataFrame, mix: DataFrame | None = None) -> DataFrame:
+    """Text columns of whole numbers as bigint, of numbers as double; those with mixed types, and all others, as they are."""
+    kinds = {r["column"]: r["kind"] for r in (type_mix(df) if mix is None else mix).select("column", "kind").collect()}  # a row for each column
+    to = {"integer": "bigint", "number": "double"}
+    return df.select(*[F.trim(F.col(f"`{c}`")).try_cast(to[kinds[c]]).alias(c) if kinds.get(c) in to else F.col(f"`{c}`") for c in df.columns])
+
+
 def filter_period(df: DataFrame, day: str, first: str | None = None, last: str | None = None) -> DataFrame:
     """Rows whose day lies from ``first`` to ``last`` (ISO dates, both inside; None: open). A null day is in no period."""
     x = F.to_date(F.col(day))
