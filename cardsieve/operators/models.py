@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .neighbours import nearest_rows
 from .quantiles import percentiles
 
 
@@ -183,41 +184,6 @@ def isolation_forest(df: DataFrame, features: Sequence[str], row_id: str, trees:
     return scored.crossJoin(cut).withColumn("is_anomaly", (F.col("anomaly_score") > F.col("__cut")).cast("int")).drop("__cut")
 
 
-def nearest_rows(df: DataFrame, vector: str, row_id: str, k: int, block: int = 2048) -> DataFrame:
-    """(a, b, d): of each row a its k nearest other rows b by Euclidean distance, ties to the smaller id. Exact.
-
-    Rows are dealt into blocks by a hash of the id; each pair of blocks is a group of its own, which holds two blocks and gives
-    k rows at most for each row of the first. So memory is bounded and copies add no pairs, but the work grows with the square
-    of the rows. Vectors that are null or hold null or non-finite components have no neighbours and are none.
-    """
-    v = F.col(vector).cast("array<double>")
-    own = df.select(F.col(row_id).alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
-    blocks = max(1, -(-own.count() // block))
-    own = own.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    keys = [F.col("first").cast("bigint").alias("first"), F.col("second").cast("bigint").alias("second")]
-    queries = own.withColumn("second", each).withColumnRenamed("own", "first").select(*keys, "id", "v")
-    others = own.withColumn("first", each).withColumnRenamed("own", "second").select(*keys, "id", "v")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": left["id"][:0], "b": left["id"][:0], "d": np.zeros(0)})
-        right = right.sort_values("id", kind="stable")
-        x, y, a, b = np.stack(left["v"]), np.stack(right["v"]), left["id"].to_numpy(), right["id"].to_numpy()
-        out = []
-        for s in range(0, len(x), 16):
-            d = np.sqrt(((x[s : s + 16, None] - y[None]) ** 2).sum(axis=-1))
-            d[a[s : s + 16, None] == b[None]] = np.inf  # the row itself
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found = pd.DataFrame({"a": np.repeat(a[s : s + 16], at.shape[1]), "b": b[at].ravel(), "d": np.take_along_axis(d, at, 1).ravel()})
-            out.append(found[np.isfinite(found["d"])])
-        return pd.concat(out)
-
-    kind = own.schema["id"].dataType.simpleString()
-    near = queries.groupBy("first", "second").cogroup(others.groupBy("first", "second")).applyInPandas(run, f"a {kind}, b {kind}, d double")
-    return near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("place") <= k).select("a", "b", "d")
-
-
 def local_outliers(df: DataFrame, vector: str, row_id: str, k: int = 20, contamination: float = 0.08, block: int = 2048) -> DataFrame:
     """Local outlier factor from the k nearest rows: row_id, lof, is_outlier. Rows without neighbours are outliers of score 10."""
     near = nearest_rows(df, vector, row_id, k, block)
