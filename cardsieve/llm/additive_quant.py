@@ -118,12 +118,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = 384,
 
     ``vectors`` has vec_id and embedding; queries are the rows whose id is divisible by ``every``. metric: "ip" (largest inner
     product) or "l2" (smallest distance; score is its square with a minus sign). ``rerank`` candidates of each query are
-    measured exactly. Index parameters: ``books`` codebooks of ``size`` codewords fitted to ``sample`` vectors, ``beam`` width.
+    measured exactly. Rows whose id is no number take no part. Index parameters: ``books`` codebooks of ``size`` codewords fitted to ``sample`` vectors, ``beam`` width.
     """
     if metric not in ("ip", "l2") or not 1 <= size <= 256:
         raise ValueError("metric is ip or l2; a codebook has at most 256 words")
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").try_cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).distinct()
     sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()

@@ -111,9 +111,9 @@ class _Packer:
 def pack(docs: DataFrame, tokenizer: str, end: int, length: int = 4096, spaces: bool = False, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start (the document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    with_ids adds the piece's ids as little-endian 32-bit numbers. Pieces of a sequence lie in it without gaps.
+    with_ids adds the piece's ids as little-endian 32-bit numbers. A doc_id that is no number becomes null. Pieces of a sequence lie in it without gaps.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, "text", _STEP):

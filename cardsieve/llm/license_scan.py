@@ -147,7 +147,7 @@ def _scan(codes: np.ndarray, templates: _Templates, least: float) -> list[tuple[
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """doc_id and matches, an array of (license, coverage, start, end) by license; start and end count words, end exclusive."""
+    """doc_id and matches, an array of (license, coverage, start, end) by license; start and end count words, end exclusive. An id that is no number becomes null."""
     sent = docs.sparkSession.sparkContext.broadcast(_Templates(TEMPLATES if templates is None else templates))
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -159,5 +159,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
             rows = [[dict(zip(("license", "coverage", "start", "end"), m)) for m in _scan(codes[a:b], known, least)] for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "matches"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, matches array<struct<license:string,coverage:double,start:bigint,end:bigint>>")

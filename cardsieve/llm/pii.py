@@ -243,7 +243,7 @@ def _batch(texts: pa.Array) -> Iterator[tuple[dict, dict] | None]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, base (text of the base spans), spans (text of all spans), n_email, n_ip, n_card, n_phone for every document."""
+    """doc_id, base (text of the base spans), spans (text of all spans), n_email, n_ip, n_card, n_phone for every document; an id that is no number becomes null."""
     empty: dict[str, list] = {k: [] for k in KINDS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,7 @@ def find(docs: DataFrame) -> DataFrame:
             columns = [pa.array([_told(b) for b, _ in found], pa.string()), pa.array([_told(e) for _, e in found], pa.string()), *(pa.array([len(e[k]) for _, e in found], pa.int64()) for k in KINDS)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "base", "spans", *(f"n_{k}" for k in KINDS)])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, base string, spans string, " + ", ".join(f"n_{k} bigint" for k in KINDS))
 
 

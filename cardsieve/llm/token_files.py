@@ -139,8 +139,10 @@ def decode_file(raw: bytes, table: Table) -> tuple[list, np.ndarray, np.ndarray]
 
 
 def _tokenized(docs: DataFrame, tokenizer: str, spaces: bool, end: int) -> DataFrame:
-    """Runs of documents in ascending doc_id order, as rows: part, number, doc_ids, lengths, counts (of each id), planes (low bytes, high bytes)."""
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    """Runs of documents in ascending doc_id order, as rows: part, number, doc_ids, lengths, counts (of each id), planes (low bytes, high bytes).
+
+    A doc_id that is no number becomes null; such documents come first."""
+    ordered = docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0

@@ -90,9 +90,9 @@ def read_record(raw: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, least: int = LEAST) -> tuple[DataFrame, str]:
-    """Write a record for each row of (page_id, url, html); returns the captures (key, page_id, archive, offset, length) and the folder."""
+    """Write a record for each row of (page_id, url, html); returns the captures (key, page_id, archive, offset, length) and the folder. A page_id that is no number becomes null."""
     folder = _store.new_path(pages.sparkSession, "warc")
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").try_cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     keep = rows.filter(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1 and keep is not null").select("digest", "keep")
     again = rows.filter(F.octet_length("html") >= least).select("digest", "page_id").join(keep, "digest").filter("page_id is null or page_id <> keep").select("digest", F.coalesce("page_id", F.lit(_NO_ID)).alias("id"), "keep").distinct()
@@ -228,14 +228,15 @@ class _Shard:
 
 
 def look_up(index: Index, requests: DataFrame) -> DataFrame:
-    """Captures of the requested (key, page_id): each request once; a page_id of None asks for all captures of the key.
+    """Captures of the requested (key, page_id): each request once; a page_id of None asks for all captures of the key, one that is
+    no number for those without an id.
 
     The bounds of the index files, one row each, go to the tasks; a request is sent to the files whose bounds hold it.
     """
     spark = requests.sparkSession
     shards = sorted(index.shards.collect(), key=lambda r: _utf8(r.first_key, r.first_page))
     sent, folder = spark.sparkContext.broadcast([(r.name, _utf8(r.first_key, r.first_page), _utf8(r.last_key, r.last_page), r.size, r.directory) for r in shards]), index.folder
-    requests = requests.select(F.col("key").cast("string").alias("key"), F.col("page_id").cast("bigint").alias("page_id")).distinct()
+    requests = requests.select(F.col("key").cast("string").alias("key"), F.when(F.col("page_id").isNotNull(), F.coalesce(F.col("page_id").try_cast("bigint"), F.lit(_NO_ID))).alias("page_id")).distinct()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = sent.value
@@ -298,5 +299,5 @@ def archived(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column("url").to_pylist()], pa.string()), batch.column("page_id")], ["key", "page_id"])
 
-    requests = pages.select(F.col("url").cast("string").alias("url"), F.coalesce(F.col("page_id").cast("bigint"), F.lit(_NO_ID)).alias("page_id")).mapInArrow(key, "key string, page_id bigint")
+    requests = pages.select(F.col("url").cast("string").alias("url"), F.coalesce(F.col("page_id").try_cast("bigint"), F.lit(_NO_ID)).alias("page_id")).mapInArrow(key, "key string, page_id bigint")
     return read_captures(look_up(index, requests), folder)
