@@ -58,7 +58,8 @@ def components(links: DataFrame, task: int = TASK) -> DataFrame:
     shuffle. Where one task holds all links that are left, that is the result. Else large-star and small-star steps join the
     tasks' stars: a node's neighbours are hung under its smallest neighbour, first those larger than it, then the others, and
     so on in turn until nothing changes, after about as many rounds as the logarithm of the longest path. Self-links and
-    repeated links do no harm; links with null are ignored. Each round is written to the shared folder.
+    repeated links do no harm; links with null are ignored. Each round is written to the shared folder; the last one can be
+    removed (_store.remove) when the result has been used.
     """
 
     def contracted(edges: DataFrame) -> DataFrame:
@@ -86,4 +87,6 @@ def components(links: DataFrame, task: int = TASK) -> DataFrame:
         edges = _store.stored(small.filter("u <> v").distinct(), "links")
         _store.remove(before)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    named.stored_at = edges.stored_at
+    return named

@@ -7,10 +7,13 @@ A text is the set of the hashes of its shingles; equal sets are one node, so cop
 sets stand in one order, those that a sample of the documents holds often come last. Two sets of n and m shingles that reach
 the share have a common one among the first n - ceil(share n) + 1 of the one and the first m - ceil(share m) + 1 of the other
 (prefix filter); any order gives all pairs, this one gives few candidates. Sizes and places of the common shingle rule out
-most of them, the others are compared as whole sets.
+most of them. Sketches, about one bit for each shingle, rule out nearly all other pairs that are not similar; what is left is
+compared as whole sets.
 
-A similar pair is a link, as are documents of one SimHash group; of the documents that links join, one stays. Shingles with very many sets are dealt out in pairs of
-blocks.
+A similar pair is a link, as are documents of one SimHash group; of the documents that links join, one stays. Shingles that
+the sample shows to be in very many sets are dealt out in pairs of blocks at once. The task that has the rows of any other
+shingle hands them on, without holding them, as soon as they are too many, and these are counted and dealt out next; so no
+shingle of any number of sets is held whole, whatever the sample has missed.
 
 Defined cases: null and empty texts are one node, without shingles; fewer words than a shingle: the whole sequence is the
 only one; a document is its doc_id and text, so rows with null or repeated doc_id are decided by their own text, and of rows
@@ -40,8 +43,12 @@ SAMPLE, COMMON = 20_000, 200_000
 SLICE = 2 << 20
 #: Different leaders that the keys of one group can have; a power of two. Rounds of further leaders.
 LEADERS, ROUNDS = 4, 1
-#: Bits of a set's sketch.
+#: Bits of the short sketch of a set, which goes with its rows; the long one has at least as many bits as the set shingles.
 SKETCH = 256
+#: Sets that are sketched at a time.
+STEP = 4096
+#: A shingle's rows are handed on to be dealt out where there are more than so many blocks of them.
+FULL = 4
 #: Pairs that are held before they are sent on.
 PAIRS = 1 << 20
 _TWO = "a bigint, b bigint"
@@ -78,15 +85,42 @@ def _nodes(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(hashes[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())), np.uint64, len(ends) - 1).view(np.int64)
 
 
-def _sketches(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of each set SKETCH bits, as 64-bit words: of the hashes that fall on a bit, whether their number is odd.
+def _sketches(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Of each set a short sketch of SKETCH bits, as 64-bit words, and a long one: of the hashes that fall on a bit, whether their number is odd.
 
-    Two sets differ in at least as many shingles as their sketches in bits.
+    A long sketch has a power of two of bits, not fewer than the set has hashes. Two sets differ in at least as many shingles
+    as their sketches in bits; a longer one is folded onto a shorter one first (_folded).
     """
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    bit = (hashes >> np.uint64(9)).astype(np.int64) & (SKETCH - 1)
-    odd = np.bincount(row * SKETCH + bit, minlength=(len(ends) - 1) * SKETCH).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(-1, SKETCH), axis=1, bitorder="little").view(np.int64)
+    counts = np.diff(ends)
+    if len(counts) > STEP:
+        short, long = zip(*(_sketches(hashes, ends[k : k + STEP + 1]) for k in range(0, len(counts), STEP)))
+        return np.concatenate(short), [x for part in long for x in part]
+    hashes = hashes[ends[0] : ends[-1]]
+    bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(base[:-1], counts) + ((hashes >> np.uint64(9)).astype(np.int64) & np.repeat(bits - 1, counts))
+    packed = np.packbits(np.bincount(at, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little")
+    own = [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
+    short = np.array([_folded(x, SKETCH // 8) for x in own], np.uint8).reshape(len(own), SKETCH // 8)
+    return short.view(np.int64), [x.tobytes() for x in own]
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes of the same set."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
+def _maybe(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, n, m, x, y) that sizes n, m and long sketches x, y do not rule out."""
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y"))):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            size = min(len(x), len(y))
+            apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+            both = -(-least * (n + m) // (100 + least))
+            keep.append(min(n, m) >= both and apart <= n + m - 2 * both)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _in_order(hashes: np.ndarray, ends: np.ndarray, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,26 +155,36 @@ def _with_partner(rows: np.ndarray, group: np.ndarray, least: int) -> np.ndarray
     return rows[smaller | larger]
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Rows (columns key, part, ...) of whole keys. Input sorted by key and part; the rows of a key may lie in several batches."""
+def _whole_keys(batches: Iterator[pa.RecordBatch], most: int = 0) -> Iterator[tuple[np.ndarray, bool]]:
+    """Rows (columns key, part, ...) of whole keys, and False. Input sorted by key and part; the rows of a key may lie in several batches.
+
+    Where ``most`` is given, no more rows than these and a batch are held: those of a larger key come in pieces, with True.
+    """
     held: list[np.ndarray] = []
+    waiting, full, now = 0, False, None
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
         if not len(rows):
             continue
         new = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
-        first = 0 if held and np.any(held[-1][-1, :2] != rows[0, :2]) else int(new[0]) if len(new) else len(rows)
-        last = int(new[-1]) if len(new) else 0  # first row of the last key
-        if held and first < len(rows):
-            yield np.concatenate([*held, rows[:first]])
-            held = []
-        elif not held:
-            first = 0
-        if first < last:
-            yield rows[first:last]
-        held.append(rows[max(first, last) if first < len(rows) else 0 :])
+        stop = 0 if now is None or np.any(now != rows[0, :2]) else int(new[0]) if len(new) else len(rows)
+        if stop and full:
+            yield rows[:stop], True
+        elif stop:
+            held.append(rows[:stop])
+            waiting += stop
+        if stop < len(rows):
+            if held:
+                yield np.concatenate(held), False
+            last = int(new[-1]) if len(new) else 0  # first row of the last key
+            if stop < last:
+                yield rows[stop:last], False
+            held, waiting, full, now = [rows[last:]], len(rows) - last, False, rows[-1, :2].copy()
+        if most and waiting > most:
+            yield np.concatenate(held), True
+            held, waiting, full = [], 0, True
     if held:
-        yield np.concatenate(held)
+        yield np.concatenate(held), False
 
 
 def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,24 +199,24 @@ def _told(pairs: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.stack([both.min(axis=0), both.max(axis=0)])[:, both[0] != both[1]], axis=1)
 
 
-def _first_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _first_pairs(batches: Iterator[pa.RecordBatch], least: int, most: int = 0) -> Iterator[pa.RecordBatch]:
     """Of the nodes that share a key: each with one of a few leaders (part is null), so no more pairs than rows.
 
-    Of keys with three nodes and more, the rows that have a possible partner come out as well, for what these pairs leave open.
+    Of keys with three nodes and more, the rows that have a possible partner come out as well (b is 0), for what these pairs
+    leave open. Rows of keys with more than ``most`` rows come out as they are (b is 1).
     """
     names = ["key", "part", "a", "b", "n", "place"]
 
-    def out(pairs: list[np.ndarray], more: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b = _told(pairs)
-        none = pa.nulls(len(a), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], names)
-        rest = np.concatenate([np.zeros((0, 5), np.int64), *more])
-        for s in range(0, len(rest), 1 << 16):
-            key, part, node, n, place = rest[s : s + (1 << 16)].T
-            columns = [key, part, node, np.zeros(len(key), np.int64), n.astype(np.int32), place.astype(np.int32)]
+    def told(rows: np.ndarray, mark: int) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(rows), 1 << 16):
+            key, part, node, n, place = rows[s : s + (1 << 16)].T
+            columns = [key, part, node, np.full(len(key), mark, np.int64), n.astype(np.int32), place.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    for rows in _whole_keys(batches):
+    for rows, full in _whole_keys(batches, most):
+        if full:
+            yield from told(rows, 1)
+            continue
         starts, sizes = _groups(rows)
         group = np.repeat(np.arange(len(starts)), sizes)
         # a key's leader: the node with the smallest of a few hashes, which of them the key tells
@@ -180,8 +224,11 @@ def _first_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
         order = np.lexsort((mixed, group))
         lead = rows[order[starts]][group]
         ok = _possible(rows[:, 3], rows[:, 4], lead[:, 3], lead[:, 4], least)
+        a, b = _told([np.stack([rows[ok, 2], lead[ok, 2]], axis=1)])
+        none = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int32())], names)
         open_ = (sizes > 2)[group]
-        yield from out([np.stack([rows[ok, 2], lead[ok, 2]], axis=1)], [_with_partner(rows[open_], group[open_], least)])
+        yield from told(_with_partner(rows[open_], group[open_], least), 0)
 
 
 def _close(one: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:
@@ -194,7 +241,7 @@ def _close(one: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:
 
 def _more_pairs(batches: Iterator[pa.RecordBatch], least: int, turn: int) -> Iterator[pa.RecordBatch]:
     """Of the nodes that share a key and aren't joined yet: each with the key's leader of this turn. Columns as for _open_pairs."""
-    for rows in _whole_keys(batches):
+    for rows, _ in _whole_keys(batches):
         starts, sizes = _groups(rows)
         group = np.repeat(np.arange(len(starts)), sizes)
         mixed = (rows[:, 2] ^ (((rows[:, 0] & (LEADERS - 1)) + LEADERS * turn) * -0x61C8864680B583EB)) * -0x40A7B892E31B1A47
@@ -212,7 +259,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
 
     pairs: list[np.ndarray] = []
     waiting = 0
-    for rows in _whole_keys(batches):
+    for rows, _ in _whole_keys(batches):
         starts, sizes = _groups(rows)
         group = np.repeat(np.arange(len(starts)), sizes)
         mixed = np.maximum.reduceat(rows[:, 5], starts) != np.minimum.reduceat(rows[:, 5], starts)
@@ -256,16 +303,17 @@ def _semi(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _all_nodes(docs: DataFrame, size: int) -> DataFrame:
-    """(__id, __h, node, fp, s0, s1, ...) of every document: the set of its shingles, its SimHash fingerprint, the set's sketch."""
+    """(__id, __h, node, fp, n, sketch, s0, s1, ...) of every document: the set of its shingles, its SimHash fingerprint, the set's size and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             texts = batch.column("text")
             sets = text_shingles(texts, size)
-            columns = [_nodes(*sets), text_fingerprints(texts).view(np.int64), *_sketches(*sets).T]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__h"), *map(pa.array, columns)], ["__id", "__h", "node", "fp", *_WORDS])
+            short, long = _sketches(*sets)
+            columns = [pa.array(_nodes(*sets)), pa.array(text_fingerprints(texts).view(np.int64)), pa.array(np.diff(sets[1]), pa.int32()), pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__h"), *columns, *map(pa.array, short.T)], ["__id", "__h", "node", "fp", "n", "sketch", *_WORDS])
 
-    schema = "__id bigint, __h bigint, node bigint, fp bigint, " + ", ".join(f"{s} bigint" for s in _WORDS)
+    schema = "__id bigint, __h bigint, node bigint, fp bigint, n int, sketch binary, " + ", ".join(f"{s} bigint" for s in _WORDS)
     return _keyed(docs).select("__id", "__h", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -336,7 +384,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             hashes, ends = text_shingles(batch.column("text"), size)
             yield pa.RecordBatch.from_arrays([pa.array(_nodes(hashes, ends)), binaries(hashes, ends)], ["node", "shingles"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node bigint, shingles binary")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -346,43 +394,77 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def _reach(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, least: int) -> DataFrame:
-    """The pairs that reach the share, compared as whole sets; of texts with equal sets one is read."""
+    """The pairs that reach the share: long sketches rule pairs out, the others are compared as whole sets; of texts with equal sets one is read."""
     pairs = _store.stored(pairs.distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = nodes.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("__h", "__id")).alias("d")).select("d.__id", "d.__h")
+    about = nodes.select("node", "n", "sketch").join(_ends(pairs), "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(about.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x")), "a").join(about.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    maybe = _store.stored(both.select("a", "b", "n", "m", "x", "y").mapInArrow(lambda it: _maybe(it, least), _TWO), "maybe")
+    rows = nodes.join(_ends(maybe), "node", "left_semi").groupBy("node", "__h", "__id").agg(F.count(F.lit(1)).alias("rows"))
+    need = rows.groupBy("node").agg(F.min(F.struct("__h", "__id", "rows")).alias("d")).select("d.__id", "d.__h", "d.rows")
     need = _store.stored(need, "need")  # so that its size is known and the texts aren't shuffled where it is small
-    sets = _store.stored(_sets(_semi(_keyed(docs), need), size), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = _sets(_semi(_keyed(docs), need), size)
+    if not need.filter("rows > 1").isEmpty():
+        sets = sets.dropDuplicates(["node"])
+    sets = _store.stored(sets, "sets")
+    both = maybe.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     links = _store.stored(both.select("a", "b", "x", "y").mapInArrow(lambda it: _similar(it, least), _TWO), "similar")
-    _store.remove(pairs, need, sets)
+    _store.remove(pairs, maybe, need, sets)
     return links
 
 
+def _dealt(full: DataFrame, block: int) -> DataFrame:
+    """Rows (key, part, node, n, place) of the keys with too many rows, which are counted here, in pairs of blocks of these."""
+    counts = full.groupBy("key", "part").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("a"), F.col("blocks"))
+    rows = full.join(counts, ["key", "part"]).withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))})
+    part = F.xxhash64("part", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select("key", part.alias("part"), F.col("a").alias("node"), "n", "place")
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, least: int = 80, block: int = BLOCK, joined: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) among the nodes: ``joined``, and enough pairs with at least ``least`` percent similarity to join all such pairs.
+    """Links (a, b) among the nodes, a stored table: ``joined``, and enough pairs with at least ``least`` percent similarity to join all such pairs.
 
     Nodes that share a shingle are compared with a few leaders first. What these links and ``joined`` join isn't compared
     any more, so a group of near copies takes about as many comparisons as it has members, not as many as pairs.
     """
-    keys = _prefixes(docs, size, least, nodes.count(), block).repartition("key", "part").sortWithinPartitions("key", "part")
     schema = "key bigint, part bigint, a bigint, b bigint, n int, place int"
-    told = _store.stored(keys.mapInArrow(lambda it: _first_pairs(it, least), schema), "keys")
+
+    def by_key(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "part").sortWithinPartitions("key", "part")
+
+    keys = by_key(_prefixes(docs, size, least, nodes.count(), block))
+    told = _store.stored(keys.mapInArrow(lambda it: _first_pairs(it, least, FULL * block), schema), "keys")
+    used = [told]
+    full = told.filter("b = 1 and part is not null")
+    if not full.isEmpty():
+        used.append(_store.stored(by_key(_dealt(full, block)).mapInArrow(lambda it: _first_pairs(it, least), schema), "keys"))
+        told = told.filter("b <> 1 or part is null").unionByName(used[-1])
     links = joined if joined is not None else nodes.sparkSession.createDataFrame([], _TWO)
-    roots = components(links)
-    links = links.unionByName(_reach(docs, nodes, _apart(told.filter("part is null").select("a", "b"), roots), size, least))
     sketches = nodes.groupBy("node").agg(*[F.first(s).alias(s) for s in _WORDS])
 
-    def rest() -> DataFrame:
-        roots = components(links)
+    def reached(pairs: DataFrame) -> DataFrame:
+        used.append(_reach(docs, nodes, pairs, size, least))
+        return links.unionByName(used[-1])
+
+    def rest(roots: DataFrame) -> DataFrame:
         rows = told.filter("part is not null").withColumnRenamed("a", "node").join(roots, "node", "left").join(sketches, "node")
-        rows = rows.select("key", "part", "node", "n", "place", F.coalesce("root", "node").alias("root"), *_WORDS)
-        return rows.repartition("key", "part").sortWithinPartitions("key", "part")
+        return by_key(rows.select("key", "part", "node", "n", "place", F.coalesce("root", "node").alias("root"), *_WORDS))
 
+    roots = components(links)
+    links = reached(_apart(told.filter("part is null").select("a", "b"), roots))
+    _store.remove(roots)
     for turn in range(1, ROUNDS + 1):
-        links = links.unionByName(_reach(docs, nodes, rest().mapInArrow(lambda it, turn=turn: _more_pairs(it, least, turn), _TWO), size, least))
-    links = links.unionByName(_reach(docs, nodes, rest().mapInArrow(lambda it: _open_pairs(it, least), _TWO), size, least))
-    _store.remove(told)
+        roots = components(links)
+        links = reached(rest(roots).mapInArrow(lambda it, turn=turn: _more_pairs(it, least, turn), _TWO))
+        _store.remove(roots)
+    roots = components(links)
+    links = _store.stored(reached(rest(roots).mapInArrow(lambda it: _open_pairs(it, least), _TWO)), "near")
+    _store.remove(roots, *used)
     return links
 
 
@@ -390,11 +472,14 @@ def one_of_each(docs: DataFrame, size: int = 5, least: int = 80, limit: int = LI
     """The documents without near-duplicates: of each group the one with the smallest doc_id (nulls last), with its columns."""
     nodes = _store.stored(_all_nodes(docs, size), "nodes")
     joined = _store.stored(_simhash_links(nodes, limit), "joined")
-    roots = components(similar_links(docs, nodes, size, least, joined=joined))
+    links = similar_links(docs, nodes, size, least, joined=joined)
+    _store.remove(joined)
+    roots = components(links)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__h")).alias("d")).select("d.__id", "d.__h")
     kept = _store.stored(kept, "kept")
     own = _semi(_keyed(docs), kept)
     if not _semi(nodes, kept).groupBy("__id", "__h").count().filter("count > 1").isEmpty():
         own = own.dropDuplicates(["__id", "__h"])
+    _store.remove(links, roots, nodes)
     return own.select(*docs.columns)

@@ -2,10 +2,11 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from cardsieve.llm import near_copies
+from cardsieve.llm import _store, near_copies
 
 
 def shingles(text, size=5):
@@ -56,6 +57,41 @@ def test_the_stage_finds_all_pairs_of_the_tables(spark, docs, sf):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(8)
+    sets, pairs = [], []
+    for _ in range(300):
+        one = rng.integers(0, 2**63, int(rng.integers(0, 1500)), dtype=np.uint64)
+        other = one.copy()
+        changed = np.flatnonzero(rng.random(len(one)) < rng.choice([0.05, 0.12, 0.4, 1.0]))
+        other[changed] = rng.integers(0, 2**63, len(changed), dtype=np.uint64)
+        pairs.append((np.unique(one), np.unique(other[: int(len(other) * rng.uniform(0.8, 1))])))
+        sets += pairs[-1]
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    short, long = near_copies._sketches(np.concatenate(sets), ends)
+    assert short.shape == (600, 4) and all(8 * len(x) >= max(256, len(s)) for x, s in zip(long, sets))
+    table = pa.record_batch({"a": list(range(300)), "b": list(range(300)), "n": [len(x) for x, _ in pairs], "m": [len(y) for _, y in pairs], "x": long[::2], "y": long[1::2]})
+    (out,) = near_copies._maybe([table], 80)
+    like = [k for k, (x, y) in enumerate(pairs) if 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))]
+    got = set(out.column("a").to_pylist())
+    assert set(like) <= got and 20 < len(like) and len(got) < len(like) + 40
+
+
+def test_rows_of_keys_that_are_too_large_are_handed_on():
+    rng = np.random.default_rng(3)
+    keys = np.sort(np.concatenate([rng.integers(0, 40, 100), np.full(300, 7), np.full(90, 21)]))
+    rows = np.stack([keys, np.zeros(490, int), np.arange(490), np.ones(490, int), np.zeros(490, int)], axis=1)
+    for step, most in [(1, 20), (10, 20), (64, 100), (490, 500)]:
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[s : s + step].T], list("kpabc")) for s in range(0, 490, step)]
+        got = list(near_copies._whole_keys(batches, most))
+        assert np.array_equal(np.concatenate([part for part, _ in got]), rows)
+        assert all(len(part) <= most + step for part, _ in got)
+        whole = [set(part[:, 0].tolist()) for part, full in got if not full]
+        full = {key for part, mark in got if mark for key in part[:, 0].tolist()}
+        assert sum(map(len, whole)) == len(set().union(*whole)) and not full & set().union(*whole)
+        assert all(np.sum(keys == key) > most for key in full)
+
+
 def variants(r, groups):
     """Texts that share lines, and copies of them with a few words changed, at similarities around the limit."""
     lines = [" ".join(r.choice("abcdefghijklmnop") * r.randint(1, 3) for _ in range(12)) for _ in range(20)]
@@ -70,13 +106,14 @@ def variants(r, groups):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed,sample,block", [(1, 20_000, 4096), (2, 20, 4096), (3, 20_000, 2)])
-def test_no_pair_is_lost(spark, monkeypatch, seed, sample, block):
-    """Whatever the sample, so whatever the order of shingles; and with common shingles dealt out in pairs of blocks."""
+@pytest.mark.parametrize("seed,sample,block,common", [(1, 20_000, 4096, 200_000), (2, 20, 4096, 200_000), (3, 20_000, 2, 200_000), (4, 20_000, 1, 0)])
+def test_no_pair_is_lost(spark, monkeypatch, seed, sample, block, common):
+    """Whatever the sample, so whatever the order of shingles; with common shingles dealt out in pairs of blocks, and with a sample that tells none of them."""
     monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    monkeypatch.setattr(near_copies, "COMMON", common)
     rows = variants(random.Random(seed), 80)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = near_copies._all_nodes(docs, 5).localCheckpoint()
+    nodes = _store.stored(near_copies._all_nodes(docs, 5), "nodes")
     links = [tuple(r) for r in near_copies.similar_links(docs, nodes, block=block).collect()]
     texts, ids, sets, first = dict(rows), {}, {}, {}
     for r in nodes.orderBy("__id").collect():
