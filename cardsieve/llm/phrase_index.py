@@ -242,14 +242,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 
     contaminated: some words are hit and they are at least one in ``share`` of the document's words.
     """
-    hits = find_phrases(build_index(docs), items, window)
+    return _judged(build_index(docs), items, window, share)
+
+
+def _judged(index: DataFrame, items: DataFrame, window: int, share: int) -> DataFrame:
+    hits = find_phrases(index, items, window)
     n_hit = F.aggregate(F.zip_with("hit_ends", "hit_starts", lambda b, a: b - a), F.lit(0).cast("bigint"), lambda x, y: x + y)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(F.array_compact("items")).cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """The documents that are not contaminated, with their columns. A row is decided by its own text, whatever its doc_id."""
+    """The documents that are not contaminated, with their columns. A row is decided by its own text, whatever its doc_id.
+
+    What is contaminated is written to the shared folder, then the index is removed.
+    """
     own = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    bad = contamination(own.select(F.col("__text").alias("doc_id"), "text"), items, window).filter("contaminated").select(F.col("doc_id").alias("__text")).distinct()
+    index = build_index(own.select(F.col("__text").alias("doc_id"), "text"))
+    bad = _judged(index, items, window, 20).filter("contaminated").select(F.col("doc_id").alias("__text")).distinct()
+    bad = _store.stored(bad, "contaminated")
+    _store.remove(index)
     return own.join(bad, "__text", "left_anti").select(*docs.columns)
