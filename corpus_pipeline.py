@@ -46,8 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents in turn."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to the documents in turn. A stage's table is removed when the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = _store.stored(stage(spark, docs, sf_dir), name)
+        _store.remove(*before)
+        before = [docs]
     return docs
