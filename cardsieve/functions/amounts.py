@@ -45,3 +45,21 @@ def currency_inference(amount: Column, usd: Column, original: Column, code: Colu
     near = lambda a, b: F.coalesce((F.abs(a - b) <= tolerance) | robust_divide(a, b).between(low, high), F.lit(False))
     inferred = F.when(near(original, usd), "usd").when(near(original, amount), "local").when(original.isNotNull(), "other")
     return {"currency": inferred, "is_unusual_currency": _flag(~F.trim(code).isin(*local_codes, *usd_codes)), "exchange_rate": robust_divide(amount, usd)}
+
+
+#: Amounts that are multiples of 1 / UNITS are added up as whole numbers.
+UNITS = 10_000
+
+
+def exact_parts(x: Column) -> tuple[Column, Column]:
+    """An amount as a whole number of 1 / UNITS, and the amounts that are none; the other is null. Sums of the first are exact in any order."""
+    v = x.cast("double")
+    k = F.rint(v * UNITS)
+    whole = (F.abs(v) < 1e11) & (k / UNITS == v)
+    return F.when(whole, k.cast("bigint")).cast("decimal(19,0)"), F.when(~whole, v)
+
+
+def exact_mean(units: Column, rest: Column, n: Column) -> Column:
+    """The mean from the sums of both parts: of whole units it is the double next to the true mean, so that halves round alike everywhere."""
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    return F.coalesce(units.cast("double"), F.lit(0.0)) / (n * UNITS) + F.coalesce(rest, F.lit(0.0)) / n

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.amounts import exact_mean, exact_parts
 from .quantiles import percentiles
 from .ranges import numbered
 from .velocity import key_parts, known, velocity
@@ -40,7 +41,9 @@ def activity(df: DataFrame, keys: Sequence[str], ts: str, amount: str, merchant:
 def merchant_profile(df: DataFrame, keys: Sequence[str], ts: str, amount: str, client: str, fraud: Column) -> DataFrame:
     """Totals, means, clients, days, frauds and fraud rate, rows a day, and positions by volume."""
     bad = F.coalesce(fraud.cast("int"), F.lit(0))
-    out = profile(df, keys, {"n": F.count(F.lit(1)), "total": F.sum(amount), "mean": F.avg(amount), "clients": F.countDistinct(client), "days": F.countDistinct(F.to_date(ts)), "frauds": F.sum(bad)})
+    units, rest = exact_parts(F.col(amount))
+    mean = exact_mean(F.sum(units), F.sum(rest), F.count(amount))
+    out = profile(df, keys, {"n": F.count(F.lit(1)), "total": F.sum(amount), "mean": mean, "clients": F.countDistinct(client), "days": F.countDistinct(F.to_date(ts)), "frauds": F.sum(bad)})
     out = out.withColumns({"fraud_rate": F.col("frauds") / F.col("n"), "per_day": F.col("n") / F.nullif(F.col("days"), F.lit(0))})
     ranked = numbered(out.withColumn("__down", -F.col("n")), ["__down", *keys])  # by ranges, no window over all merchants
     return ranked.withColumn("rank", F.col("number").cast("int")).drop("__down", "number")
