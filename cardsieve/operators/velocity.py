@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.amounts import exact_mean, exact_parts
 from .ranges import COUNT, HOT_ROWS, HOT_SHARE, LAST, SUM, hot_keys, scan
 
 #: Windows of the preset, in seconds.
@@ -174,11 +175,12 @@ def prior_count(df: DataFrame, flag: Column, keys: Sequence[str], ts: str, row_i
 
 def prior_mean(df: DataFrame, amount: str, keys: Sequence[str], ts: str, row_id: str, times: float = 2.0, spread: bool | None = None) -> DataFrame:
     """prior_mean of the key's earlier rows, prior_ratio to it, and is_jump where the ratio is beyond ``times``."""
-    out = _scanned(df, keys, [ts, row_id], row_id, {"__sum": (SUM, F.col(amount).cast("double")), "__n": (COUNT, F.col(amount))}, spread)
-    mean = F.col("__sum") / F.nullif(F.col("__n").cast("double"), F.lit(0.0))
+    units, rest = exact_parts(F.col(amount))
+    out = _scanned(df, keys, [ts, row_id], row_id, {"__units": (SUM, units), "__rest": (SUM, rest), "__n": (COUNT, F.col(amount))}, spread)
+    mean = exact_mean(F.col("__units"), F.col("__rest"), F.col("__n"))
     r = F.col(amount) / F.nullif(mean, F.lit(0.0))
     columns = {"prior_mean": mean, "prior_ratio": r, "is_jump": F.coalesce(r > times, F.lit(False)).cast("int")}
-    return out.withColumns({n: known(keys, c) for n, c in columns.items()}).drop("__sum", "__n")
+    return out.withColumns({n: known(keys, c) for n, c in columns.items()}).drop("__units", "__rest", "__n")
 
 
 def previous_flag(df: DataFrame, flag: Column, keys: Sequence[str], ts: str, row_id: str, name: str = "previous_flag", spread: bool | None = None) -> DataFrame:
