@@ -92,17 +92,22 @@ def with_quantiles(df: DataFrame, value: str, q: int = 10, by: Sequence[str] = (
     return out.withColumn(name, quantile_bucket(F.col(value), F.col("__edges"))).drop("__edges")
 
 
-def decile_table(df: DataFrame, value: str, fraud: Column, by: Sequence[str] = (), q: int = 10) -> DataFrame:
-    """n, sum, min, max, median, frauds and rate of each quantile bucket: all from one written table of distinct values and counts."""
+def decile_table(df: DataFrame, value: str, fraud: Column, by: Sequence[str] = (), q: int = 10, medians: bool = True) -> DataFrame:
+    """n, sum, min, max, median, frauds and rate of each quantile bucket: all from one written table of distinct values and counts.
+
+    medians=False leaves the median out, which takes a second search for percentiles."""
     counts = value_counts(df.withColumn("__f", F.coalesce(fraud.cast("int"), F.lit(0))), by, value, F.sum("__f").alias("f")).filter("x is not null")
     counts = written(counts, "counts")  # read for edges and for buckets
-    edges = group_percentiles(counts, by, [k / q for k in range(q + 1)], "__edges")
+    edges = group_percentiles(counts, by, [k / q for k in range(q + 1)], "__edges", stored=True)
     own = (_with_points(counts, edges, by) if by else counts.crossJoin(F.broadcast(edges))).withColumn("decile", quantile_bucket(F.col("x"), F.col("__edges"))).drop("__edges")
-    own = written(own, "buckets")  # read for sums and for medians
+    own = written(own, "buckets") if medians else own  # read for sums and for medians
     keys = [*by, "decile"]
     out = own.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("sum"), F.min("x").alias("min"), F.max("x").alias("max"), F.sum("f").alias("frauds"))
-    out = _with_points(out, group_percentiles(own, keys, [0.5], "__m"), keys)
-    return out.withColumns({"median": F.col("__m")[0], "rate": _share(F.col("frauds"), F.col("n"))}).select(*keys, "n", "sum", "min", "max", "median", "frauds", "rate")
+    out = out.withColumn("rate", _share(F.col("frauds"), F.col("n")))
+    if not medians:
+        return out.select(*keys, "n", "sum", "min", "max", "frauds", "rate")
+    out = _with_points(out, group_percentiles(own, keys, [0.5], "__m", stored=True), keys)
+    return out.withColumn("median", F.col("__m")[0]).select(*keys, "n", "sum", "min", "max", "median", "frauds", "rate")
 
 
 def optimal_range(df: DataFrame, value: str, fraud: Column, points: Sequence[float] = (0.5, 0.75, 0.9, 0.95)) -> DataFrame:

@@ -62,7 +62,7 @@ def amount_deciles(spark, sf_dir):
 @query(T + """, q AS (SELECT bin, quantile_cont(amount, [0.25, 0.5, 0.75]) AS cut FROM t GROUP BY bin), b AS (SELECT t.bin, 1 + len(list_filter(cut, lambda x: x < amount)) AS decile, amount, fraud FROM t JOIN q USING (bin))
     SELECT bin, decile, count(*) AS n, sum(CAST(fraud AS INT)) AS frauds FROM b GROUP BY ALL""")
 def quartiles_of_bins(spark, sf_dir):
-    return tables.decile_table(purchases(spark, sf_dir), "amount", F.col("fraud"), ["bin"], 4).select("bin", "decile", "n", "frauds")
+    return tables.decile_table(purchases(spark, sf_dir), "amount", F.col("fraud"), ["bin"], 4, medians=False).select("bin", "decile", "n", "frauds")
 
 
 @query(T + """, q AS (SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.5) AS b, quantile_cont(amount, 0.75) AS c FROM t) SELECT CASE WHEN amount <= a THEN 'q1' WHEN amount <= b THEN 'q2' WHEN amount <= c THEN 'q3' ELSE 'q4' END AS class, count(*) AS n FROM t, q GROUP BY 1""")

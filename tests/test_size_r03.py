@@ -1,5 +1,6 @@
 """What went wrong on large tables only: sums that depend on the order of rows, estimates that differ from reading to reading."""
 
+import math
 import os
 import random
 from decimal import Decimal
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cardsieve.operators import profiles, velocity
+from cardsieve.operators import profiles, quantiles, velocity
 
 
 def half_up(values, digits):
@@ -64,3 +65,19 @@ def test_a_stream_whose_cuts_are_estimated_unsteadily(spark, sf, monkeypatch):
     monkeypatch.setattr(F, "percentile_approx", estimate)
     ids = [r.event_id for r in entry.queries()["velocity_on_a_stream"](spark, sf).select("event_id").collect()]
     assert len(ids) == len(set(ids)) == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_only_the_bins_of_wanted_places_are_put_in_order(spark, monkeypatch):
+    rng = random.Random(3)
+    values = [round(rng.uniform(900, 105000), 2) for _ in range(4000)] + [-float(v) for v in range(1, 900)] + [0.0, -0.0, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(None if i % 3 else "g", v) for i, v in enumerate(values)], "g string, v double")
+    seen, real = [], quantiles.placed
+    monkeypatch.setattr(quantiles, "placed", lambda counts, *a: seen.append(counts.count()) or real(counts, *a))
+    points = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {r.g: r.p for r in quantiles.group_percentiles(quantiles.value_counts(df, ["g"], "v"), ["g"], points, "p").collect()}
+    assert set(got) == {None, "g"} and seen[0] < 300
+    for g, p in got.items():
+        own = sorted((0 if v == 0 else v for i, v in enumerate(values) if v is not None and (None if i % 3 else "g") == g), key=lambda v: (math.isnan(v), v))
+        at = [q * (len(own) - 1) for q in points]
+        want = [own[int(a)] if a == int(a) else (math.ceil(a) - a) * own[math.floor(a)] + (a - math.floor(a)) * own[math.ceil(a)] for a in at]
+        assert p == pytest.approx(want, nan_ok=True)
