@@ -24,6 +24,8 @@ from .ranges import with_range
 
 #: Summaries of blocks in one group when pairs of blocks are chosen.
 SUMMARIES = 1024
+#: Blocks of either side in one group when rows meet.
+FIRST, SECOND = 4, 16
 
 
 def _to(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -107,29 +109,68 @@ def block_pairs(rows: DataFrame) -> DataFrame:
     return left.groupBy("left", "right").cogroup(right.groupBy("left", "right")).applyInPandas(meet, "first bigint, second bigint, bound double")
 
 
+def _near_of_block(x: np.ndarray, a: np.ndarray, kd: np.ndarray, others: list[tuple[float, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows x with ids a, whose k-th nearest row is at kd at most: places of the rows, ids and distances of their k nearest rows
+    in the other blocks (bound, vectors, ids).
+
+    A matrix product rules out pairs that are farther than the k-th so far, with room for its rounding; distances of the rest are
+    computed as differences. Nearer blocks come first, so the k-th shrinks early."""
+    far = kd.copy()
+    rows, ids, found = np.zeros(0, int), a[:0], np.zeros(0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        xx = (x * x).sum(axis=1)
+        for bound, y, b in others:
+            some = np.flatnonzero(bound <= far)
+            if not len(some):
+                continue
+            yy = (y * y).sum(axis=1)
+            room = 16 * (x.shape[1] + 4) * np.finfo(float).eps * (xx[some].max() + yy.max())
+            about = xx[some, None] + yy[None] - 2 * (x[some] @ y.T)
+            # what is no number by overflow is not ruled out
+            at, to = np.nonzero(~(about > (far[some] ** 2 * (1 + 1e-9) + room)[:, None]))
+            at = some[at]
+            other = a[at] != b[to]
+            at, to = at[other], to[other]
+            d = np.concatenate([np.zeros(0), *[np.sqrt(((x[at[s : s + 65536]] - y[to[s : s + 65536]]) ** 2).sum(axis=-1)) for s in range(0, len(at), 65536)]])
+            near = np.isfinite(d) & (d <= far[at])
+            rows, ids, found = np.concatenate([rows, at[near]]), np.concatenate([ids, b[to[near]]]), np.concatenate([found, d[near]])
+            order = np.lexsort((ids, found, rows))
+            rows, ids, found = rows[order], ids[order], found[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            last = place == k - 1
+            far[rows[last]] = np.minimum(far[rows[last]], found[last])
+            rows, ids, found = (v[place < k] for v in (rows, ids, found))
+    return rows, ids, found
+
+
 def nearest_rows(df: DataFrame, vector: str, row_id: str, k: int, block: int = 2048, pivots: int = 32) -> DataFrame:
     """(a, b, d): of each row a its k nearest other rows b by Euclidean distance, ties to the smaller id. Exact.
 
-    Each pair of blocks that ``block_pairs`` keeps is a group of its own, which holds two blocks and gives k rows at most for each
-    row of the first, so memory is bounded and copies add no pairs. A row goes only to blocks whose bound its kd reaches.
+    Pairs of blocks that ``block_pairs`` keeps meet in groups of ``FIRST`` by ``SECOND`` blocks, which give k rows at most for each
+    row of the first, so memory is bounded, copies add no pairs and a row is sent once for each group, not for each pair. A row
+    meets only blocks whose bound its kd reaches.
     Vectors that are null or hold null or non-finite components have no neighbours and are none.
     """
     rows = pivot_blocks(df, vector, row_id, k, block, pivots)
-    pairs = written(block_pairs(rows), "block-pairs")
-    queries = rows.select(F.col("block").alias("first"), "id", "v", "kd").join(pairs, "first").filter(F.col("bound") <= F.col("kd")).select("first", "second", "id", "v")
+    pairs = written(block_pairs(rows), "block-pairs").withColumns({"left": F.floor(F.col("first") / FIRST), "right": F.floor(F.col("second") / SECOND)})
+    asked = pairs.groupBy("first", "left", "right").agg(F.collect_list(F.struct("bound", "second")).alias("meets"))  # SECOND at most
+    # of a block's rows one holds the list of blocks that it meets
+    queries = rows.select(F.col("block").alias("first"), "id", "v", "kd", F.col("low").isNotNull().alias("one")).join(asked, "first")
+    queries = queries.select("left", "right", "first", "id", "v", "kd", F.when(F.col("one"), F.col("meets")).alias("meets"))
+    given = pairs.select("second", "left", "right").distinct()
     # aliases keep the two readings of the rows apart
-    others = rows.select(F.col("block").alias("second"), "id", "v").join(pairs, "second").select(*[F.col(c).alias(c) for c in ("first", "second", "id", "v")])
+    others = rows.select(F.col("block").alias("second"), "id", "v").join(given, "second").select(*[F.col(c).alias(c) for c in ("left", "right", "second", "id", "v")])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": left["id"][:0], "b": right["id"][:0], "d": np.zeros(0)})]
-        if len(left) and len(right):
-            right = right.sort_values("id", kind="stable")
-            x, y, a, b = np.stack(left["v"]), np.stack(right["v"]), left["id"].to_numpy(), right["id"].to_numpy()
-            for some, at, d in _nearest(x, a, y, b, k):
-                found = pd.DataFrame({"a": np.repeat(a[some], at.shape[1]), "b": b[at].ravel(), "d": d.ravel()})
-                out.append(found[np.isfinite(found["d"])])
+        held = {second: (np.stack(g["v"]), g["id"].to_numpy()) for second, g in right.groupby("second")}
+        for _, g in left.groupby("first"):
+            x, a = np.stack(g["v"]), g["id"].to_numpy()
+            meets = sorted((m["bound"], m["second"]) for m in next(m for m in g["meets"] if m is not None))
+            at, b, d = _near_of_block(x, a, g["kd"].to_numpy(float), [(bound, *held[second]) for bound, second in meets if second in held], k)
+            out.append(pd.DataFrame({"a": a[at], "b": b, "d": d}))
         return pd.concat(out)
 
     kind = rows.schema["id"].dataType.simpleString()
-    near = queries.groupBy("first", "second").cogroup(others.groupBy("first", "second")).applyInPandas(run, f"a {kind}, b {kind}, d double")
+    near = queries.groupBy("left", "right").cogroup(others.groupBy("left", "right")).applyInPandas(run, f"a {kind}, b {kind}, d double")
     return near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("place") <= k).select("a", "b", "d")

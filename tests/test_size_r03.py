@@ -5,11 +5,12 @@ import os
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cardsieve.operators import profiles, quantiles, velocity
+from cardsieve.operators import neighbours, profiles, quantiles, velocity
 
 
 def half_up(values, digits):
@@ -81,3 +82,26 @@ def test_only_the_bins_of_wanted_places_are_put_in_order(spark, monkeypatch):
         at = [q * (len(own) - 1) for q in points]
         want = [own[int(a)] if a == int(a) else (math.ceil(a) - a) * own[math.floor(a)] + (a - math.floor(a)) * own[math.ceil(a)] for a in at]
         assert p == pytest.approx(want, nan_ok=True)
+
+
+def test_neighbours_of_far_and_equal_rows(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(400, 8)), np.repeat(rng.normal(size=(5, 8)), 12, axis=0), rng.normal(size=(60, 8)) * 1e-9 + 1e6, [[1e200] * 8, [-1e200] * 8]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {}
+    for r in neighbours.nearest_rows(df, "v", "id", 7, block=24).orderBy("a", "d", "b").collect():
+        got.setdefault(r.a, []).append((r.d, r.b))
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for i in range(len(x)):
+        want = sorted((d[i, j], j) for j in range(len(x)) if j != i and np.isfinite(d[i, j]))[:7]
+        assert got.get(i, []) == want
+
+
+def test_a_group_of_blocks_gives_k_rows_for_each_row():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(50, 4)), rng.normal(size=(640, 4))
+    others = [(0.0, y[s : s + 40], np.arange(s, s + 40) + 1000) for s in range(0, 640, 40)]
+    rows, ids, d = neighbours._near_of_block(x, np.arange(50), np.full(50, np.inf), others, 3)
+    near = np.argsort(np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)), axis=1)[:, :3]
+    assert len(rows) == 150 and (ids.reshape(50, 3) == near + 1000).all() and (rows == np.repeat(np.arange(50), 3)).all()
