@@ -13,9 +13,10 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, PCA, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder
 from .neighbours import nearest_rows
 from .quantiles import percentiles
 
@@ -49,10 +50,18 @@ def _doubles(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in features})
 
 
+def without_summary(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model written and read back, without the summary of its training. Summaries of two classes hold the session,
+    which can't be sent to tasks once its jobs have a tag (``addTag``), so neither could the model."""
+    path = new_folder(spark, "model")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def logistic(train: DataFrame, features: Sequence[str], label: str, reg: float = 0.01) -> PipelineModel:
     """Logistic regression on scaled features with balanced classes."""
     stages = [*impute_scale(features), LogisticRegression(labelCol=label, weightCol="weight", regParam=reg, maxIter=50)]
-    return Pipeline(stages=stages).fit(balanced(_doubles(train, features), label))
+    return without_summary(Pipeline(stages=stages).fit(balanced(_doubles(train, features), label)), train.sparkSession)
 
 
 def coefficients(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float, float]]:

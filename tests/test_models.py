@@ -26,6 +26,17 @@ def test_forest_learns_its_label(spark, sf):
     assert set(out.risk_class) <= {"low", "medium", "high", "critical"}
 
 
+@pytest.mark.parametrize("name", ["logistic_scores", "boosted_scores"])
+def test_scores_in_a_session_whose_jobs_have_a_tag(spark, sf, name):
+    tagged = spark.newSession()
+    tagged.addTag("round")
+    try:
+        out = rows(tagged, sf, name)
+    finally:
+        tagged.removeTag("round")
+    assert len(out) and out.p_fraud.between(0, 1).all()
+
+
 def test_anomalies_are_the_few_with_the_highest_scores(spark, sf):
     out = rows(spark, sf, "isolation_scores")
     assert 0 < out.is_anomaly.mean() <= 0.011 and out.anomaly_score[out.is_anomaly == 1].min() >= out.anomaly_score[out.is_anomaly == 0].max()
