@@ -87,6 +87,7 @@ def forest_importance(df: DataFrame, features: Sequence[str], label: str, row_id
     share = min(1.0, per_fraud * (counts.f or 0) / max(counts.n - (counts.f or 0), 1))
     own = df.filter((F.col(label) == 1) | (F.pmod(F.xxhash64(F.col(row_id), F.lit(7)), F.lit(1_000_000)) < share * 1e6))
     model = Pipeline(stages=[*impute_scale(features, scale=False), RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=42)]).fit(_doubles(own, features))
+    model = without_summary(model, df.sparkSession)
     return model, sorted(zip(features, map(float, model.stages[-1].featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
 
 

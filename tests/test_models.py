@@ -26,7 +26,7 @@ def test_forest_learns_its_label(spark, sf):
     assert set(out.risk_class) <= {"low", "medium", "high", "critical"}
 
 
-@pytest.mark.parametrize("name", ["logistic_scores", "boosted_scores"])
+@pytest.mark.parametrize("name", ["logistic_scores", "boosted_scores", "forest_scores"])
 def test_scores_in_a_session_whose_jobs_have_a_tag(spark, sf, name):
     tagged = spark.newSession()
     tagged.addTag("round")
