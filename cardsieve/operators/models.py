@@ -70,13 +70,22 @@ def coefficients(model: PipelineModel, features: Sequence[str]) -> list[tuple[st
 
 
 def boosted_if_better(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, enough: float = 0.75, gain: float = 0.03) -> tuple[PipelineModel, float]:
-    """The logistic model, or boosted trees if its AUC is below ``enough`` and theirs is at least ``gain`` better."""
+    """The logistic model, or boosted trees if its AUC is below ``enough`` and theirs is at least ``gain`` better.
+
+    Trees are fitted to the distinct rows, weighted by their number, so their work follows the distinct values of features.
+    """
     auc = BinaryClassificationEvaluator(labelCol=label).evaluate
     first = logistic(train, features, label)
     score = auc(first.transform(_doubles(test, features)))
     if score >= enough:
         return first, score
-    trees = Pipeline(stages=[*impute_scale(features, scale=False), GBTClassifier(labelCol=label, weightCol="weight", maxIter=30, seed=42)]).fit(balanced(_doubles(train, features), label))
+    own = balanced(_doubles(train, features), label)
+    fill, assemble = impute_scale(features, scale=False)
+    filled = fill.fit(own)
+    # equal rows count as one row of their weight
+    alike = filled.transform(own).groupBy(label, "weight", *fill.getOutputCols()).count().withColumn("weight", F.col("weight") * F.col("count"))
+    boosted = GBTClassifier(labelCol=label, weightCol="weight", maxIter=30, seed=42).fit(assemble.transform(alike))
+    trees = PipelineModel([filled, assemble, boosted])
     other = auc(trees.transform(_doubles(test, features)))
     return (trees, other) if other >= score + gain else (first, score)
 

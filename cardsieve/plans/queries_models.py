@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import density, models, stats, velocity
+from ..sources.scratch import written
 from .registry import T, events, purchases, query
 
 _FEATURES = ["value", "k", "n_1h", "n_24h", "hour"]
 
 
-def _features(spark, sf_dir):
+def _features(spark, sf_dir, names=_FEATURES):
+    """event_id, features and label, written once: models read their rows many times."""
     own = velocity.velocity(events(spark, sf_dir), ["user_id"], "ts", "event_id", None, {"1h": 3600, "24h": 86400})
-    return own.withColumns({"hour": F.hour("ts"), "label": (F.coalesce(F.col("value") > 60, F.lit(False)) & (F.col("k") > 40)).cast("int")})
+    own = own.withColumns({"hour": F.hour("ts"), "label": (F.coalesce(F.col("value") > 60, F.lit(False)) & (F.col("k") > 40)).cast("int")})
+    return written(own.select("event_id", *names, "label"), "features")
 
 
 @query()
@@ -24,7 +27,7 @@ def logistic_scores(spark, sf_dir):
 
 @query()
 def boosted_scores(spark, sf_dir):
-    df = _features(spark, sf_dir)
+    df = _features(spark, sf_dir, ["k", "hour"])
     train, test = models.split(df, "event_id")
     model, _ = models.boosted_if_better(train, test, ["k", "hour"], "label")
     return models.scores(model, test, ["k", "hour"]).select("event_id", "p_fraud", "risk_class")

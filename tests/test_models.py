@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cardsieve.operators import models
+from cardsieve.plans import queries_models
 
 
 def rows(spark, sf, name):
@@ -37,6 +40,26 @@ def test_scores_in_a_session_whose_jobs_have_a_tag(spark, sf, name):
     assert len(out) and out.p_fraud.between(0, 1).all()
 
 
+def test_features_are_written_once(spark, sf):
+    files = queries_models._features(spark, sf).inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
+
+
+def test_boosted_trees_of_distinct_rows_score_as_those_of_all_rows(spark, monkeypatch):
+    # 18,000 rows: MLlib draws candidates of splits from 10,000, which is no matter for so few values
+    df = spark.range(18000).select("id", F.when(F.col("id") % 29 > 0, F.col("id") % 20).alias("a"), (F.hash("id") % 6).alias("b"))
+    df = df.withColumn("y", ((F.coalesce("a", F.lit(10)) > 9) & (F.hash("id", F.lit(3)) % 5 > -2)).cast("int"))
+    train, test = models.split(df, "id")
+    fitted, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: fitted.append(rows) or fit(self.setMaxIter(4), rows))
+    model, _ = models.boosted_if_better(train, test, ["a", "b"], "y", enough=1.01, gain=-1.0)
+    own = models.balanced(models._doubles(train, ["a", "b"]), "y")
+    whole = Pipeline(stages=[*models.impute_scale(["a", "b"], scale=False), GBTClassifier(labelCol="y", weightCol="weight", maxIter=4, seed=42)]).fit(own)
+    assert fitted[0].count() < 500 and fitted[0].agg(F.sum("weight")).first()[0] == pytest.approx(own.count())
+    got, want = (models.scores(m, test, ["a", "b"]).orderBy("id").toPandas().p_fraud for m in (model, whole))
+    assert got.to_numpy() == pytest.approx(want.to_numpy(), abs=1e-9) and got.nunique() > 2
+
+
 def test_anomalies_are_the_few_with_the_highest_scores(spark, sf):
     out = rows(spark, sf, "isolation_scores")
     assert 0 < out.is_anomaly.mean() <= 0.011 and out.anomaly_score[out.is_anomaly == 1].min() >= out.anomaly_score[out.is_anomaly == 0].max()
